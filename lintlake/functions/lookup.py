@@ -1,14 +1,34 @@
-"""Small constant tables as literal expressions: no join, no broadcast."""
+"""Small constant tables as literal expressions: no join, no broadcast.
+
+Wide expressions are handed to Spark as one SQL text each; building them column call by
+column call costs more than many a query."""
 
 from __future__ import annotations
 
-from itertools import chain
+import re
 
 from pyspark.sql import Column, functions as F
 
 
+def quoted(value) -> str:
+    """A value as a Spark SQL literal."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return "true" if value else "false"
+    if isinstance(value, float):
+        return f"{value}D"
+    if isinstance(value, int):
+        return str(value)
+    return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def literal_map(mapping: dict) -> Column:
-    return F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in mapping.items()))
+    return F.expr("map(" + ", ".join(f"{quoted(k)}, {quoted(v)}" for k, v in mapping.items()) + ")")
+
+
+def literal_array(values) -> Column:
+    return F.expr("array(" + ", ".join(quoted(v) for v in values) + ")")
 
 
 def lookup(mapping: dict, key: Column, default=None) -> Column:
@@ -29,23 +49,19 @@ def first_match(cases, default) -> Column:
     return _col(default) if chosen is None else chosen.otherwise(_col(default))
 
 
+def either(texts) -> str:
+    """A regular expression for any one of the texts."""
+    return "(?:" + "|".join(re.sub(r"([^\w\s/@])", r"\\\1", t) for t in texts) + ")"
+
+
 def contains_any(text: Column, fragments) -> Column:
     """True when the text holds one of the fragments."""
-    test = F.lit(False)
-    for fragment in fragments:
-        test = test | text.contains(fragment)
-    return test
+    return text.rlike(either(fragments)) if fragments else F.lit(False)
 
 
 def starts_with_any(text: Column, prefixes) -> Column:
-    test = F.lit(False)
-    for prefix in prefixes:
-        test = test | text.startswith(prefix)
-    return test
+    return text.rlike("^" + either(prefixes)) if prefixes else F.lit(False)
 
 
 def ends_with_any(text: Column, suffixes) -> Column:
-    test = F.lit(False)
-    for suffix in suffixes:
-        test = test | text.endswith(suffix)
-    return test
+    return text.rlike(either(suffixes) + r"\z") if suffixes else F.lit(False)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from lintlake.catalog import layers as L
-from lintlake.functions.lookup import contains_any, ends_with_any, first_match, starts_with_any
+from lintlake.functions.lookup import contains_any, ends_with_any, first_match, literal_array, starts_with_any
 
 
 def basename(path: Column) -> Column:
@@ -33,7 +33,7 @@ def under_any_dir(path: Column, names) -> Column:
     """True when one of the directories of the path has one of the names."""
     dirs = F.split(path, "/")
     return F.arrays_overlap(F.slice(dirs, 1, F.greatest(F.size(dirs) - 1, F.lit(0))),
-                            F.array(*[F.lit(n) for n in names]))
+                            literal_array(names))
 
 
 def glob_regex(pattern: str) -> str:

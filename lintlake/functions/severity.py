@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from lintlake.catalog import maps as M
-from lintlake.functions.lookup import contains_any, first_match, literal_map, lookup
+from lintlake.functions.lookup import contains_any, first_match, literal_array, literal_map, lookup
 
 
 def rank(severity: Column, missing: int = 99) -> Column:
@@ -15,7 +15,7 @@ def rank(severity: Column, missing: int = 99) -> Column:
 
 def of_rank(position: Column) -> Column:
     """The severity name at a rank."""
-    return F.element_at(F.array(*[F.lit(s) for s in M.SEVERITIES]), position + 1)
+    return F.element_at(literal_array(M.SEVERITIES), position + 1)
 
 
 def counted(severity: Column, level: str) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from lintlake.catalog import maps as M
+from lintlake.functions.lookup import literal_array
 
 
 def lines(content: Column) -> Column:
@@ -56,7 +57,7 @@ def word_set(text: Column) -> Column:
 
 def content_words(text: Column) -> Column:
     """Distinct lower-case words without stop words."""
-    return F.array_except(word_set(text), F.array(*[F.lit(w) for w in M.STOP_WORDS]))
+    return F.array_except(word_set(text), literal_array(M.STOP_WORDS))
 
 
 def code_names(text: Column) -> Column:

@@ -15,13 +15,12 @@ from lintlake.functions.lookup import contains_any, first_match
 
 def generated(content: Column) -> Column:
     """A generator's mark in the first five lines."""
-    head = F.lower(F.array_join(F.slice(text.lines(content), 1, 5), "\n"))
-    return contains_any(head, L.GENERATED_MARKS)
+    return contains_any(F.lower(F.substring_index(content, "\n", 5)), L.GENERATED_MARKS)
 
 
 def meta_file(path: Column, content: Column) -> Column:
     """A file that itself defines checks: directory, name and content must all say so."""
-    head = F.array_join(F.slice(text.lines(content), 1, L.META_HEAD), "\n")
+    head = F.substring_index(content, "\n", L.META_HEAD)
     return path.rlike(L.META_DIRS) & path.rlike(L.META_NAMES) & head.rlike(L.META_MARKS)
 
 

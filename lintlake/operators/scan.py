@@ -8,11 +8,13 @@ no pattern that changes from row to row.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lintlake.catalog import layers as L, maps as M, rules as R
-from lintlake.functions import paths, severity, text
-from lintlake.functions.lookup import contains_any, first_match, literal_map, starts_with_any
+from lintlake.catalog import layers as L, rules as R
+from lintlake.functions import guard, paths, severity, text
+from lintlake.functions.lookup import contains_any, either, first_match, literal_map, quoted, starts_with_any
 
 
 def lines(files: DataFrame, *keep: str) -> DataFrame:
@@ -25,37 +27,38 @@ def stripped(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\r\n\f\x0b"))
 
 
-def is_comment(code: Column) -> Column:
-    return starts_with_any(code, L.COMMENT_STARTS)
-
+def _applies(rule: R.Rule) -> str:
+    """SQL condition for a rule to hit a line (``text``, stripped ``code``) of a file."""
+    def like(column, pattern):
+        return f"{column} RLIKE {quoted(pattern)}"
 
-def _applies(rule: R.Rule) -> Column:
-    """Condition for a rule to hit a line (``text``, stripped ``code``) of a file."""
-    code = F.col("code")
-    test = F.col("text").rlike(rule.pattern)
+    needed = guard.needed_text(rule.pattern)
+    tests = [f"contains(text, {quoted(needed)})"] if needed else []
+    tests.append(like("text", rule.pattern))
+    if rule.rule in L.META_SKIPPED_RULES:
+        tests.append("NOT is_meta_file")
     if rule.rule in L.COMMENT_RULES:
-        test = test & ~is_comment(code)
+        tests.append("NOT " + like("code", "^" + either(L.COMMENT_STARTS)))
     if rule.not_on_import:
-        test = test & ~code.rlike(L.IMPORT_LINE)
+        tests.append("NOT " + like("code", L.IMPORT_LINE))
     if rule.code_only:
-        test = test & F.regexp_replace(code, L.LITERALS, " ").rlike(rule.pattern)
+        tests.append(like(f"regexp_replace(code, {quoted(L.LITERALS)}, ' ')", rule.pattern))
     if "innerHTML" in rule.pattern:
-        test = test & ~code.rlike(L.SAFE_CLEAR)
-    if rule.rule in L.META_SKIPPED_RULES:
-        test = test & ~F.col("is_meta_file")
+        tests.append("NOT " + like("code", L.SAFE_CLEAR))
     if rule.not_in_layers:
-        test = test & ~F.col("layer").isin(list(rule.not_in_layers))
-    for glob in rule.not_in_paths:
-        test = test & ~F.col("path").rlike(paths.glob_regex(glob))
-    return test
+        tests.append(f"layer NOT IN ({', '.join(quoted(x) for x in rule.not_in_layers)})")
+    tests += ["NOT " + like("path", paths.glob_regex(glob)) for glob in rule.not_in_paths]
+    return " AND ".join(tests)
 
 
 def _rule_table(rules: list[R.Rule]) -> Column:
-    return F.array(*[F.struct(
-        F.lit(r.rule).alias("rule"), F.lit(r.severity).alias("severity"), F.lit(r.category).alias("category"),
-        F.lit(r.phase).alias("phase"), F.lit(r.pattern).alias("pattern"), F.lit(r.description).alias("description"),
-        F.lit(r.confidence).alias("confidence"), F.lit(r.reason).alias("confidence_reason"),
-        F.lit("" if r.removable else None).cast("string").alias("target_code")) for r in rules])
+    """The rules as one constant array of rows."""
+    rows = [dict(rule=r.rule, severity=r.severity, category=r.category, phase=r.phase, pattern=r.pattern,
+                 description=r.description, confidence=r.confidence, confidence_reason=r.reason,
+                 target_code="" if r.removable else None) for r in rules]
+    return F.from_json(F.lit(json.dumps(rows)),
+                       "array<struct<rule:string,severity:string,category:string,phase:int,pattern:string,"
+                       "description:string,confidence:string,confidence_reason:string,target_code:string>>")
 
 
 def rule_hits(files: DataFrame, by_stack: dict[str, list[R.Rule]], *keep: str) -> DataFrame:
@@ -65,20 +68,20 @@ def rule_hits(files: DataFrame, by_stack: dict[str, list[R.Rule]], *keep: str) -
     usable = files.where(~contains_any(F.col("path"), L.SCAN_SKIP) & F.col("stack").isin(list(by_stack)))
     found = (lines(usable, *dict.fromkeys([*keep, "path", "stack", "layer", "is_meta_file"]))
              .withColumn("code", stripped(F.col("text"))))
-    # Stacks that share a rule list are tried together; the list is told apart by its number.
+    # Stacks that share a rule list are tried together.
     tables: list[list[R.Rule]] = []
-    hits, rules = None, None
     for table in by_stack.values():
-        if any(table is t for t in tables):
-            continue
-        tables.append(table)
-        mine = F.col("stack").isin([s for s, t in by_stack.items() if t is table])
-        numbers = F.array_compact(F.array(*[F.when(_applies(r), F.lit(i + 1)) for i, r in enumerate(table)]))
-        rows = _rule_table(table)
-        hits = F.when(mine, numbers) if hits is None else hits.when(mine, numbers)
-        rules = F.when(mine, rows) if rules is None else rules.when(mine, rows)
-    return (found.withColumn("number", F.explode(hits))
-            .withColumn("hit", F.element_at(rules, F.col("number")))
+        if not any(table is t for t in tables):
+            tables.append(table)
+    rules: list[R.Rule] = []
+    cases = []
+    for table in tables:
+        stacks = ", ".join(quoted(s) for s, t in by_stack.items() if t is table)
+        tests = ", ".join(f"CASE WHEN {_applies(r)} THEN {len(rules) + i + 1} END" for i, r in enumerate(table))
+        cases.append(f"WHEN stack IN ({stacks}) THEN array_compact(array({tests}))")
+        rules += table
+    return (found.withColumn("number", F.explode(F.expr(f"CASE {' '.join(cases)} END")))
+            .withColumn("hit", F.element_at(_rule_table(rules), F.col("number")))
             .select(*keep, "line", "code", "hit"))
 
 

@@ -7,6 +7,7 @@ expressions.
 
 from __future__ import annotations
 
+import json
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -18,6 +19,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+SMALL = 1 << 30
+
+
+def spread(frame: DataFrame) -> DataFrame:
+    """A small table in one row group is read by one task, whatever its rows cost later: share
+    it out.  A large one comes in many splits and is left alone."""
+    size = int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return frame.repartition(frame.sparkSession.sparkContext.defaultParallelism) if size < SMALL else frame
+
+
 # ----------------------------------------------------------------- documents as files
 FILES = """SELECT doc_id, concat(source, '/', lang, '/doc_', cast(doc_id AS varchar), '.txt') AS path,
        source AS layer, lang AS stack, text AS content FROM documents"""
@@ -29,7 +40,7 @@ WHERE NOT (line = n AND text = '')"""
 
 
 def files(spark: SparkSession, folder: str) -> DataFrame:
-    d = table(spark, folder, "documents")
+    d = spread(table(spark, folder, "documents"))
     return d.select("doc_id", F.concat("source", F.lit("/"), "lang", F.lit("/doc_"), F.col("doc_id").cast("string"),
                                        F.lit(".txt")).alias("path"),
                     F.col("source").alias("layer"), F.col("lang").alias("stack"), F.col("text").alias("content"))
@@ -207,7 +218,7 @@ def code_files(spark: SparkSession, folder: str) -> DataFrame:
 
     pieces = {"k": text(key), "next": text(key + 140), "far": text(key + 280), "alias": text(key - key % 140),
               "size": text(F.col("p_size")), "name": F.col("p_name"), "brand": F.col("p_brand")}
-    templates = F.create_map(*[c for s in STACKS for c in (F.lit(s), F.array(*[F.lit(t) for t in TEMPLATES[s]]))])
+    templates = F.from_json(F.lit(json.dumps(TEMPLATES)), "map<string,array<string>>")
     rows = F.filter(templates[picked(STACKS, key % 5)], lambda _, j: (F.floor(key / 5) * (3 + j % 4) + j) % 7 < 3)
     content = F.array_join(rows, "\n")
     for piece, value in pieces.items():
@@ -215,7 +226,7 @@ def code_files(spark: SparkSession, folder: str) -> DataFrame:
     mark = F.when(key % 7 == 5, ".test").otherwise("")
     path = F.concat(picked(FOLDERS, key % 7), F.lit("/"), picked(NAMES, key % 4), text(key), mark, F.lit("."),
                     picked(EXTENSIONS, key % 5))
-    return table(spark, folder, "part").select(
+    return spread(table(spark, folder, "part")).select(
         "p_partkey", F.concat(F.lit("repo"), text(key % 11)).alias("repo"), path.alias("path"),
         picked(STACKS, key % 5).alias("stack"), content.alias("content"))
 

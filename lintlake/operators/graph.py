@@ -131,10 +131,12 @@ def components(pairs: DataFrame) -> DataFrame:
                  .select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")),
                                            F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
                  .select("e.u", "e.v").where(F.col("u") != F.col("v")).distinct())
-        after = cut(small)
-        changed = after.join(edges, ["u", "v"], "left_anti").limit(1).count() + edges.join(after, ["u", "v"], "left_anti").limit(1).count()
-        edges = after
-        if not changed:
+        edges = cut(small)
+        # Done when the edges are stars: each larger end has one edge, and no centre is a larger end.
+        ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("centre")).unionByName(
+            edges.select(F.col("v").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("centre")))
+        open_ends = ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("centre").alias("centre")).where("up > 1 OR (up > 0 AND centre > 0)")
+        if open_ends.isEmpty():
             break
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.join(roots, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -14,14 +14,13 @@ from lintlake.functions.rows import beside
 def parsed(raw: DataFrame) -> DataFrame:
     """raw(value, ...) with one JSON text per row -> the finding's fields, ``_kind`` of the text
     and ``_line_type`` of its line number.  Blank texts are dropped."""
-    named = raw.where(F.trim("value") != "")
-    anything = F.try_parse_json("value")
-    row = F.from_json("value", schema.RAW_FINDING)
-    kind = (F.when(anything.isNull(), "invalid_json")
+    # The two parses are columns of their own, so that what is taken from them is not a parse each.
+    named = (raw.where(F.trim("value") != "").withColumn("_row", F.from_json("value", schema.RAW_FINDING))
+             .withColumn("_any", F.try_parse_json("value")))
+    kind = (F.when(F.col("_any").isNull(), "invalid_json")
             .when(~F.trim("value").startswith("{"), "not_a_dict").otherwise("object"))
-    line_type = F.schema_of_variant(F.try_variant_get(anything, "$.line", "variant"))
-    return (named.withColumn("_row", row).withColumn("_kind", kind).withColumn("_line_type", line_type)
-            .select(*raw.columns, "_kind", "_line_type", "_row.*"))
+    line_type = F.schema_of_variant(F.try_variant_get("_any", "$.line", "variant"))
+    return named.select(*raw.columns, kind.alias("_kind"), line_type.alias("_line_type"), "_row.*")
 
 
 def checked(found: DataFrame, files: DataFrame | None = None) -> DataFrame:

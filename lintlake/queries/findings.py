@@ -34,10 +34,10 @@ def raw_lines(spark, folder):
         F.lit('","confidence":"'), F.when(F.col("l_tax") >= 0.055, "high").when(F.col("l_tax") >= 0.025, "medium").otherwise("low"),
         F.lit('"}'))
     value = F.when(kind == 0, F.concat(F.lit("{broken "), body)).when(kind == 1, "[1, 2]").when(kind == 2, "   ").otherwise(body)
-    return li.select(F.when(F.col("l_returnflag") == "A", "grep-scanner").when(F.col("l_returnflag") == "N", "tool-scanner")
+    return V.spread(li.select(F.when(F.col("l_returnflag") == "A", "grep-scanner").when(F.col("l_returnflag") == "N", "tool-scanner")
                      .otherwise("layer-scanner").alias("source"),
                      (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line_no"), F.col("l_partkey").alias("part"),
-                     value.alias("value"))
+                     value.alias("value")))
 
 
 RAW = f"""SELECT CASE l_returnflag WHEN 'A' THEN 'grep-scanner' WHEN 'N' THEN 'tool-scanner' ELSE 'layer-scanner' END AS source,

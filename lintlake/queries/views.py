@@ -226,9 +226,9 @@ def code_files(spark: SparkSession, folder: str) -> DataFrame:
     mark = F.when(key % 7 == 5, ".test").otherwise("")
     path = F.concat(picked(FOLDERS, key % 7), F.lit("/"), picked(NAMES, key % 4), text(key), mark, F.lit("."),
                     picked(EXTENSIONS, key % 5))
-    return spread(table(spark, folder, "part")).select(
+    return spread(table(spark, folder, "part").select(
         "p_partkey", F.concat(F.lit("repo"), text(key % 11)).alias("repo"), path.alias("path"),
-        picked(STACKS, key % 5).alias("stack"), content.alias("content"))
+        picked(STACKS, key % 5).alias("stack"), content.alias("content")))
 
 
 CODE_LINES = """SELECT p_partkey, repo, path, stack, line, text FROM (
@@ -260,7 +260,7 @@ JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionke
 
 def items(spark: SparkSession, folder: str) -> DataFrame:
     """Raw findings: several scanners may report the same (file, line, rule)."""
-    line_items = table(spark, folder, "lineitem")
+    line_items = spread(table(spark, folder, "lineitem"))
     nations = table(spark, folder, "nation").join(table(spark, folder, "region"), F.expr("n_regionkey = r_regionkey"))
     joined = (line_items
               .join(table(spark, folder, "part"), F.expr("l_partkey = p_partkey"))
@@ -443,6 +443,7 @@ def sql(views: str, query: str, **more: str) -> str:
         need(name)
     ctes = [f"{n} AS ({_TEXTS[n]()})" for n in names] + [f"{n} AS ({t})" for n, t in more.items()]
     query = query.strip()
-    if query.upper().startswith("WITH "):
-        return "WITH " + ",\n".join(ctes) + ",\n" + query[5:]
-    return "WITH " + ",\n".join(ctes) + "\n" + query
+    start = "WITH RECURSIVE " if query.startswith("WITH RECURSIVE ") else "WITH "
+    if query.startswith("WITH "):
+        return start + ",\n".join(ctes) + ",\n" + query[len(start):]
+    return start + ",\n".join(ctes) + "\n" + query

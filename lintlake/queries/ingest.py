@@ -232,10 +232,10 @@ def coverage_jacoco(spark, folder):
     return shown(reports.jacoco(part(spark, folder).select(report.alias("content"))))
 
 
-@query("coverage_no_report", "SELECT concat('r', cast(c_custkey AS varchar)) AS repo, 'no-coverage-report' AS tool_rule_id, '' AS current_code FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("coverage_no_report", "SELECT concat('r', cast(c_custkey AS varchar)) AS repo, 'no-coverage-report' AS tool_rule_id, '' AS current_code FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
 def coverage_no_report(spark, folder):
     repos = V.table(spark, folder, "customer").select(F.concat(F.lit("r"), F.col("c_custkey").cast("string")).alias("repo"))
-    found = V.table(spark, folder, "orders").select(F.concat(F.lit("r"), F.col("o_custkey").cast("string")).alias("repo"))
+    found = V.table(spark, folder, "orders").where("o_totalprice > 400000").select(F.concat(F.lit("r"), F.col("o_custkey").cast("string")).alias("repo"))
     return reports.no_report(repos, found).select("repo", "tool_rule_id", "current_code")
 
 

@@ -61,8 +61,8 @@ def similar_pairs(findings: DataFrame, threshold: float = 0.6, bucket: int = BUC
     Two sets that share k words share, among their words in rare-first order, a combination of
     words near the front; each set is filed under such combinations, first of one word.  A crowded
     file is never compared all against all: its sets are filed again under one more word.  Once the
-    combination is as long as the overlap the sizes call for, all sets in a file are similar, and a
-    chain through the first of them links them."""
+    combination is as long as the overlap the sizes call for, all sets in a file are similar to those
+    of the other size, and a chain through the first of them links them."""
     sets = cut(wordings(findings).select("key", "rule", "words").distinct())
     spread = sets.select("key", "rule", F.explode("words").alias("word"))
     rarity = spread.groupBy("rule", "word").agg(F.count(F.lit(1)).alias("seen"))
@@ -87,8 +87,12 @@ def similar_pairs(findings: DataFrame, threshold: float = 0.6, bucket: int = BUC
                  .withColumn("combo", F.concat("combo", F.array(F.element_at("words", F.col("at"))))))
         entries = cut(grown)
         place = ["rule", "small", "big", "combo"]
-        crowd = entries.groupBy(*place).agg(F.count(F.lit(1)).alias("members"), F.min("key").alias("first"))
-        placed = entries.join(crowd.where("members > 1"), place)
+        # Sets of one size are partners only in the class of that size: elsewhere both sizes must meet,
+        # and then each set is linked to the others over one of the other size.
+        crowd = (entries.groupBy(*place).agg(F.count(F.lit(1)).alias("members"), F.min("key").alias("first"),
+                                             (F.min("n") < F.max("n")).alias("mixed"))
+                 .where("members > 1 AND (small = big OR mixed)").drop("mixed"))
+        placed = entries.join(crowd, place)
         complete = placed.where(F.size("combo") == F.col("need"))
         chain = complete.where(F.col("key") != F.col("first")).select(F.col("first").alias("a"), F.col("key").alias("b"))
         few = placed.where((F.size("combo") < F.col("need")) & (F.col("members") <= bucket))

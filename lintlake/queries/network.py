@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lintlake.catalog import layers as L, maps as M
+from lintlake.catalog import layers as L, maps as M, rules as R
 from lintlake.functions import severity as S
 from lintlake.operators import cluster, graph, groups
 from lintlake.queries import views as V
@@ -12,7 +12,7 @@ from lintlake.queries.findings import GROUPED, NAMES
 from lintlake.queries.registry import query
 from lintlake.queries.reports import CROSSED, crossed
 from lintlake.queries.scan import _q
-from lintlake.catalog import rules as R
+from lintlake.session import cut
 
 
 # -------------------------------------------------------------------------- import extraction
@@ -168,21 +168,21 @@ UNION ALL SELECT concat('imports|', component), 'import_connected', id FROM loca
 UNION ALL SELECT concat('group|', cross_cutting_group), 'cross_cutting', id FROM local_ WHERE cross_cutting_group IN (SELECT cross_cutting_group FROM big)
 UNION ALL SELECT concat('wording|', rule, '|', substr(description, 1, 50)), 'cross_cutting', id FROM local_ l WHERE (rule, substr(description, 1, 50)) IN (
   SELECT (rule, substr(description, 1, 50)) FROM local_ GROUP BY rule, substr(description, 1, 50) HAVING count(*) >= 2 AND count(*) FILTER (WHERE cross_cutting_group IS NULL OR cross_cutting_group NOT IN (SELECT cross_cutting_group FROM big)) > 0)"""
-MEMBER = dict(**GROUPED, marked=CROSSED, local_=LOCAL, big="SELECT cross_cutting_group FROM local_ WHERE cross_cutting_group IS NOT NULL GROUP BY 1 HAVING count(*) >= 2",
-              both_="SELECT src AS a, dst AS b FROM inside UNION SELECT dst, src FROM inside", linked=COMPONENTS, members=MEMBERS)
+BIG = "SELECT cross_cutting_group FROM local_ WHERE cross_cutting_group IS NOT NULL GROUP BY 1 HAVING count(*) >= 2"
+BOTH = "SELECT src AS a, dst AS b FROM inside UNION SELECT dst, src FROM inside"
 INSIDE = "SELECT src, dst FROM edges WHERE src IN (SELECT file FROM local_) AND dst IN (SELECT file FROM local_)"
 REACH_CTE = "reach(a, b) AS (SELECT a, a FROM both_ UNION SELECT r.a, e.b FROM reach r JOIN both_ e ON r.b = e.a)"
 
 
 def _cluster_sql(query_text: str) -> str:
-    parts = {**GROUPED, "marked": CROSSED, "local_": LOCAL, "big": MEMBER["big"], "inside": INSIDE, "both_": MEMBER["both_"]}
+    parts = {**GROUPED, "marked": CROSSED, "local_": LOCAL, "big": BIG, "inside": INSIDE, "both_": BOTH}
     return V.sql("findings edges", f"WITH RECURSIVE {REACH_CTE},\nlinked AS ({COMPONENTS}),\nmembers AS ({MEMBERS})\n{query_text}", **parts)
 
 
 def local(spark, folder):
     e = V.edges(spark, folder)
     touched = e.select(F.col("src").alias("file")).unionByName(e.select(F.col("dst").alias("file"))).distinct()
-    return crossed(spark, folder).where("severity IN ('CRITICAL', 'HIGH')").join(touched, "file", "left_semi")
+    return cut(crossed(spark, folder).where("severity IN ('CRITICAL', 'HIGH')").join(touched, "file", "left_semi"))
 
 
 def members(found, spark, folder):
@@ -202,7 +202,7 @@ def cluster_overlap(spark, folder):
 
 def built(spark, folder):
     found = local(spark, folder)
-    parts = cluster.split(cluster.merge(members(found, spark, folder)), found)
+    parts = cut(cluster.split(cluster.merge(members(found, spark, folder)), found))
     return found, parts
 
 
@@ -230,8 +230,8 @@ CLUSTERED = dict(**GROUPED, marked=CROSSED, chunks=CHUNKS, clusters=CLUSTERS)
 
 
 def file_clusters(spark, folder):
-    found = crossed(spark, folder)
-    parts = cluster.split(cluster.by_file(found), found)
+    found = cut(crossed(spark, folder))
+    parts = cut(cluster.split(cluster.by_file(found), found))
     return found, parts, cluster.summary(parts, found)
 
 

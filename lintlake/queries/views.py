@@ -358,11 +358,12 @@ def layers(spark: SparkSession, folder: str) -> DataFrame:
 EDGES = """SELECT DISTINCT concat('src/p', cast(a.l_partkey AS varchar), '.ts') AS src,
        concat('src/p', cast(b.l_partkey AS varchar), '.ts') AS dst
 FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber + 1 = b.l_linenumber
-WHERE a.l_partkey <> b.l_partkey AND a.l_partkey % 5 = 0 AND a.l_returnflag = 'A'"""
+WHERE a.l_partkey < b.l_partkey AND a.l_partkey % 5 = 0 AND a.l_returnflag <> 'R'"""
 
 
 def edges(spark: SparkSession, folder: str) -> DataFrame:
-    """src imports dst.  Neighbouring line items of an order, from parts with a key divisible by five."""
+    """src imports dst: neighbouring line items of an order, from a part with a key divisible by five to one
+    with a larger key, so that the graph has no circles."""
     li = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
     a, b = li.alias("a"), li.alias("b")
 
@@ -370,7 +371,7 @@ def edges(spark: SparkSession, folder: str) -> DataFrame:
         return F.concat(F.lit("src/p"), F.col(f"{side}.l_partkey").cast("string"), F.lit(".ts"))
 
     return (a.join(b, F.expr("a.l_orderkey = b.l_orderkey AND a.l_linenumber + 1 = b.l_linenumber"))
-            .where("a.l_partkey <> b.l_partkey AND a.l_partkey % 5 = 0 AND a.l_returnflag = 'A'")
+            .where("a.l_partkey < b.l_partkey AND a.l_partkey % 5 = 0 AND a.l_returnflag <> 'R'")
             .select(path("a").alias("src"), path("b").alias("dst")).distinct())
 
 

@@ -20,14 +20,14 @@ def _relative(root: str) -> Column:
 def source_tree(spark: SparkSession, root: str, stack: str, repo: str = "") -> DataFrame:
     """files(repo, path, stack, content) under a root: one row per file of the stack's extensions."""
     glob = "*{" + ",".join(L.STACK_EXTENSIONS.get(stack, L.STACK_EXTENSIONS["unknown"])) + "}"
-    read = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("wholetext", "true").text(root))
+    read = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(root, wholetext=True))
     files = read.select(F.lit(repo).alias("repo"), _relative(root).alias("path"), F.lit(stack).alias("stack"), F.col("value").alias("content"))
     return files.where(~paths.under_any_dir(F.col("path"), L.PRUNED_DIRS))
 
 
 def text_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     """files(path, content) under a root, whatever they are."""
-    read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("wholetext", "true").text(root)
+    read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(root, wholetext=True)
     return read.select(_relative(root).alias("path"), F.col("value").alias("content"))
 
 

@@ -232,19 +232,23 @@ def import_count(content: Column) -> Column:
 
 
 def triage(files: DataFrame, findings: DataFrame) -> DataFrame:
-    """files(path, layer, content) -> (path, layer, class, reason): what to read more closely."""
+    """files(path, layer, content) -> (path, layer, class, reason): what to read more closely.
+
+    What the text says is settled before the join, so that texts do not travel."""
+    content = F.col("content")
+    facts = files.select("path", "layer", structural_only(content).alias("structural"), (import_count(content) >= L.MIN_IMPORTS).alias("many_imports"))
     flagged = findings.select(F.col("file").alias("path")).distinct().withColumn("flagged", F.lit(True))
-    path, content = F.col("path"), F.col("content")
+    path = F.col("path")
     ext = paths.extension(path)
     cases = [
         (F.col("flagged").isNotNull(), "flagged", F.lit("grep_finding")),
         (ext.isin(L.SKIP_EXTENSIONS), "structural_only", F.concat(F.lit("skip_extension:"), ext)),
-        (structural_only(content), "structural_only", F.lit("type_decl_or_reexport")),
+        (F.col("structural"), "structural_only", F.lit("type_decl_or_reexport")),
         (F.col("layer").isin(L.ALWAYS_LAYERS), "always_scan", F.concat(F.lit("always_scan_layer:"), F.col("layer"))),
         (paths.basename(path).isin(L.ENTRY_POINTS), "always_scan", F.lit("entry_point_pattern")),
-        (import_count(content) >= L.MIN_IMPORTS, "always_scan", F.lit("high_import_count")),
+        (F.col("many_imports"), "always_scan", F.lit("high_import_count")),
     ]
-    return (files.join(flagged, "path", "left")
+    return (facts.join(flagged, "path", "left")
             .select("path", "layer", first_match([(c, k) for c, k, _ in cases], "llm_scan").alias("class"),
                     first_match([(c, r) for c, _, r in cases], "default").alias("reason")))
 

@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Checkpoint files of frames that are gone go too.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Building wide expressions is several times faster without call-site capture.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }

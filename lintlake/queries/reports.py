@@ -345,8 +345,8 @@ SELECT *, CASE tier WHEN 'build' THEN CASE WHEN c + h = 0 THEN 'PASS' WHEN c + h
  CASE tier WHEN 'build' THEN CASE WHEN c + h = 0 THEN concat('0 type errors, 0 lint errors (', n, ' total build findings)') ELSE concat(c + h, ' build errors (', c, ' critical, ', h, ' high)') END
   WHEN 'security' THEN CASE WHEN c > 0 THEN concat(c, ' CRITICAL vulnerabilities (max 0)') WHEN h > 0 THEN concat(h, ' HIGH vulnerabilities (max 0)') ELSE '0 security vulnerabilities' END
   WHEN 'secrets' THEN CASE WHEN c + h > 0 THEN concat(c + h, ' secrets/env issues detected (max 0)') WHEN n > 0 THEN concat(n, ' env-related findings (no critical secrets)') ELSE 'No secrets or env issues detected' END
-  WHEN 'coverage' THEN concat(printf('%.1f', cov), CASE WHEN cov >= 60 THEN '% line coverage (threshold 60%)' WHEN cov >= 48 THEN '% line coverage (threshold 60%, close)' ELSE '% line coverage (below 60% threshold)' END)
-  WHEN 'duplication' THEN concat(printf('%.1f', dup), CASE WHEN dup <= 5 THEN '% duplication (max 5.0%)' WHEN dup <= 7.5 THEN '% duplication (max 5.0%, elevated)' ELSE '% duplication (exceeds 5.0% threshold)' END)
+  WHEN 'coverage' THEN concat(printf('%.1f', round(cov, 1)), CASE WHEN cov >= 60 THEN '% line coverage (threshold 60%)' WHEN cov >= 48 THEN '% line coverage (threshold 60%, close)' ELSE '% line coverage (below 60% threshold)' END)
+  WHEN 'duplication' THEN concat(printf('%.1f', round(dup, 1)), CASE WHEN dup <= 5 THEN '% duplication (max 5.0%)' WHEN dup <= 7.5 THEN '% duplication (max 5.0%, elevated)' ELSE '% duplication (exceeds 5.0% threshold)' END)
   WHEN 'complexity' THEN CASE WHEN n = 0 THEN 'No complexity issues detected' WHEN c + h = 0 THEN concat(n, ' complexity findings (none critical/high)') ELSE concat(c + h, ' high-severity complexity issues out of ', n, ' total') END
   ELSE CASE WHEN n = 0 THEN 'No architecture violations detected' WHEN c + h = 0 THEN concat(n, ' architecture findings (none critical/high)') ELSE concat(c + h, ' high-severity architecture violations out of ', n, ' total') END END AS details
 FROM ({_tier_sql()}), (SELECT coverage_line_pct AS cov, duplication_pct AS dup FROM health))"""

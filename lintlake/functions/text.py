@@ -9,19 +9,20 @@ from lintlake.functions.lookup import literal_array
 
 
 def lines(content: Column) -> Column:
-    """The lines of a text; a newline at the very end adds none."""
+    """The pieces of a text between newlines, the empty one after a final newline included."""
     return F.split(content, "\n")
 
 
 def loc(content: Column) -> Column:
-    """Lines of a text as an editor counts them: 0 for an empty one."""
-    return (F.when(content == "", 0)
-            .otherwise(F.size(lines(content)) - F.when(content.endswith("\n"), 1).otherwise(0)))
+    """Lines of a text as an editor counts them: 0 for an empty one, none for a final newline."""
+    breaks = F.length(content) - F.length(F.replace(content, F.lit("\n"), F.lit("")))
+    return breaks + F.when((content == "") | content.endswith("\n"), 0).otherwise(1)
 
 
 def real_lines(content: Column) -> Column:
-    """The lines of a text without the empty piece after a final newline."""
-    return F.slice(lines(content), 1, F.greatest(loc(content), F.lit(0)))
+    """The lines of a text; a final newline adds none, an empty text has none."""
+    whole = F.when(content.endswith("\n"), F.substring(content, F.lit(1), F.length(content) - 1)).otherwise(content)
+    return F.when(content != "", F.split(whole, "\n")).otherwise(F.array().cast("array<string>"))
 
 
 def squeeze(text: Column) -> Column:

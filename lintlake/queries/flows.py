@@ -94,7 +94,7 @@ def sink_rejects(spark, folder):
     return good.unionByName(bad).groupBy("reason").agg(F.count(F.lit(1)).alias("findings"))
 
 
-@query("sink_history", V.sql("findings parts", "SELECT 'app' AS repo, 2 AS entries, (SELECT count(*) FROM findings) AS findings"))
+@query("sink_history", V.sql("findings parts", "SELECT 'app' AS repo, 2::BIGINT AS entries, (SELECT count(*) FROM findings) AS findings"))
 def sink_history(spark, folder):
     """Two readiness results appended to a history, read back as the log they form."""
     home = scratch(spark, "history")

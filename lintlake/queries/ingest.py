@@ -377,12 +377,12 @@ def history_reader(spark, folder):
     return readers.usable_history(broken).select("repo", "score", "ts")
 
 
-@query("artifact_manifest", V.sql("files", "SELECT path, sha256(content) AS sha256, strlen(content) AS size_bytes, length(content) - length(replace(content, chr(10), '')) AS line_count FROM files"))
+@query("artifact_manifest", V.sql("files", "SELECT path, sha256(content) AS sha256, cast(strlen(content) AS int) AS size_bytes, cast(length(content) - length(replace(content, chr(10), '')) AS int) AS line_count FROM files"))
 def artifact_manifest(spark, folder):
     return sinks.manifest(V.files(spark, folder).select("path", F.encode("content", "UTF-8").alias("content")))
 
 
-@query("artifact_completeness", V.sql("files", "SELECT path, lines, CASE WHEN doc_id % 7 <> 0 THEN n END AS line_count, doc_id % 7 <> 0 AND lines = n AS complete FROM (SELECT doc_id, path, length(content) - length(replace(content, chr(10), '')) AS n, length(content) - length(replace(content, chr(10), '')) + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS lines FROM files)"))
+@query("artifact_completeness", V.sql("files", "SELECT path, cast(lines AS int) AS lines, cast(CASE WHEN doc_id % 7 <> 0 THEN n END AS int) AS line_count, doc_id % 7 <> 0 AND lines = n AS complete FROM (SELECT doc_id, path, length(content) - length(replace(content, chr(10), '')) AS n, length(content) - length(replace(content, chr(10), '')) + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS lines FROM files)"))
 def artifact_completeness(spark, folder):
     files = V.files(spark, folder)
     made = sinks.manifest(files.where("doc_id % 7 <> 0").select("path", F.encode("content", "UTF-8").alias("content")))

@@ -147,7 +147,7 @@ def fix_order(spark, folder):
     return graph.fix_order(V.findings(spark, folder), V.edges(spark, folder), S.rank(F.col("severity"))).select("id", "level", "circular", "position")
 
 
-@query("phase_dag_nodes", V.sql("findings", f"SELECT p.phase, {V.map_sql(M.PHASE_NAME, 'p.phase')} AS name, coalesce(n, 0) AS finding_count FROM (SELECT unnest(range(0, 11)) AS phase) p LEFT JOIN (SELECT phase, count(*) AS n FROM findings GROUP BY 1) f ON p.phase = f.phase"))
+@query("phase_dag_nodes", V.sql("findings", f"SELECT p.phase, {V.map_sql(M.PHASE_NAME, 'p.phase')} AS name, coalesce(n, 0) AS finding_count FROM (SELECT cast(unnest(range(0, 11)) AS int) AS phase) p LEFT JOIN (SELECT phase, count(*) AS n FROM findings GROUP BY 1) f ON p.phase = f.phase"))
 def phase_dag_nodes(spark, folder):
     return graph.phase_nodes(V.findings(spark, folder))
 
@@ -241,7 +241,7 @@ def cluster_summary(spark, folder):
 
 
 @query("cluster_stats", V.sql("findings", """SELECT count(*) AS total_clusters, (SELECT count(DISTINCT id) FROM chunks) AS total_findings_clustered, round((SELECT count(DISTINCT id) FROM chunks) / count(*), 1) AS avg_findings_per_cluster, max(finding_count) AS largest_cluster_size,
-  0 AS cross_cutting_clusters, 0 AS import_connected_clusters, count(*) AS file_clusters FROM clusters""", **CLUSTERED))
+  0::BIGINT AS cross_cutting_clusters, 0::BIGINT AS import_connected_clusters, count(*) AS file_clusters FROM clusters""", **CLUSTERED))
 def cluster_stats(spark, folder):
     _, parts, made = file_clusters(spark, folder)
     return cluster.stats(made, parts)

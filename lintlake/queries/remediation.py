@@ -14,7 +14,7 @@ from lintlake.queries.reports import GATE, gated, health
 from lintlake.queries.scan import LISTED, listed
 from lintlake.operators import gate
 
-EVERY_PHASE = "(SELECT unnest(range(0, 11)) AS phase)"
+EVERY_PHASE = "(SELECT cast(unnest(range(0, 11)) AS int) AS phase)"
 
 
 # -------------------------------------------------------------------------------- tasks

@@ -194,7 +194,7 @@ def severity_multiplier(spark, folder):
     return multiplied(spark, folder).select("id", "direct_callers", "severity_multiplier", "effective_severity")
 
 
-@query("top_per_theme", V.sql("findings edges", f"""SELECT theme, position, id, effective_severity FROM (
+@query("top_per_theme", V.sql("findings edges", f"""SELECT theme, cast(position AS int) AS position, id, effective_severity FROM (
   SELECT {V.map_sql(M.CATEGORY_THEME, 'category')} AS theme, id, concat(severity, '-x', cast(severity_multiplier AS varchar)) AS effective_severity,
     row_number() OVER (PARTITION BY {V.map_sql(M.CATEGORY_THEME, 'category')} ORDER BY {V.rank_sql('severity')}, severity_multiplier DESC, id) AS position FROM m) WHERE position <= 5""", m=MULTIPLIED))
 def top_per_theme(spark, folder):

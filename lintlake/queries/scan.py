@@ -37,7 +37,7 @@ def _layer_sql() -> str:
 
 
 HEAD = "array_to_string(list_slice(string_split(content, chr(10)), 1, {n}), chr(10))"
-LOC = "CASE WHEN content = '' THEN 0 ELSE len(string_split(content, chr(10))) - (CASE WHEN suffix(content, chr(10)) THEN 1 ELSE 0 END) END"
+LOC = "cast(CASE WHEN content = '' THEN 0 ELSE len(string_split(content, chr(10))) - (CASE WHEN suffix(content, chr(10)) THEN 1 ELSE 0 END) END AS int)"
 
 LISTED = f"""SELECT *, CASE WHEN tag = 'GENERATED' THEN 'Generated source file'
       WHEN tag = 'OVERSIZED' THEN concat('Exceeds {L.MAX_LOC} LOC limit (', cast(loc AS varchar), ' lines)') END AS skip_reason,
@@ -321,7 +321,7 @@ MESSAGES = """SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN NULL WHEN turn %
     WHEN 2 THEN 'this part is ai-written' ELSE 'reviewed by hand' END) AS content FROM conversations"""
 
 
-@query("attribution_scan", f"""SELECT conv_id * 1000 + turn AS id, path, line, text FROM (
+@query("attribution_scan", f"""SELECT conv_id * 1000 + turn AS id, path, cast(line AS int) AS line, text FROM (
   SELECT conv_id, turn, path, unnest(parts) AS text, unnest(range(1, len(parts) + 1)) AS line FROM
     (SELECT *, string_split(content, chr(10)) AS parts FROM ({MESSAGES})))
 WHERE (path IS NULL OR NOT regexp_matches(path, 'POLICY.md$')) AND ({' OR '.join(f"regexp_matches(text, {_q(p)})" for p in scan.attribution_patterns())})""")

@@ -33,7 +33,7 @@ def spread(frame: DataFrame) -> DataFrame:
 FILES = """SELECT doc_id, concat(source, '/', lang, '/doc_', cast(doc_id AS varchar), '.txt') AS path,
        source AS layer, lang AS stack, text AS content FROM documents"""
 
-LINES = """SELECT doc_id, path, layer, stack, line, text FROM (
+LINES = """SELECT doc_id, path, layer, stack, cast(line AS int) AS line, text FROM (
   SELECT doc_id, path, layer, stack, unnest(parts) AS text, unnest(range(1, len(parts) + 1)) AS line, len(parts) AS n
   FROM (SELECT *, string_split(content, chr(10)) AS parts FROM files))
 WHERE NOT (line = n AND text = '')"""
@@ -231,7 +231,7 @@ def code_files(spark: SparkSession, folder: str) -> DataFrame:
         picked(STACKS, key % 5).alias("stack"), content.alias("content")))
 
 
-CODE_LINES = """SELECT p_partkey, repo, path, stack, line, text FROM (
+CODE_LINES = """SELECT p_partkey, repo, path, stack, cast(line AS int) AS line, text FROM (
   SELECT p_partkey, repo, path, stack, unnest(parts) AS text, unnest(range(1, len(parts) + 1)) AS line, len(parts) AS n
   FROM (SELECT *, string_split(content, chr(10)) AS parts FROM code_files))
 WHERE NOT (line = n AND text = '')"""

@@ -164,12 +164,14 @@ def families(findings: DataFrame, rules=("R01",), min_files: int = 2) -> DataFra
                           "family_size", "distinct_files", F.col("root.description").alias("description"))
 
 
-def collapse(findings: DataFrame, made: DataFrame) -> DataFrame:
+def collapse(findings: DataFrame, made: DataFrame, rules=("R01",)) -> DataFrame:
     """Findings with family_id, parent_finding_id, is_root_cause, original_severity; members that are not
-    the root go one severity down."""
+    the root go one severity down.  ``rules`` are those the families were made for."""
     found = _restored(findings)
-    # Only findings that can be members get a key, so the rest do not meet in one join key.
-    key = F.when(F.col("rule").isin([*M.RULE_CATEGORY]) & (F.coalesce("severity", F.lit("")) != "REVIEW"), _family_key(found))
+    # Findings that cannot be members get a key of their own that matches nothing: left without one
+    # they would all meet in the partition of the null key.
+    key = (F.when((F.coalesce("severity", F.lit("")) != "REVIEW") & F.col("rule").isin(list(rules)), _family_key(found))
+           .otherwise(F.concat(F.lit("#"), F.coalesce("id", F.lit("")))))
     joined = found.withColumn("pattern_key", key).join(
         made.select("rule", "pattern_key", "family_id", "root_finding_id"), ["rule", "pattern_key"], "left")
     member = F.col("family_id").isNotNull()

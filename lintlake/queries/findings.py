@@ -373,7 +373,7 @@ def families(spark, folder):
 FROM findings f LEFT JOIN (SELECT k.id, x.family_id, x.root_finding_id FROM keyed k JOIN families x ON k.rule = x.rule AND k.pattern_key = x.pattern_key) m ON f.id = m.id""", **FAMILY))
 def family_members(spark, folder):
     found = V.findings(spark, folder)
-    return groups.collapse(found, groups.families(found, ROOT_RULES)).select("id", "family_id", "is_root_cause", "parent_finding_id", "original_severity", "severity")
+    return groups.collapse(found, groups.families(found, ROOT_RULES), ROOT_RULES).select("id", "family_id", "is_root_cause", "parent_finding_id", "original_severity", "severity")
 
 
 @query("family_summary", V.sql("findings", "SELECT count(*) AS families_created, count(*) AS root_causes, coalesce(cast(sum(family_size - 1) AS bigint), 0) AS subordinate_findings FROM families", **FAMILY))

@@ -259,7 +259,7 @@ UNION ALL SELECT 'fail_without_blocker', tier, '' FROM tiers t WHERE status = 'F
 def integrity_violations(spark, folder):
     found = V.findings(spark, folder)
     made = groups.families(found, ROOT_RULES)
-    member = groups.collapse(found, made)
+    member = groups.collapse(found, made, ROOT_RULES)
     line = F.col("line")
     root = F.coalesce("parent_finding_id", "id")
     linked = member.select(

@@ -265,7 +265,7 @@ def severity_order(spark, folder):
 @query("must_fix", V.sql("findings", "SELECT f.id, f.severity FROM findings f WHERE severity IN ('CRITICAL', 'HIGH') OR id IN (SELECT root_finding_id FROM families)", **FAMILY))
 def must_fix(spark, folder):
     found = V.findings(spark, folder)
-    marked = groups.collapse(found, groups.families(found, ROOT_RULES))
+    marked = groups.collapse(found, groups.families(found, ROOT_RULES), ROOT_RULES)
     before = F.coalesce("original_severity", "severity")
     return stats.must_fix(marked.withColumn("severity", before)).select("id", "severity")
 

@@ -58,6 +58,11 @@ def test_cycles_and_levels(spark):
     assert level == {"c": 0, "b": 1, "a": 2, "p": None, "q": None, "r": None}
 
 
+def test_long_chain_of_levels(spark):
+    got = {r.file: r.level for r in graph.levels(edges_frame(spark, [(f"f{i + 1:02d}", f"f{i:02d}") for i in range(24)])).collect()}
+    assert got == {f"f{i:02d}": i for i in range(25)}
+
+
 def test_no_cycles(spark):
     assert graph.cycles(edges_frame(spark, [("a", "b")])).count() == 0
 

@@ -36,8 +36,10 @@ def checked(found: DataFrame, files: DataFrame | None = None) -> DataFrame:
         (~whole | number.isNull() | (number <= 0), F.concat(F.lit("invalid_line_number:"), F.col("line"))),
     ]
     if files is not None:
-        known = files.select(F.col("path").alias("file")).distinct().withColumn("_known", F.lit(True))
-        found = found.join(known, "file", "left")
+        # Rows without a file are rejected anyway; a key of their own keeps them from meeting in one partition.
+        own = F.concat(F.lit("#"), F.xxhash64(*found.columns).cast("string"))
+        known = files.select(F.col("path").alias("_file")).distinct().withColumn("_known", F.lit(True))
+        found = found.withColumn("_file", F.coalesce(F.nullif("file", F.lit("")), own)).join(known, "_file", "left").drop("_file")
         reasons.append((F.col("_known").isNull(), F.concat(F.lit("phantom_file:"), F.col("file"))))
     return found.withColumn("_reason", first_match(reasons, F.lit(None).cast("string"))).drop("_known", "_kind", "_line_type")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lintlake.llm import decontaminate, extract, quality, secret_links
+from lintlake.llm import bagminhash, decontaminate, extract, quality, secret_links
 from lintlake.llm.common import table
 
 QUERIES = {}
@@ -26,6 +26,11 @@ def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(table(spark, sf_dir, "pages"))
 
 
+@query
+def op5_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.report(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

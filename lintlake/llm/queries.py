@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lintlake.llm import bagminhash, decontaminate, extract, quality, secret_links
+from lintlake.llm import bagminhash, decontaminate, extract, hnsw, quality, secret_links
 from lintlake.llm.common import table
 
 QUERIES = {}
@@ -16,6 +16,14 @@ def query(function):
     return function
 
 
+@query
+def op2_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.report(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op2_hnsw"] = hnsw.SQL
+
+
 @query
 def op3_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_links.scan(table(spark, sf_dir, "documents"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lintlake.llm import bagminhash, decontaminate, extract, hnsw, quality, secret_links
+from lintlake.llm import bagminhash, chat, decontaminate, extract, hnsw, licences, quality, secret_links
 from lintlake.llm.common import table
 
 QUERIES = {}
@@ -39,6 +39,14 @@ def op5_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.report(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.report(chat.typed(table(spark, sf_dir, "conversations")))
+
+
+ORACLES["op6_chat"] = chat.SQL
+
+
 @query
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -47,6 +55,14 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op7_decontaminate"] = decontaminate.SQL
 
 
+@query
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op8_licences"] = licences.SQL
+
+
 @query
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lintlake.llm import bagminhash, chat, decontaminate, extract, hnsw, licences, quality, secret_links
+from lintlake.llm import bagminhash, chat, decontaminate, extract, hnsw, licences, quality, secret_links, warc
 from lintlake.llm.common import table
 
 QUERIES = {}
@@ -16,6 +16,14 @@ def query(function):
     return function
 
 
+@query
+def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(table(spark, sf_dir, "pages"))
+
+
+ORACLES["op1_warc_revisits"] = warc.SQL
+
+
 @query
 def op2_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.report(table(spark, sf_dir, "embeddings"))

@@ -22,7 +22,8 @@ with a probability of (1 - 0.8^4)^24 = 3e-6.
 
 Defined cases: null and empty texts, and texts without words, are equal to nothing and stay alone;
 texts of fewer than ``SHINGLE`` words are one shingle; a class is named by its smallest doc_id, a
-class without any id by null; rows without id are kept; repeated rows fall into one class.
+class without any id by null; rows without id are kept; repeated rows fall into one class, and
+``deduplicated`` leaves one of the rows that agree in id and text.
 """
 
 from __future__ import annotations

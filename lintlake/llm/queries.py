@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lintlake.llm import bagminhash, chat, decontaminate, extract, hnsw, licences, quality, secret_links, warc
+from lintlake.llm import bagminhash, chat, decontaminate, extract, hnsw, licences, mixing, quality, secret_links, warc
 from lintlake.llm.common import table
 
 QUERIES = {}
@@ -74,3 +74,11 @@ ORACLES["op8_licences"] = licences.SQL
 @query
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op10_mixing"] = mixing.SQL

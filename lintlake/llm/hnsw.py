@@ -45,15 +45,18 @@ AUDIT = 10
 class Graph:
     """A hierarchical navigable small world over unit vectors; distances are cosines."""
 
-    def __init__(self, vectors: np.ndarray, seed: int = 11) -> None:
+    def __init__(self, vectors: np.ndarray, seed: int = 11, state: tuple | None = None) -> None:
         self.x = vectors
         n = len(vectors)
+        self.stamp, self.seen = 0, np.zeros(n, np.int64)
+        if state:
+            self.near, self.entry, self.top = state
+            return
         rng = np.random.default_rng(seed)
         self.level = np.minimum((-np.log(rng.random(n) + 1e-12) / np.log(DEGREE)).astype(int), 12)
         top = int(self.level.max()) if n else 0
         # One row of neighbours per node and level, -1 where there is none.
         self.near = [np.full((n, 2 * DEGREE if k == 0 else DEGREE), -1, np.int32) for k in range(top + 1)]
-        self.stamp, self.seen = 0, np.zeros(n, np.int64)
         self.entry, self.top = -1, -1
         for node in range(n):
             self._insert(node)
@@ -207,7 +210,7 @@ def linked(vectors: DataFrame, shard: int = SHARD) -> DataFrame:
     def build(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("node", ignore_index=True)
         graph = Graph(_unit(frame["v"]))
-        made = pickle.dumps((graph, frame["node"].tolist(), frame["many"].to_numpy()), protocol=5)
+        made = pickle.dumps((graph.x, (graph.near, graph.entry, graph.top), frame["node"].tolist(), frame["many"].to_numpy()), protocol=5)
         return pd.DataFrame({"label": frame["label"][:1], "dim": frame["dim"][:1], "shard": frame["shard"][:1], "shards": frame["shards"][:1], "graph": [made]})
 
     types = dict(dealt.dtypes)
@@ -219,8 +222,8 @@ def linked(vectors: DataFrame, shard: int = SHARD) -> DataFrame:
     def query(queries: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(graph):
             return pd.DataFrame({"node": [], "links": [], "other": [], "beam": []})
-        g, names, many = pickle.loads(graph["graph"].iloc[0])
-        found, beam = search(g, _unit(queries["v"]))
+        x, state, names, many = pickle.loads(graph["graph"].iloc[0])
+        found, beam = search(Graph(x, state=state), _unit(queries["v"]))
         own = {name: k for k, name in enumerate(names)}
         # Components within the task, over the shard's nodes and the queries from elsewhere.
         n = len(names)

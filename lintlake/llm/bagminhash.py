@@ -14,9 +14,10 @@ the weights); a text with an empty slot goes on to twice that time.
 
 Linking.  Equal texts (same words) become one node first.  ``BANDS`` bands of ``ROWS`` slots file the
 nodes into buckets.  Each node of a bucket is compared with the bucket's smallest node only, so the
-number of pairs is that of the rows.  Where a bucket then still holds nodes of several components,
-those apart from the smallest node's are compared with the nodes they could still be linked with:
-sizes, and the triangle inequality over the distances to the smallest node, rule out the rest.
+number of pairs is that of the rows.  Where buckets then still hold nodes of several components,
+these nodes are joined by prefixes: the rarest shingles of each, as many as the similarity needs,
+with bounds on sizes and positions.  In each element's list the nodes first meet the one nearest to the
+list's common core, then, where they are still apart, the nodes of other components.
 Verified links are united by connected components.  At a similarity of 0.8 a pair shares no bucket
 with a probability of (1 - 0.8^4)^24 = 3e-6.
 
@@ -34,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from lintlake.llm.common import Hashes, text_of
 from lintlake.operators.graph import components
@@ -207,10 +208,12 @@ def classes(docs: DataFrame) -> DataFrame:
     compared = cut(_compared(stars, bags))
     links = compared.where(F.col("s") >= SIMILAR).select("a", "b")
     joined = components(links)
-    rest = _rest(crowd, compared, joined)
-    more = cut(_compared(rest, bags).where(F.col("s") >= SIMILAR).select("a", "b"))
-    if not more.isEmpty():
-        joined = components(links.unionByName(more))
+    filed = _filed(crowd, bags, joined)
+    for pairs in (_nearest, _apart):
+        more = cut(_compared(pairs(_placed(filed, joined)), bags).where(F.col("s") >= SIMILAR).select("a", "b"))
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            joined = components(links)
     named = nodes.select("node", "_id").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     whole = named.groupBy("component").agg(F.min("_id").alias("class_id"), F.count(F.lit(1)).alias("n_class"))
     by_node = named.select("node", "component").join(whole, "component").drop("component")
@@ -220,24 +223,52 @@ def classes(docs: DataFrame) -> DataFrame:
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True))))
 
 
-def _rest(crowd: DataFrame, compared: DataFrame, joined: DataFrame) -> DataFrame:
-    """Pairs of a bucket that lie in different components and could still be similar."""
-    known = compared.select(F.col("a").alias("node"), F.col("b").alias("p"), "s")
-    at = (crowd.join(joined, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-          .join(joined.select(F.col("node").alias("p"), F.col("component").alias("pc")), "p", "left").withColumn("pc", F.coalesce("pc", "p"))
-          .join(known, ["node", "p"], "left")
-          # The similarity to the smallest node, or a bound of it where the sizes spared the comparison.
-          .withColumn("far", 1 - F.when(F.col("node") == F.col("p"), F.lit(1.0)).otherwise(F.coalesce("s", F.least("n", "pn") / F.greatest("n", "pn"))))
-          .withColumn("sure", (F.col("node") == F.col("p")) | F.col("s").isNotNull()))
+def _filed(crowd: DataFrame, bags: DataFrame, joined: DataFrame) -> DataFrame:
+    """el, node, n, at: the first elements of the nodes of buckets that are not of one component.
+
+    Two bags of the wanted similarity share an element among the first ``n - SIMILAR * n + 1`` of each in any
+    common order; with the rarest elements first, bags that share only a frequent passage never meet."""
+    own = crowd.join(joined, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+    at = own.join(joined.select(F.col("node").alias("p"), F.col("component").alias("pc")), "p", "left").withColumn("pc", F.coalesce("pc", "p"))
     open_keys = at.where(F.col("c") != F.col("pc")).select("key").distinct()
-    inside = cut(at.join(open_keys, "key").select("key", "node", "n", "p", "c", "pc", "far", "sure"))
-    x = inside.where(F.col("c") != F.col("pc")).select("key", F.col("node").alias("a"), F.col("n").alias("an"), F.col("c").alias("ac"), F.col("far").alias("af"), F.col("sure").alias("asure"))
-    y = inside.where(F.col("node") != F.col("p")).select("key", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("c").alias("bc"), F.col("pc"), F.col("far").alias("bf"), F.col("sure").alias("bsure"))
-    gap = 1 - SIMILAR + 1e-9
-    near = ~(F.col("asure") & F.col("bsure")) | (F.abs(F.col("af") - F.col("bf")) <= gap)
-    # Both outside the smallest node's component: one order is enough.
-    once = (F.col("bc") == F.col("pc")) | (F.col("a") < F.col("b"))
-    return x.join(y, "key").where((F.col("ac") != F.col("bc")) & _fits("an", "bn") & near & once).select("a", "b").distinct()
+    inside = cut(at.join(open_keys, "key").select("node", "n").distinct())
+    flat = inside.join(bags, "node").select("node", "n", F.explode("bag").alias("el"))
+    seen = flat.groupBy("el").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1")
+    order = Window.partitionBy("node").orderBy(F.coalesce("seen", F.lit(1)), "el")
+    first = (flat.join(seen, "el", "left").withColumn("at", F.row_number().over(order))
+             .where((F.col("at") <= F.col("n") - F.ceil(SIMILAR * F.col("n") - 1e-9) + 1) & (F.col("seen") > 1)))
+    return cut(first.select("el", "node", "n", "at"))
+
+
+def _placed(filed: DataFrame, joined: DataFrame) -> DataFrame:
+    """The filed nodes with their component ``c`` and its size."""
+    many = joined.groupBy("component").agg(F.count(F.lit(1)).alias("many"))
+    known = joined.join(many, "component").select("node", F.col("component").alias("c"), "many")
+    return filed.join(known, "node", "left").withColumn("c", F.coalesce("c", "node")).withColumn("many", F.coalesce("many", F.lit(1)))
+
+
+#: What two bags may share from a common element on must reach the overlap that the similarity needs.
+_ROOM = f"1 + least(an - ai, bn - bi) >= {SIMILAR / (1 + SIMILAR)} * (an + bn) - 1e-9"
+
+
+def _nearest(placed: DataFrame) -> DataFrame:
+    """Each node with the one that has the fewest rarer elements before a common one, if that lies in another component."""
+    core = placed.groupBy("el").agg(F.min(F.struct("at", "node", "n", "c")).alias("q"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    return (placed.join(core, "el").where(F.col("c") != F.col("q.c"))
+            .select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("at").alias("ai"), F.col("q.node").alias("b"), F.col("q.n").alias("bn"), F.col("q.at").alias("bi"))
+            .where(_fits("an", "bn") & F.expr(_ROOM)).select("a", "b").distinct())
+
+
+def _apart(placed: DataFrame) -> DataFrame:
+    """All pairs that meet in an element, fit and lie in different components."""
+    placed = cut(placed)
+    # An element's nodes outside its largest component meet all its nodes of other components.
+    main = placed.groupBy("el").agg(F.max(F.struct("many", "c")).alias("m"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
+    met = placed.join(main.select("el", F.col("m.c").alias("main")), "el")
+    x = met.where(F.col("c") != F.col("main")).select("el", F.col("node").alias("a"), F.col("n").alias("an"), F.col("c").alias("ac"), F.col("at").alias("ai"))
+    y = met.select("el", "main", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("c").alias("bc"), F.col("at").alias("bi"))
+    once = (F.col("bc") == F.col("main")) | (F.col("a") < F.col("b"))
+    return x.join(y, "el").where((F.col("ac") != F.col("bc")) & _fits("an", "bn") & F.expr(_ROOM) & once).select("a", "b").distinct()
 
 
 def report(docs: DataFrame) -> DataFrame:

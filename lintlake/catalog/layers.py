@@ -72,7 +72,7 @@ ENV_PRUNED_DIRS = ["node_modules", ".git", "__pycache__", "venv", ".venv", "dist
 TEST_PRUNED_DIRS = ["node_modules", ".git", "__pycache__", ".venv", "venv", ".tox",
                     ".mypy_cache", ".pytest_cache", "dist", "build"]
 
-# File tags.
+# File tags.  A file longer than MAX_LOC is labelled, and scanned like any other.
 MAX_LOC = 10_000
 NOMINAL_LOC = 10
 TEST_MARKS = ["__tests__/", ".test.", ".spec.", "/test/", "/tests/"]

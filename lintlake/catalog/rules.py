@@ -219,7 +219,6 @@ FIX_CHECKS = [
     ("java", "R07", r"Map[^<]", r"//", "Raw Map type"),
     ("java", "R09", r"System\.out\.print", "", "System.out"),
 ]
-FIX_CHECK_HITS = 5
 
 # Unfinished-work markers and unsafe-type patterns looked for in changed files.
 STUB = (r"(//|/\*|\*|#|--)\s*.*(TODO|FIXME|HACK)|[Nn]ot.[Ii]mplemented|[Cc]oming.[Ss]oon|"

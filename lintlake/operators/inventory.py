@@ -43,9 +43,7 @@ def inventory(files: DataFrame, authority=()) -> DataFrame:
             .withColumn("tag", tag(path, content, loc))
             .withColumn("nominal", paths.nominal(path, loc, authority))
             .withColumn("is_meta_file", meta_file(path, content))
-            .withColumn("skip_reason", F.when(F.col("tag") == "GENERATED", "Generated source file")
-                        .when(F.col("tag") == "OVERSIZED", F.concat(
-                            F.lit(f"Exceeds {L.MAX_LOC} LOC limit ("), loc.cast("string"), F.lit(" lines)")))))
+            .withColumn("skip_reason", F.when(F.col("tag") == "GENERATED", "Generated source file")))
 
 
 def source_tree(files: DataFrame) -> DataFrame:

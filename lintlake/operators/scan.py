@@ -87,13 +87,14 @@ def rule_hits(files: DataFrame, by_stack: dict[str, list[R.Rule]], *keep: str) -
 
 def rule_scan(files: DataFrame, by_stack: dict[str, list[R.Rule]] = R.BY_STACK) -> DataFrame:
     """Findings of the line rules over files(path, stack, layer, tag, content, is_meta_file)."""
-    source = files.where(F.col("tag") == "SOURCE") if "tag" in files.columns else files
+    # A long file is scanned like any other: its lines are rows.
+    source = files.where(F.col("tag").isin("SOURCE", "OVERSIZED")) if "tag" in files.columns else files
     hits = rule_hits(source, by_stack, "path", "layer")
     return hits.select(
         F.col("hit.rule").alias("rule"), F.col("hit.severity").alias("severity"),
         F.col("hit.category").alias("category"), F.col("path").alias("file"), "line",
         F.col("line").alias("end_line"), F.substring("code", 1, 200).alias("snippet"),
-        F.substring("code", 1, 200).alias("current_code"), F.col("hit.description").alias("description"),
+        F.col("code").alias("current_code"),F.col("hit.description").alias("description"),
         F.concat(F.col("hit.description"), F.lit(": "), F.col("hit.confidence_reason")).alias("explanation"),
         F.coalesce(F.regexp_substr("code", F.col("hit.pattern")), F.col("hit.pattern")).alias("search_pattern"),
         F.col("hit.target_code").alias("target_code"), F.col("hit.phase").alias("phase"),
@@ -114,18 +115,18 @@ def _fix_test(pattern: str, excuse: str):
 
 
 def _fix_row(rule: str, message: str):
-    return lambda row: F.struct(F.lit(rule).alias("rule"), F.lit(message).alias("message"), row["line"].alias("line"))
+    return lambda row, i: F.struct(F.lit(rule).alias("rule"), F.lit(message).alias("message"), row["line"].alias("line"), (i + 1).alias("n"))
 
 
-def fix_compliance(files: DataFrame, checks=R.FIX_CHECKS, keep_hits: int = R.FIX_CHECK_HITS) -> DataFrame:
-    """First hits per check and file: (path, rule, message, line).
+def fix_compliance(files: DataFrame, checks=R.FIX_CHECKS) -> DataFrame:
+    """Hits per check and file, numbered: (path, rule, message, line, n).
 
-    The hits of one file are found and cut inside its row, so no window is needed."""
+    The hits of one file are found and numbered inside its row, so no window is needed."""
     numbered = F.transform(text.real_lines(F.col("content")), lambda l, i: F.struct((i + 1).alias("line"), l.alias("text")))
     per_check = []
     for stack, rule, pattern, excuse, message in checks:
         test = _fix_test(pattern, excuse)
-        matching = F.slice(F.filter(F.col("numbered"), test), 1, keep_hits)
+        matching = F.filter(F.col("numbered"), test)
         per_check.append(F.when(F.col("stack") == stack, F.transform(matching, _fix_row(rule, message))))
     found = files.select("path", "stack", numbered.alias("numbered"))
     return (found.select("path", F.explode(F.flatten(F.array_compact(F.array(*per_check)))).alias("hit"))

@@ -144,7 +144,7 @@ def batch_size(total_loc: Column, files: Column) -> Column:
 
 def scan_batches(listed: DataFrame) -> DataFrame:
     """Files worth a close scan, in path order, cut into batches: (path, layer, batch)."""
-    usable = ~F.col("tag").isin("OVERSIZED", "GENERATED") & ~F.col("nominal") & ~F.col("is_meta_file")
+    usable = (F.col("tag") != "GENERATED") &~F.col("nominal") & ~F.col("is_meta_file")
     size = listed.agg(batch_size(F.sum("loc"), F.count_if(usable)).alias("size")).scalar()
     placed = numbered(listed.where(usable).select("path", "layer"), [], [F.col("path")], "at")
     return placed.select("path", "layer", F.ceil(F.col("at") / size).cast("int").alias("batch"))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lintlake import schema  # noqa: F401  (schemas of the frames named below)
 from lintlake.catalog import maps as M
 from lintlake.functions import severity
 from lintlake.functions.lookup import first_match
 from lintlake.functions.rows import beside
+from lintlake.operators.ordering import numbered
 
 
 def recall_misses(expected: DataFrame, found: DataFrame) -> DataFrame:
@@ -183,11 +184,10 @@ def snippet_sample_size(total: Column) -> Column:
 
 
 def sampled(frame: DataFrame, key: str, size) -> DataFrame:
-    """A fixed sample: the rows whose key hashes lowest, as many as ``size(total)`` says (fifty at most)."""
+    """A fixed sample: the rows whose key hashes lowest, as many as ``size(total)`` says."""
     total = frame.agg(size(F.count(F.lit(1))).alias("n"))
-    lowest = frame.withColumn("_h", F.sha2(F.col(key).cast("string"), 256)).orderBy("_h", key).limit(50)
-    place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("_h", key))  # fifty rows
-    return beside(lowest.withColumn("_p", place), total).where(F.col("_p") <= F.col("n")).drop("_h", "_p", "n")
+    placed = numbered(frame.withColumn("_h", F.sha2(F.col(key).cast("string"), 256)), [], [F.col("_h"), F.col(key)], "_p")
+    return beside(placed, total).where(F.col("_p") <= F.col("n")).drop("_h", "_p", "n")
 
 
 def unverified_phases(completed: DataFrame, verified: DataFrame) -> DataFrame:

@@ -105,7 +105,7 @@ def next_task(spark, folder):
 
 
 # ------------------------------------------------------------------------ scan batches
-ELIGIBLE = f"SELECT path, layer, loc FROM listed WHERE tag NOT IN ('OVERSIZED', 'GENERATED') AND NOT nominal AND NOT is_meta_file"
+ELIGIBLE = f"SELECT path, layer, loc FROM listed WHERE tag <> 'GENERATED' AND NOT nominal AND NOT is_meta_file"
 SIZE = "greatest(5, least(30, floor(570000 / (floor((SELECT sum(loc) FROM listed) / greatest((SELECT count(*) FROM eligible), 1)) * 5 + 500))))"
 BATCHES = f"SELECT path, layer, cast(ceil(row_number() OVER (ORDER BY path) / {SIZE}) AS int) AS batch FROM eligible"
 BATCHED = dict(listed=LISTED, eligible=ELIGIBLE, batches=BATCHES)

@@ -39,8 +39,7 @@ def _layer_sql() -> str:
 HEAD = "array_to_string(list_slice(string_split(content, chr(10)), 1, {n}), chr(10))"
 LOC = "cast(CASE WHEN content = '' THEN 0 ELSE len(string_split(content, chr(10))) - (CASE WHEN suffix(content, chr(10)) THEN 1 ELSE 0 END) END AS int)"
 
-LISTED = f"""SELECT *, CASE WHEN tag = 'GENERATED' THEN 'Generated source file'
-      WHEN tag = 'OVERSIZED' THEN concat('Exceeds {L.MAX_LOC} LOC limit (', cast(loc AS varchar), ' lines)') END AS skip_reason,
+LISTED = f"""SELECT *, CASE WHEN tag = 'GENERATED' THEN 'Generated source file' END AS skip_reason,
       loc < {L.NOMINAL_LOC} AS nominal
 FROM (SELECT *, CASE WHEN loc > {L.MAX_LOC} THEN 'OVERSIZED' WHEN {_any('lower(path)', L.TEST_MARKS)} THEN 'TEST'
       WHEN {_any('lower(path)', L.GENERATED_PATHS)} OR {_any('lower(' + HEAD.format(n=5) + ')', L.GENERATED_MARKS)} THEN 'GENERATED'
@@ -202,7 +201,7 @@ def _scan_sql(by_stack, source: str) -> str:
 
 PROSE_LINES = """SELECT path, layer, stack, line, text, trim(text, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))) AS code, false AS is_meta_file FROM lines"""
 CODE_SOURCE = f"""SELECT l.path, layer, l.stack, line, text, trim(text, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))) AS code, is_meta_file
-FROM code_lines l JOIN listed i ON l.path = i.path WHERE tag = 'SOURCE'"""
+FROM code_lines l JOIN listed i ON l.path = i.path WHERE tag IN ('SOURCE', 'OVERSIZED')"""
 FINDING_COLUMNS = """rule, severity, category, file, line, substr(code, 1, 200) AS snippet, description, phase, target_code, layer,
   confidence, confidence_reason, search_pattern"""
 SPARK_COLUMNS = ["rule", "severity", "category", "file", "line", "snippet", "description", "phase", "target_code", "layer",
@@ -258,7 +257,7 @@ def _fix_sql() -> str:
     return " UNION ALL ".join(out)
 
 
-@query("fix_compliance", V.sql("code_lines", f"SELECT path, rule, message, line FROM ({_fix_sql()}) WHERE n <= {R.FIX_CHECK_HITS}"))
+@query("fix_compliance", V.sql("code_lines", f"SELECT path, rule, message, line, cast(n AS int) AS n FROM ({_fix_sql()})"))
 def fix_compliance(spark, folder):
     return scan.fix_compliance(V.code_files(spark, folder))
 

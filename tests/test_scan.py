@@ -106,3 +106,18 @@ def test_empty_and_missing_last_newline(spark):
     frame = spark.createDataFrame([("",), ("a",), ("a\n",), ("a\n\n",)], "content string")
     from lintlake.functions.text import loc
     assert [r[0] for r in frame.select(loc(F.col("content"))).collect()] == [0, 1, 1, 2]
+
+
+def test_long_files_are_scanned(spark):
+    content = "console.log('a')\n" * 10_001
+    files = inventory.inventory(spark.createDataFrame([("r", "src/long.ts", "typescript", content)], "repo string, path string, stack string, content string"))
+    row = files.select("tag", "skip_reason").first()
+    assert row.tag == "OVERSIZED" and row.skip_reason is None
+    assert scan.rule_scan(files).where("rule = 'R09'").select("line").distinct().count() == 10_001
+
+
+def test_code_of_a_finding_is_whole(spark):
+    line = "console.log('" + "x" * 500 + "')"
+    files = inventory.inventory(spark.createDataFrame([("r", "src/a.ts", "typescript", line)], "repo string, path string, stack string, content string"))
+    row = scan.rule_scan(files).where("rule = 'R09'").first()
+    assert row.current_code == line and row.snippet == line[:200]

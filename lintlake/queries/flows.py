@@ -69,12 +69,15 @@ def sink_json_lines(spark, folder):
     return readers.findings(spark, home).groupBy("layer", "severity").agg(F.count(F.lit(1)).alias("findings"), F.sum("line").alias("lines"))
 
 
-@query("sink_numbered_lines", "SELECT count(*) AS lines, cast(sum(line_no) AS bigint) AS numbers, count(DISTINCT line_no) AS distinct_numbers FROM (SELECT row_number() OVER () AS line_no FROM events)")
+@query("sink_numbered_lines", "SELECT user_id, count(*) AS lines, cast(sum(line_no) AS bigint) AS numbers, count(DISTINCT line_no) AS distinct_numbers FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id) AS line_no FROM events) GROUP BY user_id")
 def sink_numbered_lines(spark, folder):
-    """One text file read back with line numbers."""
+    """One text file per user, written by many tasks and read back with line numbers."""
     home = scratch(spark, "lines")
-    V.table(spark, folder, "events").select(F.to_json(F.struct("event_id", "value")).alias("value")).coalesce(1).write.text(home)
-    return readers.numbered_json_lines(spark, home).agg(F.count(F.lit(1)).alias("lines"), F.sum("line_no").cast("long").alias("numbers"), F.countDistinct("line_no").alias("distinct_numbers"))
+    row = V.table(spark, folder, "events").select(F.to_json(F.struct("event_id", "user_id", "value")).alias("value"), F.col("user_id").alias("part"))
+    row.repartition("part").write.partitionBy("part").text(home)
+    user = F.get_json_object("value", "$.user_id").cast("long").alias("user_id")
+    return readers.numbered_json_lines(spark, home).groupBy(user).agg(
+        F.count(F.lit(1)).alias("lines"), F.sum("line_no").cast("long").alias("numbers"), F.countDistinct("line_no").alias("distinct_numbers"))
 
 
 @query("sink_phase_tables", V.sql("findings", "SELECT phase, count(*) AS tasks, max(n) AS last_position FROM (SELECT *, row_number() OVER (PARTITION BY phase ORDER BY file, line, id) AS n FROM findings) GROUP BY phase"))

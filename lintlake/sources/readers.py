@@ -38,9 +38,9 @@ def json_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def numbered_json_lines(spark: SparkSession, path: str) -> DataFrame:
     """raw(source, line_no, value), blank lines counted.  A file's lines keep their order across its splits."""
-    rows = spark.read.text(path).select(F.col("_metadata.file_name").alias("source"), F.col("_metadata.file_block_start").alias("_block"),
+    rows = spark.read.text(path).select(F.col("_metadata.file_name").alias("source"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
                                         F.monotonically_increasing_id().alias("_at"), "value")
-    return numbered(rows, [F.col("source")], [F.col("_block"), F.col("_at")], "line_no").select("source", "line_no", "value")
+    return numbered(rows, [F.col("_file")], [F.col("_block"), F.col("_at")], "line_no").select("source", "line_no", "value")
 
 
 def findings(spark: SparkSession, path: str) -> DataFrame:

@@ -61,5 +61,7 @@ def latest_windows(spark: SparkSession, out: str) -> DataFrame:
 
 
 def table_stream(spark: SparkSession, folder: str, name: str, schema: StructType) -> DataFrame:
-    """A stream over the files of one table in a folder of tables."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    """A stream over one table in a folder of tables, be it one file or a folder of part files.
+
+    A stream takes a single file only by a pattern, so the last letter is one."""
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parque[t]")

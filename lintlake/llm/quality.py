@@ -18,41 +18,70 @@ without any training row, or with rows of one label only, the score is the share
 from __future__ import annotations
 
 import math
+import operator
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lintlake.llm.common import Hashes, text_of
+from lintlake.llm.common import text_of
 
 SAMPLE = 6000  # labelled rows that the model is fitted on at most
 BUCKETS = 1 << 11
 RANK = 6
 EPOCHS = 30
 ACCEPT = 0.7
-_TOKENS = re.compile(r"\S+")
 _MARKS = re.compile(r"[^\w\s]")
 _RUNS = re.compile(r"[^\w\s]{2,}")
 N_STATS = 20
 
 
-def statistics(text: str, tokens: list[str], counts: dict[str, int], n_chars: float | None) -> list[float]:
+class Words(dict):
+    """Numbers of words and what a document's vector needs of each, remembered for the words seen last.
+
+    ``facts`` has, by number: bucket, marks, runs of marks, and whether it is alphanumeric, in upper case,
+    capitalised, its digits, and whether it lacks letters and digits."""
+
+    def __init__(self, most: int = 400_000) -> None:
+        super().__init__()
+        self.most = most
+        self.facts = np.zeros((1024, 8), np.int64)
+
+    def __missing__(self, word: str) -> int:
+        number = len(self)
+        if number == len(self.facts):
+            self.facts = np.concatenate([self.facts, np.zeros_like(self.facts)])
+        bucket = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) & (BUCKETS - 1)
+        if word.isalpha() and word.islower():
+            self.facts[number] = (bucket, 0, 0, 1, 0, 0, 0, 0)
+        else:
+            self.facts[number] = (bucket, len(_MARKS.findall(word)), len(_RUNS.findall(word)), word.isalnum(), word.isupper(),
+                                  word[0].isupper(), sum(map(str.isdigit, word)), not any(map(str.isalnum, word)))
+        self[word] = number
+        return number
+
+    def of(self, counts: dict[str, int]) -> np.ndarray:
+        """The facts of a document's words; the memory is emptied when it would hold more than ``most``."""
+        if len(self) + len(counts) > self.most:
+            self.clear()
+        numbers = np.fromiter(map(self.__getitem__, counts), np.int64, len(counts))
+        return self.facts[numbers]
+
+
+def statistics(text: str, tokens: list[str], counts: np.ndarray, facts: np.ndarray, n_chars: float | None) -> list[float]:
     """Structure statistics of a text, each scaled to about -1 .. 1, and the stated size."""
     n, chars = len(tokens), len(text)
     if not n:
         return [1.0, *[0.0] * (N_STATS - 1)]
-    marks = len(_MARKS.findall(text))
-    runs = len(_RUNS.findall(text))
-    same = sum(a == b for a, b in zip(tokens, tokens[1:], strict=False))
-    most = max(counts.values())
-    bare = sum(t.isalnum() for t in tokens)
-    upper = sum(t.isupper() for t in tokens)
-    title = sum(t[0].isupper() for t in tokens)
-    digits = sum(map(str.isdigit, text))
-    alone = sum(not any(map(str.isalnum, t)) for t in tokens)
+    # Marks, runs of marks and digits lie within words, so their numbers add up from those of the words.
+    _, marks, runs, bare, upper, title, digits, alone = (counts @ facts).tolist()
+    same = sum(map(operator.eq, tokens, tokens[1:]))
+    most = int(counts.max())
     lines = text.split("\n")
     size = n_chars if n_chars is not None and n_chars >= 0 else chars
     # Types grow more slowly than tokens: compare with a Heaps-like expectation.
@@ -63,19 +92,16 @@ def statistics(text: str, tokens: list[str], counts: dict[str, int], n_chars: fl
         alone / n, math.log1p(chars / n) / 3, math.log1p(len(lines)) / 6, len(set(lines)) / len(lines), math.log1p(size) / 13]
 
 
-def features(text: str | None, n_chars: float | None, hashes: Hashes) -> tuple[np.ndarray, np.ndarray]:
+def features(text: str | None, n_chars: float | None, known: Words) -> tuple[np.ndarray, np.ndarray]:
     """Indices and values of a document's vector."""
     text = text or ""
-    tokens = _TOKENS.findall(text)
-    counts: dict[str, int] = {}
-    for token in tokens:
-        counts[token] = counts.get(token, 0) + 1
-    stats = statistics(text, tokens, counts, n_chars)
-    at = np.fromiter((hashes[w] & (BUCKETS - 1) for w in counts), np.int64, len(counts))
-    shares = np.fromiter(counts.values(), np.float64, len(counts))
-    if len(counts):
-        shares = np.sqrt(shares / len(tokens))
-    return np.concatenate([at, np.arange(BUCKETS, BUCKETS + N_STATS)]), np.concatenate([shares, stats])
+    tokens = text.split()
+    words = Counter(tokens)
+    counts = np.fromiter(words.values(), np.int64, len(words))
+    facts = known.of(words)
+    stats = statistics(text, tokens, counts, facts, n_chars)
+    shares = np.sqrt(counts / len(tokens)) if len(counts) else np.zeros(0)
+    return np.concatenate([facts[:, 0], np.arange(BUCKETS, BUCKETS + N_STATS)]), np.concatenate([shares, stats])
 
 
 @dataclass
@@ -154,9 +180,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     picked = picked.dropDuplicates(["doc_id"])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = Hashes()
+        known = Words()
         for frame in frames:
-            made = [features(t, None if s != s else s, hashes) for t, s in zip(frame["_text"], frame["_size"].astype(float), strict=True)]
+            made = [features(t, None if s != s else s, known) for t, s in zip(frame["_text"], frame["_size"].astype(float), strict=True)]
             yield pd.DataFrame({"doc_id": frame["doc_id"], "label": frame["_label"], "at": [m[0] for m in made], "value": [m[1] for m in made]})
 
     found = picked.mapInPandas(run, "doc_id long, label double, at array<long>, value array<double>").toPandas().sort_values("doc_id")
@@ -167,9 +193,9 @@ def scorer(model: Model):
     """A column function (text, n_chars) -> score."""
     @F.pandas_udf("double")
     def score(frames: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        hashes = Hashes()
+        known = Words()
         for texts, sizes in frames:
-            made = [features(t, None if s is None or s != s else float(s), hashes) for t, s in zip(texts, sizes, strict=True)]
+            made = [features(t, None if s is None or s != s else float(s), known) for t, s in zip(texts, sizes, strict=True)]
             # Small groups keep the gathered factors small whatever the batch.
             yield pd.Series(np.concatenate([np.zeros(0), *[model.scores(made[k:k + 256]) for k in range(0, len(made), 256)]]))
 

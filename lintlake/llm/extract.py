@@ -3,7 +3,8 @@
 ``html.parser`` streams over a page once.  Its events cut the page into lines, one per block
 element, and count the characters and tags of each.  The ratio of characters to tags is
 smoothed over neighbouring lines with a Gaussian, lines above a threshold are clustered into
-regions, and the element that holds the regions gives the main text.  Elements that are never
+regions, and the innermost sectioning element that holds all regions gives the main text, with its
+heading.  Elements that are never
 main text (menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles,
 reader comments) are known from their tag, role or class and have the ratio 0.
 
@@ -24,7 +25,6 @@ from pyspark.sql import DataFrame
 
 SIGMA = 1.0
 RADIUS = 2
-COVER = 0.8  # share of the selected text that the main element holds at least
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -39,7 +39,7 @@ HINTS = frozenset(
     "gdpr notice notification popup modal overlay newsletter subscribe subscription signup sidebar sidenav menu nav navbar "
     "navigation breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar comment comments commentlist reply "
     "replies disqus respond share sharing social related recommended widget widgets".split())
-ROOTS = frozenset(("html", "body", "main", "article"))
+CONTAINERS = frozenset("html body main article section div center".split())  # what can be the main element
 _WORDS = re.compile(r"[a-z0-9]+")
 _CAMEL = re.compile(r"([a-z0-9])([A-Z])")
 _OPEN_END = re.compile(r"<(?:!--(?:(?!-->).)*|[A-Za-z/!?][^<>]*)\Z", re.S)
@@ -203,30 +203,43 @@ def main_text(html: str | None) -> str:
     if not lines:
         return ""
     chosen = regions([len(line.text) / line.tags for line in lines])
-    # The element that holds the regions: the innermost article or main if there is one with selected
-    # text, or else the innermost element that holds most of the selected text.
-    held: dict[int, int] = {}
-    total = 0
-    for line, content in zip(lines, chosen, strict=True):
-        if content:
-            total += len(line.text)
-            for number in line.path:
-                held[number] = held.get(number, 0) + len(line.text)
-    named = [n for n in held if events.kinds[n] in ("article", "main")]
-    if named:
-        most = max(held[n] for n in named)
-        best = max((n for n in named if held[n] >= COVER * most), default=None)
-    else:
-        best = max((n for n in held if held[n] >= COVER * total), default=None)
+    # The element that holds the regions: the innermost container with all of the selected text.  Where
+    # article or main have selected text, only what is in them counts.
+    picked = [k for k, content in enumerate(chosen) if content]
+    roots = {k: _root(lines[k], events.kinds) for k in picked}
+    named = [k for k in picked if roots[k] is not None]
+    common = set.intersection(*[set(lines[k].path) for k in named or picked])
+    best = max((n for n in common if events.kinds[n] in CONTAINERS), default=None)
     inside = [k for k, line in enumerate(lines) if best is None or best in line.path]
     if best is None or events.kinds[best] in ("html", "body"):
-        # No element of its own: from the first region to the last, with the heading lines before the first.
-        picked = [k for k in inside if chosen[k]]
-        first = picked[0]
-        while first > inside[0] and any(events.kinds[n] in ("h1", "h2") for n in lines[first - 1].path):
-            first -= 1
-        inside = [k for k in inside if first <= k <= picked[-1]]
-    return "\n\n".join(lines[k].text for k in inside)
+        # No element of its own: from the first region to the last, or from the first article to the last.
+        held = {roots[k] for k in named}
+        ends = [k for k in inside if not held.isdisjoint(lines[k].path)] if named else picked
+        inside = list(range(ends[0], ends[-1] + 1))
+    return "\n\n".join(lines[k].text for k in _headed(inside, lines, events.kinds))
+
+
+def _root(line: Line, kinds: list[str]) -> int | None:
+    """The outermost article or main around a line."""
+    return next((n for n in line.path if kinds[n] in ("article", "main")), None)
+
+
+def _headed(inside: list[int], lines: list[Line], kinds: list[str]) -> list[int]:
+    """Lines of a text, with its heading and what stands between where that precedes its element: the
+    nearest h1 within the same article or main, or else the h1 and h2 directly before."""
+
+    def heads(k: int, *tags: str) -> bool:
+        return any(kinds[n] in tags for n in lines[k].path)
+
+    first = inside[0]
+    if any(heads(k, "h1") for k in inside):
+        return inside
+    root = _root(lines[first], kinds)
+    if root is not None:
+        first = next((k for k in range(first - 1, -1, -1) if root in lines[k].path and heads(k, "h1")), first)
+    while first and heads(first - 1, "h1", "h2") and _root(lines[first - 1], kinds) == root:
+        first -= 1
+    return [*range(first, inside[0]), *inside]
 
 
 def extract(pages: DataFrame) -> DataFrame:

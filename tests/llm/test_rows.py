@@ -85,6 +85,22 @@ def test_main_text():
     assert extract.main_text(flat) == "\n\n".join(f"Paragraph {k} has quite a number of words in it." for k in range(6))
 
 
+def test_main_text_keeps_heading_lead_and_split_articles():
+    long, more = "A long sentence of the text. " * 11, "Another long sentence here. " * 10
+    joined = lambda *parts: "\n\n".join(p.strip() for p in parts)
+    for wrapper in ("div", "section", "body"):
+        page = f"<{wrapper}><h1>T</h1><p>{long}</p><p>Thirty characters of short text</p></{wrapper}>"
+        assert extract.main_text(page) == joined("T", long, "Thirty characters of short text")
+    listed = f"<body><div><h1>T</h1><ul><li>{long}</li><li>short one</li></ul></div><div><a>x</a><a>y</a><a>z</a></div></body>"
+    assert extract.main_text(listed).startswith(joined("T", long, "short one"))
+    paragraphs = "".join(f"<p>{long}</p>" for _ in range(8))
+    lead = f"<main><h1>T</h1><p>A lead.</p><article>{paragraphs}</article></main>"
+    assert extract.main_text(lead) == joined("T", "A lead.", *[long] * 8)
+    for around in ("<body>{}</body>", "<body><main>{}</main></body>", "<body><div>{}</div></body>"):
+        split = around.format(f"<article><h1>A</h1><p>{long}</p></article><article><h1>B</h1><p>{more}</p></article>")
+        assert extract.main_text(split) == joined("A", long, "B", more)
+
+
 def test_main_text_of_given_pages(spark, folder):
     import html
     pages = table(spark, folder, "pages")

@@ -6,7 +6,9 @@ smoothed over neighbouring lines with a Gaussian, lines above a threshold are cl
 regions, and the innermost sectioning element that holds all regions gives the main text, with its
 heading.  Elements that are never
 main text (menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles,
-reader comments) are known from their tag, role or class and have the ratio 0.
+reader comments) are known from their tag, role or class and have the ratio 0.  A class or id is only
+a hint: alone it leaves out no article, nothing that holds an article, main or h1, and nothing that
+holds most of the text of a page without an article or main elsewhere.
 
 Defined cases: a null or empty page gives an empty text; a page without any text line gives an
 empty text; an unfinished tag at the end of a page is markup and is dropped; repeated rows give
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -39,6 +42,9 @@ HINTS = frozenset(
     "gdpr notice notification popup modal overlay newsletter subscribe subscription signup sidebar sidenav menu nav navbar "
     "navigation breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar comment comments commentlist reply "
     "replies disqus respond share sharing social related recommended widget widgets".split())
+COMMENTS = frozenset("comment comments commentlist reply replies disqus respond".split())
+BEFORE = frozenset("has no not with without show hide".split())  # these make the words after them in a class name no hint
+AFTER = frozenset("free on off enabled disabled".split())  # these, as the last word, the words before them
 CONTAINERS = frozenset("html body main article section div center".split())  # what can be the main element
 _WORDS = re.compile(r"[a-z0-9]+")
 _CAMEL = re.compile(r"([a-z0-9])([A-Z])")
@@ -46,24 +52,39 @@ _OPEN_END = re.compile(r"<(?:!--(?:(?!-->).)*|[A-Za-z/!?][^<>]*)\Z", re.S)
 
 
 class Line:
-    """The text of one block: its pieces, the tags met in it and the elements around it."""
+    """The text of one block: its pieces with the element around each, the tags met in it and, once it
+    is known what is left out, the elements around it."""
 
     __slots__ = ("pieces", "tags", "path", "text")
 
-    def __init__(self, path: tuple[int, ...]) -> None:
-        self.pieces: list[str] = []
+    def __init__(self) -> None:
+        self.pieces: list[tuple[str, int]] = []
         self.tags = 1
-        self.path = path
+        self.path: tuple[int, ...] = ()
         self.text = ""
 
 
+def _hint(value: str) -> int:
+    """0 if a class or id is no hint, 2 if it hints at reader comments, or else 1."""
+    made = 0
+    for name in value.split():
+        words = _WORDS.findall(_CAMEL.sub(r"\1 \2", name).lower())
+        for k, word in enumerate(words):
+            if word in HINTS and BEFORE.isdisjoint(words[:k]) and (words[-1] not in AFTER or k == len(words) - 1):
+                made = max(made, 2 if word in COMMENTS else 1)
+    return made
+
+
 class Events(HTMLParser):
-    """Turns parser events into lines.  ``kinds`` has the tag of each element by number."""
+    """Turns parser events into lines.  ``kinds``, ``parents`` and ``hints`` have the tag, the number of the
+    element around and the hint of each element by number."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
         self.kinds: list[str] = []
+        self.parents: list[int] = []
+        self.hints: list[int] = []
         self.open: list[tuple[str, int, bool]] = []  # tag, number, whether its text is left out
         self.here: Line | None = None
 
@@ -77,14 +98,13 @@ class Events(HTMLParser):
                 return True
             if name == "role" and (value or "").strip().lower() in ROLES:
                 return True
-            if name in ("class", "id") and value and tag not in ("html", "body", "main"):
-                if not HINTS.isdisjoint(_WORDS.findall(_CAMEL.sub(r"\1 \2", value).lower())):
-                    return True
             if name == "style" and value and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 return True
         return False
 
-    def _push(self, tag: str, left_out: bool) -> None:
+    def _push(self, tag: str, left_out: bool, hint: int) -> None:
+        self.parents.append(self.open[-1][1] if self.open else -1)
+        self.hints.append(hint)
         self.open.append((tag, len(self.kinds), left_out or bool(self.open and self.open[-1][2])))
         self.kinds.append(tag)
 
@@ -116,12 +136,13 @@ class Events(HTMLParser):
         elif self.here is not None:
             self.here.tags += 1
             if tag == "br":
-                self.here.pieces.append(" ")
+                self.here.pieces.append((" ", self.open[-1][1] if self.open else -1))
         if tag in VOID:
             return
         left_out = self._left_out(tag, attrs)
-        if block or left_out:
-            self._push(tag, left_out)
+        hint = 0 if left_out or tag in ("html", "body", "main") else max((_hint(v) for n, v in attrs if n in ("class", "id") and v), default=0)
+        if block or left_out or hint:
+            self._push(tag, left_out, hint)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -144,9 +165,59 @@ class Events(HTMLParser):
         if self.here is None:
             if not data.strip():
                 return
-            self.here = Line(tuple(number for _, number, _ in self.open))
+            self.here = Line()
             self.lines.append(self.here)
-        self.here.pieces.append(data)
+        self.here.pieces.append((data, self.open[-1][1] if self.open else -1))
+
+    def hinted_out(self) -> list[bool]:
+        """Which elements are left out by hints, their own or one of an element around them."""
+        n = len(self.kinds)
+        if not any(self.hints):
+            return [False] * n
+        sizes = [0] * n  # characters in each element
+        total = 0
+        for line in self.lines:
+            for piece, number in line.pieces:
+                size = len(piece.strip())
+                total += size
+                if number >= 0:
+                    sizes[number] += size
+        ends = list(range(n))  # last element within each; elements within another have the numbers after its own
+        for k in range(n - 1, -1, -1):
+            if (parent := self.parents[k]) >= 0:
+                sizes[parent] += sizes[k]
+                ends[parent] = max(ends[parent], ends[k])
+        marks = [k for k in range(n) if sizes[k] and self.kinds[k] in ("article", "main", "h1")]
+
+        def most(k: int) -> bool:
+            # Not where an article or main stands apart, however short.  Reader comments are often longer than what
+            # they are about, so for them an article, main or h1 around or beside is enough.
+            if 2 * sizes[k] <= total:
+                return False
+            outside = [m for m in marks if not k <= m <= ends[k]]
+            if self.hints[k] == 2:
+                return not any(sizes[m] > (sizes[k] if m < k <= ends[m] else 0) for m in outside)
+            return not any(self.kinds[m] != "h1" and not m < k <= ends[m] for m in outside)
+
+        def holds(k: int, of: list[int]) -> bool:
+            at = bisect_left(of, k)
+            return at < len(of) and of[at] <= ends[k]
+
+        large = [bool(self.hints[k]) and most(k) for k in range(n)]
+        # Around each element: whether a hint is, and whether an article is.
+        doubted, nested = [False] * n, [False] * n
+        for k in range(n):
+            if (parent := self.parents[k]) >= 0:
+                doubted[k] = doubted[parent] or bool(self.hints[parent]) and not large[parent]
+                nested[k] = nested[parent] or self.kinds[parent] == "article"
+        # An article with a hint in an element with a hint, or in another article, does not rest on one hint alone.
+        articles = [k for k in marks if self.kinds[k] == "article" and not (self.hints[k] and (doubted[k] or nested[k]))]
+        others = [k for k in marks if self.kinds[k] != "article"]
+        made = [False] * n
+        for k in range(n):
+            made[k] = self.parents[k] >= 0 and made[self.parents[k]] or bool(self.hints[k]) and not (
+                large[k] or holds(k, others) or not nested[k] and holds(k, articles))
+        return made
 
 
 def smoothed(ratios: list[float]) -> list[float]:
@@ -195,10 +266,17 @@ def main_text(html: str | None) -> str:
     events = Events()
     events.feed(html)
     events.close()
+    out = events.hinted_out()
     lines = []
     for line in events.lines:
-        line.text = " ".join("".join(line.pieces).split())
+        kept = [(piece, number) for piece, number in line.pieces if number < 0 or not out[number]]
+        line.text = " ".join("".join([piece for piece, _ in kept]).split())
         if line.text:
+            path, number = [], next(number for piece, number in kept if piece.strip())
+            while number >= 0:
+                path.append(number)
+                number = events.parents[number]
+            line.path = tuple(reversed(path))
             lines.append(line)
     if not lines:
         return ""

@@ -101,6 +101,22 @@ def test_main_text_keeps_heading_lead_and_split_articles():
         assert extract.main_text(split) == joined("A", long, "B", more)
 
 
+def test_hints_alone_drop_no_main_text():
+    long = "A long sentence of the text. " * 11
+    body = f"<h1>T</h1><p>{long}</p><p>{long}</p>"
+    want = "\n\n".join(["T", long.strip(), long.strip()])
+    for given in ("class='layout has-sidebar'", "class='content no-comments'", "class='post ad-free'", "class='entry related-posts-on'", "id='share-target'", "class='widget'"):
+        for page in (f"<body><article {given}>{body}</article></body>", f"<body><div {given}><article>{body}</article></div></body>", f"<body><div {given}>{body}</div></body>",
+                     f"<body><div {given}><p>{long}</p><p>{long}</p></div></body>", f"<body><div {given}><div {given}>{body}</div></div><div class='sidebar'>x</div></body>"):
+            assert extract.main_text(page) == (want if "T<" in page else want[3:]), page
+    two = f"<body><article>{body}</article><article id='sponsor-story'>{body}</article></body>"
+    assert extract.main_text(two) == f"{want}\n\n{want}"
+    # What is left out stays left out, reader comments also where they are longer than the text.
+    said = f"<section id='comments'><article class='comment'><p>{long * 9}</p></article><article><p>{long * 9}</p></article></section>"
+    assert extract.main_text(f"<body><article>{body}<div class='ad-box'>{long}</div>{said}</article><div class='sidebar'>{long}</div></body>") == want
+    assert extract.main_text("<p><span class='share'>Share</span> kept <b>text</b> and <i class='ad'>Buy</i> more</p>") == "kept text and more"
+
+
 def test_main_text_of_given_pages(spark, folder):
     import html
     pages = table(spark, folder, "pages")

@@ -141,6 +141,20 @@ def test_graph_widens_its_beam():
     assert beam >= 1 and all(len(found[k]) == want[k] for k in audited)
 
 
+def test_links_that_no_beam_reaches():
+    """One pair of near-copies among many vectors, and no edge of the graph that leads to it."""
+    x = np.random.default_rng(5).normal(size=(300, 64))
+    x[137] = x[53] + 0.01 * x[8]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph = hnsw.Graph(x)
+    for near in graph.near:
+        near[np.isin(near, (53, 137))] = -1
+    graph.entry, graph.top = 0, 0
+    found, _ = hnsw.search(graph, x)
+    assert sorted(found[53]) == sorted(found[137]) == [53, 137]
+    assert [len(f) for f in found] == (x @ x.T >= hnsw.COSINE).sum(1).tolist()
+
+
 def test_leaks_of_any_item_length(spark):
     rng = random.Random(9)
     items = {k: words(rng, n, 60) for k, n in enumerate([1, 2, 3, 5, 9, 10, 11, 25, 40, 12])}

@@ -127,7 +127,9 @@ def linked(rows: DataFrame, row: str = "_row") -> DataFrame:
     holds = strong | ((F.col("kind") == kind["opaque"]) & F.col("_named"))
     secret_before, secret_after = near(holds)
     both = named.withColumn("_sb", secret_before).withColumn("_sa", secret_after)
-    whose = (F.when(holds, F.col("start")).when(close("_sb"), F.col("_sb.at")).when(close("_sa"), F.col("_sa.at")))
+    # An opaque token that holds nothing has no identifier, so a secret nearby does not make it a part.
+    whose = (F.when(holds, F.col("start")).when(F.col("kind") == kind["opaque"], F.lit(None))
+             .when(close("_sb"), F.col("_sb.at")).when(close("_sa"), F.col("_sa.at")))
     return (both.withColumn("credential", whose)
             .withColumn("reported", F.col("credential").isNotNull())
             .drop("_nb", "_na", "_named", "_sb", "_sa"))

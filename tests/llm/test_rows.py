@@ -45,6 +45,15 @@ def test_weak_parts_need_their_complement(spark):
     assert spans(spark, "password=abcdef1 https://a.example/b")["spans"] == "assign:0:16,endpoint:17:36"
 
 
+def test_opaque_tokens_need_an_identifier(spark):
+    opaque = "abcDEFghiJKLmno12345678"
+    assert spans(spark, f"password=abcdef1 {opaque}")["spans"] == "assign:0:16"
+    assert spans(spark, f"{'f' * 24} and {opaque}")["spans"] == "hex:0:24"
+    assert spans(spark, f"{KEY} {opaque}")["spans"] == f"access:0:{len(KEY)},opaque:{len(KEY) + 1}:{len(KEY) + 24}"
+    docs = spark.createDataFrame([(1, f"password=abcdef1 {opaque}")], "doc_id long, text string")
+    assert secrets.redact(docs).first()["text"] == f"[assign] {opaque}"
+
+
 def test_links_against_brute_force(spark):
     import random
     rng = random.Random(4)

@@ -1,6 +1,9 @@
 """Licence scan: units of a text against licence templates by the Dice coefficient over word bigrams.
 
-A unit is the whole text, a block between empty lines, a line or a sentence.  Units and templates are
+A unit is the whole text, a block between empty lines, a line or a sentence.  Beside these, windows of a
+template's length are compared wherever its necessary bigrams stand, across line and sentence ends, and
+count where no unit with half of their bigrams has matched; of overlapping windows the one that shares
+most counts.  The oracle SQL knows units only.  Units and templates are
 normalised alike (lower case, other than a-z and 0-9 to one space, ``licence`` to ``license``) and
 become sets of word bigrams.  Dice = 2 |A and B| / (|A| + |B|).  With a threshold t a template B can
 only match a unit A with  t / (2 - t) <= |A| / |B| <= (2 - t) / t,  so the size of a unit prunes the
@@ -68,8 +71,12 @@ TEMPLATES = {
 }
 
 
+def _words(text: str) -> list[str]:
+    return re.sub(r"[^a-z0-9]+", " ", text.lower().replace("licence", "license")).split()
+
+
 def _bigrams(text: str) -> list[str]:
-    words = re.sub(r"[^a-z0-9]+", " ", text.lower().replace("licence", "license")).split()
+    words = _words(text)
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:], strict=False)))
 
 
@@ -80,11 +87,27 @@ def _necessary(templates: dict[str, str], dice: float) -> list[str]:
     shared = {b: sum(b in s for s in sets) for s in sets for b in s}
     made: dict[str, None] = {}
     for s in sets:
-        few = len(s) - math.ceil(len(s) * dice / (2 - dice) - 1e-9) + 1
-        made |= dict.fromkeys(sorted(s, key=lambda b: (shared[b], b))[:few])
+        made |= dict.fromkeys(sorted(s, key=lambda b: (shared[b], b))[:_few(s, dice)])
     return list(made)
 
 
+def _few(bigrams: list[str], dice: float) -> int:
+    return len(bigrams) - math.ceil(len(bigrams) * dice / (2 - dice) - 1e-9) + 1
+
+
+def _anchors(templates: dict[str, str], dice: float) -> dict[str, list[tuple[int, int]]]:
+    """The necessary bigrams of each template, with the places where they stand in it and its number of bigrams."""
+    sets = [_bigrams(t) for t in templates.values()]
+    shared = {b: sum(b in s for s in sets) for s in sets for b in s}
+    made: dict[str, list[tuple[int, int]]] = {}
+    for text, s in zip(templates.values(), sets, strict=True):
+        words = _words(text)
+        for b in sorted(s, key=lambda b: (shared[b], b))[:_few(s, dice)]:
+            places = [(j, len(words) - 1) for j in range(len(words) - 1) if f"{words[j]} {words[j + 1]}" == b]
+            made[b] = list(dict.fromkeys([*made.get(b, []), *places]))
+    return made
+
+
 def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.replace(F.lower(text), F.lit("licence"), F.lit("license")), r"[^a-z0-9]+", " "))
 
@@ -104,7 +127,7 @@ def units(text: Column) -> Column:
 
 
 def matches(text: Column, templates: dict[str, str] = TEMPLATES, dice: float = DICE) -> Column:
-    """An array of (dice, licence), the best template of each unit that has one."""
+    """An array of (dice, rank, licence, shared), the best template of each unit that has one."""
     names = sorted(templates)
     known = F.array(*[F.struct(F.lit(-k).alias("rank"), F.lit(name).alias("name"), F.array(*[F.lit(b) for b in _bigrams(templates[name])]).alias("b"))
                       for k, name in enumerate(names)])
@@ -113,11 +136,51 @@ def matches(text: Column, templates: dict[str, str] = TEMPLATES, dice: float = D
 
     def best(unit: Column) -> Column:
         fitting = F.filter(known, lambda t: F.size(unit).between(F.size(t["b"]) * low, F.size(t["b"]) * high))
-        scored = F.transform(fitting, lambda t: F.struct((F.lit(2.0) * F.size(F.array_intersect(unit, t["b"])) / (F.size(unit) + F.size(t["b"]))).alias("dice"), t["rank"].alias("rank"), t["name"].alias("licence")))
+        common = F.transform(fitting, lambda t: F.struct(F.size(F.array_intersect(unit, t["b"])).alias("shared"), F.size(t["b"]).alias("n"), t["rank"].alias("rank"), t["name"].alias("licence")))
+        scored = F.transform(common, lambda t: F.struct((F.lit(2.0) * t["shared"] / (F.size(unit) + t["n"])).alias("dice"), t["rank"].alias("rank"), t["licence"].alias("licence"), t["shared"].alias("shared")))
         return F.array_max(F.filter(scored, lambda s: s["dice"] >= dice))
 
-    found = F.filter(F.transform(F.transform(units(text), bigrams), best), lambda m: m.isNotNull())
-    return F.when(likely, found)
+    def known_of(every: Column) -> Column:
+        return F.filter(F.transform(every, lambda u: F.struct(u["at"].alias("at"), u["b"].alias("b"), best(u["b"]).alias("m"))), lambda u: u["m"].isNotNull())
+
+    def both(found: Column) -> Column:
+        more = _windows(text, _anchors(templates, dice), known_of)
+        # What a unit has told already is not told again by a window.
+        new = F.filter(more, lambda w: ~F.exists(found, lambda u: F.size(F.array_intersect(w["b"], u["b"])) * 2 >= F.size(w["b"])))
+        return F.transform(F.concat(found, new), lambda u: u["m"])
+
+    found = known_of(F.transform(F.transform(units(text), bigrams), lambda b: F.struct(F.lit(-1).alias("at"), b.alias("b"))))
+    return F.when(likely, _with(found, both))
+
+
+def _with(value: Column, function) -> Column:
+    """function(value), with value worked out once."""
+    return F.transform(F.array(value), function)[0]
+
+
+def _windows(text: Column, anchors: dict[str, list[tuple[int, int]]], scored) -> Column:
+    """The windows of a text that match, without those that overlap a stronger one.
+
+    A window runs over any line and sentence ends and has the length of a template; it starts where the
+    template would start if a necessary bigram stood in its place."""
+    places = F.create_map(*[c for b, found in anchors.items() for c in (
+        F.lit(b), F.array(*[F.struct(F.lit(j).alias("j"), F.lit(n).alias("n")) for j, n in found]))])
+
+    def of(pairs: Column) -> Column:
+        seen = F.filter(F.transform(pairs, lambda p, i: F.struct(p.alias("p"), i.alias("i"))), lambda s: s["p"].isin(*anchors))
+        spans = F.array_distinct(F.flatten(F.transform(seen, lambda s: F.transform(
+            F.element_at(places, s["p"]), lambda t: F.struct(F.greatest(s["i"] - t["j"], F.lit(0)).alias("at"), t["n"].alias("n"))))))
+        made = F.transform(spans, lambda s: F.struct(s["at"].alias("at"), F.array_distinct(F.slice(pairs, s["at"] + 1, s["n"])).alias("b")))
+        return _with(scored(made), apart)
+
+    def strength(w: Column) -> Column:
+        return F.struct(w["m"]["shared"].alias("shared"), w["m"]["dice"].alias("dice"), (-w["at"]).alias("at"))
+
+    def apart(found: Column) -> Column:
+        return F.filter(found, lambda w: ~F.exists(found, lambda v: (v["at"] < w["at"] + F.size(w["b"])) & (w["at"] < v["at"] + F.size(v["b"])) & (strength(v) > strength(w))))
+
+    words = lambda w: F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.size(w)), lambda a, b: F.concat_ws(" ", a, b))
+    return _with(_with(F.split(normalised(text), " "), words), of)
 
 
 def scan(docs: DataFrame) -> DataFrame:

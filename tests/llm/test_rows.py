@@ -191,6 +191,17 @@ def test_licences(spark):
     assert got[1]["best_dice"] == 1.0 and 0.8 < got[7]["best_dice"] < 1 and got[3]["n_matches"] == 0
 
 
+def test_licences_inside_longer_text(spark):
+    many = "Some words of a report that has nothing to do with terms at all go on and on here. " * 4
+    code = "\n".join(f"import module{k} as m{k}; value{k} = m{k}.load({k})" for k in range(60))
+    rows = [(1, f"{many}{licences.TEMPLATES['MPL-2.0']} {many}"), (2, f"{many}\nThis work is licensed under the GNU General\nPublic License, version 3. More text follows. {many}"),
+            (3, "\n".join(f"# {line}" for line in licences.TEMPLATES["Apache-2.0-header"].replace(", ", ",\n").split("\n")) + f"\n{code}"), (4, many + code),
+            (5, f"Released under the MIT License.\n\n{many}{licences.TEMPLATES['MPL-2.0']} {many}")]
+    got = {r["doc_id"]: r for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: r["licences"] for k, r in got.items()} == {1: "MPL-2.0", 2: "GPL-3.0", 3: "Apache-2.0-header", 4: "", 5: "MIT,MPL-2.0"}
+    assert [got[k]["best_dice"] for k in (1, 2, 3)] == [1.0] * 3 and got[1]["n_matches"] == 1
+
+
 def test_classifier_held_out(spark):
     folder = "/root/testdata/sf0.01"
     rows = quality.classified(table(spark, folder, "documents"), table(spark, folder, "labels")).join(table(spark, folder, "labels"), "doc_id").where("held_out").collect()

@@ -12,7 +12,8 @@ fixed size, so it goes to the tasks with the code.  Language, source, id and lab
 Defined cases: a null text counts as empty and is scored like any other; a null or missing n_chars
 is replaced by the length of the text; documents with several labels take part with their mean;
 without any training row, or with rows of one label only, the score is the share of that label
-(0.5 without rows); repeated rows are scored alike.
+(0.5 without rows), no classifier is fitted and the filter keeps every document; repeated rows are
+scored alike.
 """
 
 from __future__ import annotations
@@ -109,6 +110,7 @@ class Model:
     bias: float
     linear: np.ndarray
     factors: np.ndarray
+    fitted: bool = True  # False where the labels tell nothing apart
 
     def scores(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """Probabilities of the good label, for sparse rows, in one go."""
@@ -131,7 +133,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: i
     rng = np.random.default_rng(seed)
     if not len(rows) or labels.min() == labels.max():
         share = float(np.clip(labels.mean() if len(rows) else 0.5, 1e-6, 1 - 1e-6))
-        return Model(math.log(share / (1 - share)), np.zeros(size), np.zeros((size, RANK)))
+        return Model(math.log(share / (1 - share)), np.zeros(size), np.zeros((size, RANK)), False)
     w, v = np.zeros(size), rng.normal(0, 0.05, (size, RANK))
     b = math.log((labels.mean() + 1e-6) / (1 - labels.mean() + 1e-6))
     gw, gv, gb = np.full(size, 1e-3), np.full((size, RANK), 1e-3), 1e-3
@@ -214,5 +216,6 @@ def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier does not reject, with their columns."""
-    return docs.where(score(docs, train(docs, labels)) >= ACCEPT)
+    """The documents that the classifier does not reject, with their columns; all where none could be fitted."""
+    model = train(docs, labels)
+    return docs.where(score(docs, model) >= ACCEPT) if model.fitted else docs

@@ -33,6 +33,13 @@ def test_stages_and_run(spark, folder):
     assert sorted(r["doc_id"] for r in pipeline.run(spark, folder).collect()) == sorted(r["doc_id"] for r in after)
 
 
+def test_quality_keeps_all_without_a_classifier(spark):
+    docs = spark.createDataFrame([(k, f"plain words number {k}", 20) for k in range(30)] + [(None, None, None)], "doc_id long, text string, n_chars long")
+    for labels in ([], [(k, None) for k in range(30)], [(None, 1)], [(k, 0) for k in range(30)]):
+        made = quality.accepted(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+        assert made.columns == docs.columns and sorted(map(str, made.collect())) == sorted(map(str, docs.collect()))
+
+
 def test_stages_on_odd_rows(spark, folder):
     schema = "doc_id long, text string, lang string, source string, n_chars long, hash string"
     rows = [(1, None, "en", "a", 5, "q"), (1, None, "en", "a", 5, "q"), (None, "some words", None, None, None, "z"), (4, "", None, "b", 0, "w"), (5, "password=abcdef1 and words", None, "b", 0, None)]

@@ -158,8 +158,8 @@ def components_without_return(files: DataFrame) -> DataFrame:
 def empty_functions(files: DataFrame) -> DataFrame:
     """Functions whose body has at most a few substantive lines: (path, line, body_lines).
 
-    Braces are counted line by line from the head, for a bounded number of lines, as a fold
-    over the file's own line array."""
+    Braces are counted line by line from the head to the end of the body, as a fold over the file's own
+    line array: over a first stretch of lines, and on over the rest where that does not settle it."""
     kind = literal_map(R.HEAD_KIND)[F.regexp_extract("path", r"\.([^./]+)$", 1)]
     typed = files.withColumn("kind", kind).where(F.col("kind").isNotNull())
     rows = typed.select("path", "kind", text.lines(F.col("content")).alias("rows"))
@@ -167,8 +167,10 @@ def empty_functions(files: DataFrame) -> DataFrame:
     is_head = F.lit(False)
     for name, pattern in R.FUNCTION_HEAD.items():
         is_head = is_head | ((F.col("kind") == name) & F.col("head").rlike(pattern))
-    span = F.transform(F.slice("rows", F.col("at") + 1, R.BODY_HORIZON),
-                       lambda l, i: F.struct(l.alias("text"), i.alias("i")))
+
+    def span(skip, length):
+        return F.transform(F.slice("rows", F.col("at") + 1 + skip, length), lambda l, i: F.struct(l.alias("text"), (i + skip).alias("i")))
+
     start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("open"), F.lit(0).alias("body"), F.lit(False).alias("done"))
 
     def braces(state, row):
@@ -193,9 +195,12 @@ def empty_functions(files: DataFrame) -> DataFrame:
                          (state["body"] + F.when(counts, 1).otherwise(0)).alias("body"), ends.alias("done"))
         return F.when(state["done"], state).otherwise(after)
 
-    result = F.when(F.col("kind") == "py", F.aggregate("span", start, indents)).otherwise(F.aggregate("span", start, braces))
-    folded = heads.where(is_head).select("path", (F.col("at") + 1).alias("line"), "kind", span.alias("span"))
-    return (folded.withColumn("end", result)
+    def result(rows, state):
+        return F.when(F.col("kind") == "py", F.aggregate(rows, state, indents)).otherwise(F.aggregate(rows, state, braces))
+
+    folded = heads.where(is_head).select("path", (F.col("at") + 1).alias("line"), "kind", "at", "rows", result(span(0, F.lit(R.BODY_HORIZON)), start).alias("first"))
+    settled = F.col("first.done") | (F.col("first.body") > R.BODY_MIN)
+    return (folded.withColumn("end", F.when(settled, F.col("first")).otherwise(result(span(R.BODY_HORIZON, F.size("rows")), F.col("first"))))
             .where(F.col("end.open") & (F.col("end.body") <= R.BODY_MIN))
             .select("path", "line", F.col("end.body").alias("body_lines")))
 

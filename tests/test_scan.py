@@ -121,3 +121,12 @@ def test_code_of_a_finding_is_whole(spark):
     files = inventory.inventory(spark.createDataFrame([("r", "src/a.ts", "typescript", line)], "repo string, path string, stack string, content string"))
     row = scan.rule_scan(files).where("rule = 'R09'").first()
     assert row.current_code == line and row.snippet == line[:200]
+
+
+def test_bodies_are_counted_to_their_end(spark):
+    """A body that opens with more comment lines than the first look takes, and an empty one of that length."""
+    comments, work = "    // note\n" * 60, "    a();\n" * 10
+    files = spark.createDataFrame([
+        ("full.ts", f"function f() {{\n{comments}{work}}}\n"), ("empty.ts", f"function f() {{\n{comments}}}\nfunction g() {{\n{work}}}\n"),
+        ("full.py", "def f():\n" + "    # note\n" * 60 + "    a()\n" * 10), ("empty.py", "def f():\n" + "\n" * 60 + "    pass\nx = 1\ny = 2\nz = 3\nw = 4\nv = 5\n")], "path string, content string")
+    assert sorted(r["path"] for r in scan.empty_functions(files).collect()) == ["empty.py", "empty.ts"]

@@ -30,3 +30,19 @@ class Hashes(dict):
             self.clear()
         made = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         return made
+
+
+#: CRC-32 of single bytes, made by the rule of its polynomial.
+CRC_TABLE: list[int] = []
+for _byte in range(256):
+    for _ in range(8):
+        _byte = _byte >> 1 ^ (0xEDB88320 if _byte & 1 else 0)
+    CRC_TABLE.append(_byte)
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of a text's UTF-8 bytes."""
+    code = f"hex(encode({text}))"
+    table = f"[{', '.join(map(str, CRC_TABLE))}]::BIGINT[]"
+    steps = f"list_transform(range(0, len({code}) // 2), lambda i: CAST('0x' || {code}[2 * i + 1:2 * i + 2] AS BIGINT))"
+    return f"xor(4294967295::BIGINT, list_reduce({steps}, lambda a, b: xor(a >> 8, ({table})[(xor(a, b) & 255) + 1]), 4294967295::BIGINT))"

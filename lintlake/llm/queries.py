@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lintlake.llm import bagminhash, chat, decontaminate, extract, hnsw, licences, mixing, quality, secret_links, warc
+from lintlake.llm import bagminhash, chat, decontaminate, extract, hnsw, licences, likelihood, mixing, quality, secret_links, warc
 from lintlake.llm.common import table
 
 QUERIES = {}
@@ -82,3 +82,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op10_mixing"] = mixing.SQL
+
+
+@query
+def op11_log_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return likelihood.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLES["op11_log_ratio"] = likelihood.SQL

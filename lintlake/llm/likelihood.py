@@ -12,7 +12,8 @@ twice or more in the text.
 Counts are reduced map-side to at most ``BUCKETS`` rows a task, over all documents; the table of gains has at
 most ``BUCKETS`` rows, so it is broadcast.  A document's n-grams are rows of one task each, summed where they
 are made, so what is shuffled is one row per document, and a text of any length or a word of any frequency
-neither fills a row nor a task.  Only the texts themselves meet their labels by a join on the id.
+neither fills a row nor a task.  Only the texts of trusted documents, and few others, meet their labels by a join
+on the id: the others are left out by bitmaps of hashed ids, whose size is fixed.
 
 Defined cases: null and empty texts have no words, count as zero and fail; null ids have no label; an id with
 several labels is trusted if all are good; without a trusted word all gains are zero and the base rules alone
@@ -25,11 +26,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lintlake.llm.common import crc32_sql, text_of
+from lintlake.operators.marks import only_marked
 from lintlake.session import cut
 
 BUCKETS = 1 << 14
 THRESHOLD = -100_000  # millionths of a nat per n-gram
 LEAST_WORDS = 50
+IDS = 1 << 25  # bits for hashed ids of trusted documents: 4 MB
 WINDOW = 3
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
@@ -116,7 +119,9 @@ def trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that labels call good and none calls toxic."""
     good = (labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id")
             .agg(F.min(F.coalesce("quality", F.lit(0))).alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).where("q = 1 AND t = 0").select("doc_id"))
-    return docs.select("doc_id", "text").join(good, "doc_id", "left_semi")
+    # Few texts but those with a label travel, and without a sort: the side of the ids is hashed.
+    labelled = only_marked(docs.select("doc_id", "text"), "doc_id", good, "doc_id", IDS)
+    return labelled.join(good.hint("shuffle_hash"), "doc_id", "left_semi")
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lintlake.llm import bagminhash, chat, decontaminate, extract, hnsw, licences, likelihood, mixing, quality, secret_links, warc
+from lintlake.llm import align, bagminhash, chat, decontaminate, extract, hnsw, licences, likelihood, mixing, quality, resample, secret_links, warc
 from lintlake.llm.common import table
 
 QUERIES = {}
@@ -90,3 +90,16 @@ def op11_log_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op11_log_ratio"] = likelihood.SQL
+
+
+@query
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op13_resample"] = resample.SQL

@@ -6,8 +6,8 @@ smoothed over neighbouring lines with a Gaussian, lines above a threshold are cl
 regions, and the innermost sectioning element that holds all regions gives the main text, with its
 heading.  Elements that are never
 main text (menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles,
-reader comments) are known from their tag, role or class and have the ratio 0.  A class or id is only
-a hint: alone it leaves out no article, nothing that holds an article, main or h1, and nothing that
+reader comments) are known from their tag, role or class and have the ratio 0.  A class or id, a form or a menu
+is only a hint: alone it leaves out no article, nothing that holds an article, main or h1, and nothing that
 holds most of the text of a page without an article or main elsewhere.
 
 Defined cases: a null or empty page gives an empty text; a page without any text line gives an
@@ -35,7 +35,10 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 HIDDEN = frozenset(
     "head title script style template noscript iframe object svg math canvas audio video button select textarea "
-    "option form nav menu footer aside dialog label input".split())
+    "option menu footer aside dialog input".split())
+DOUBTED = frozenset("form nav".split())  # left out like elements with a hint: whole pages can stand in one
+UNENDED = frozenset("form nav aside header footer menu".split())  # where one is never ended, the text below ends it
+MARKS = frozenset("article main h1".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 HINTS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent "
@@ -48,6 +51,7 @@ AFTER = frozenset("free on off enabled disabled".split())  # these, as the last
 CONTAINERS = frozenset("html body main article section div center".split())  # what can be the main element
 _WORDS = re.compile(r"[a-z0-9]+")
 _CAMEL = re.compile(r"([a-z0-9])([A-Z])")
+_SECTIONS = re.compile(rf"<(/?)({'|'.join(sorted(UNENDED))})(?=[\s>/])", re.I)
 _OPEN_END = re.compile(r"<(?:!--(?:(?!-->).)*|[A-Za-z/!?][^<>]*)\Z", re.S)
 
 
@@ -79,8 +83,9 @@ class Events(HTMLParser):
     """Turns parser events into lines.  ``kinds``, ``parents`` and ``hints`` have the tag, the number of the
     element around and the hint of each element by number."""
 
-    def __init__(self) -> None:
+    def __init__(self, unended: frozenset[str] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
+        self.unended = unended  # tags with more starts than ends on this page
         self.lines: list[Line] = []
         self.kinds: list[str] = []
         self.parents: list[int] = []
@@ -91,6 +96,8 @@ class Events(HTMLParser):
     def _left_out(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in HIDDEN:
             return True
+        if tag == "label":  # of a control; elsewhere it is text
+            return any(kind == "form" for kind, _, _ in self.open)
         if tag == "header":
             return not any(kind in ("article", "main") for kind, _, _ in self.open)
         for name, value in attrs:
@@ -118,6 +125,10 @@ class Events(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         block = tag in BLOCK
+        if tag in MARKS and self.unended:
+            outer = next((k for k, (kind, _, _) in enumerate(self.open) if kind in self.unended), None)
+            if outer is not None:
+                del self.open[outer:]
         if block:
             self.here = None
             # What HTML lets authors leave open: a block ends a paragraph, an item ends the item before it.
@@ -141,6 +152,8 @@ class Events(HTMLParser):
             return
         left_out = self._left_out(tag, attrs)
         hint = 0 if left_out or tag in ("html", "body", "main") else max((_hint(v) for n, v in attrs if n in ("class", "id") and v), default=0)
+        if tag in DOUBTED and not left_out:
+            hint = max(hint, 1)
         if block or left_out or hint:
             self._push(tag, left_out, hint)
 
@@ -257,13 +270,21 @@ def regions(ratios: list[float]) -> list[bool]:
     return [v > cut for v in values]
 
 
+def _unended(html: str) -> frozenset[str]:
+    """Tags that start more often than they end."""
+    seen = {tag: 0 for tag in UNENDED}
+    for end, tag in _SECTIONS.findall(html):
+        seen[tag.lower()] += -1 if end else 1
+    return frozenset(tag for tag, n in seen.items() if n > 0)
+
+
 def main_text(html: str | None) -> str:
     """The main text of a page: blocks in page order, joined by an empty line."""
     if not html:
         return ""
     if "<" in html[html.rfind(">") + 1:]:
         html = _OPEN_END.sub("", html)
-    events = Events()
+    events = Events(_unended(html))
     events.feed(html)
     events.close()
     out = events.hinted_out()
@@ -304,7 +325,7 @@ def _root(line: Line, kinds: list[str]) -> int | None:
 
 def _headed(inside: list[int], lines: list[Line], kinds: list[str]) -> list[int]:
     """Lines of a text, with its heading and what stands between where that precedes its element: the
-    nearest h1 within the same article or main, or else the h1 and h2 directly before."""
+    nearest h1 within the same article or main, or before it on a page without them, and the h1 and h2 directly before."""
 
     def heads(k: int, *tags: str) -> bool:
         return any(kinds[n] in tags for n in lines[k].path)
@@ -313,8 +334,8 @@ def _headed(inside: list[int], lines: list[Line], kinds: list[str]) -> list[int]
     if any(heads(k, "h1") for k in inside):
         return inside
     root = _root(lines[first], kinds)
-    if root is not None:
-        first = next((k for k in range(first - 1, -1, -1) if root in lines[k].path and heads(k, "h1")), first)
+    if root is not None or all(_root(line, kinds) is None for line in lines):
+        first = next((k for k in range(first - 1, -1, -1) if (root is None or root in lines[k].path) and heads(k, "h1")), first)
     while first and heads(first - 1, "h1", "h2") and _root(lines[first - 1], kinds) == root:
         first -= 1
     return [*range(first, inside[0]), *inside]

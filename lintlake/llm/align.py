@@ -37,7 +37,7 @@ from lintlake.session import checkpoint_folder
 
 FOLDER = "/opt/tokenizers"
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 PIECE = 1 << 16
 SHIFT = 16  # bits of a B id in the code of a pair
 # Fixed value: the published split of text before the merges of the byte-level vocabulary.

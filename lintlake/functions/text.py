@@ -42,12 +42,12 @@ def family_key(*fields: Column) -> Column:
 
 
 def variant_key(*fields: Column, fallback: Column) -> Column:
-    """First non-blank field, letters and digits of any script only, cut to 120."""
+    """First non-blank field, letters and digits of any script only."""
     def words(text):
         return squeeze(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
     picked = F.coalesce(*[F.when(F.trim(f) != "", f) for f in fields])
-    return F.when(picked.isNotNull(), F.substring(words(picked), 1, 120)).otherwise(words(fallback))
+    return F.when(picked.isNotNull(), words(picked)).otherwise(words(fallback))
 
 
 def word_set(text: Column) -> Column:

@@ -12,63 +12,66 @@ NEAR = 5          # lines
 SHARED_WORDS = 4
 
 
+def repo_of(*frames: DataFrame) -> list[str]:
+    """``repo`` where all frames have it: it is part of every key then, as paths repeat across repos."""
+    return ["repo"] if all("repo" in f.columns for f in frames) else []
+
+
 def same_line(findings: DataFrame) -> DataFrame:
-    """One finding per (file, line, rule): the most severe, then the best explained.  ``scanner``
+    """One finding per (repo, file, line, rule): the most severe, then the best explained.  ``scanner``
     lists all that reported it.
 
     The choice is a minimum, so map tasks reduce copies before the shuffle."""
-    rest = [c for c in findings.columns if c not in ("file", "line", "rule")]
+    key = [*repo_of(findings), "file", "line", "rule"]
+    rest = [c for c in findings.columns if c not in key]
     explained = F.length(F.coalesce("explanation", F.lit(""))) if "explanation" in findings.columns else F.lit(0)
     order = F.struct(severity.rank(F.col("severity")).alias("rank"), (-explained).alias("explained"),
                      *[F.col(c) for c in rest])
     kept = F.min(order).alias("kept")
     scanners = F.array_join(F.array_sort(F.collect_set("scanner")), ",").alias("scanners")
-    return (findings.groupBy("file", "line", "rule").agg(kept, scanners)
-            .select("file", "line", "rule", *[F.col(f"kept.{c}").alias(c) for c in rest if c != "scanner"],
+    return (findings.groupBy(*key).agg(kept, scanners)
+            .select(*key, *[F.col(f"kept.{c}").alias(c) for c in rest if c != "scanner"],
                     F.col("scanners").alias("scanner")))
 
 
 def near_pairs(findings: DataFrame) -> DataFrame:
     """Pairs of findings with one rule and file, at most five lines apart, whose descriptions share
-    four words and quote the same names: (low, high) as line numbers with rule and file.
+    four words and quote the same names: (low, high) as line numbers with rule and file (and repo).
 
     Lines fall into blocks of six, so a finding meets its own block and the next one only.  After
     :func:`same_line` a block of one rule and file holds at most six findings."""
     width = NEAR + 1
-    rows = findings.select("file", "rule", "line", text.content_words(F.col("description")).alias("words"),
+    key = [*repo_of(findings), "file", "rule"]
+    rows = findings.select(*key, "line", text.content_words(F.col("description")).alias("words"),
                            text.code_names(F.col("description")).alias("names"))
     block = F.floor(F.col("line") / width)
     low = rows.withColumn("block", block).withColumnsRenamed({"line": "low", "words": "low_words", "names": "low_names"})
     high = rows.withColumn("block", F.explode(F.array(block, block - 1))).withColumnsRenamed(
         {"line": "high", "words": "high_words", "names": "high_names"})
-    return (low.join(high, ["file", "rule", "block"])
+    return (low.join(high, [*key, "block"])
             .where((F.col("high") > F.col("low")) & (F.col("high") - F.col("low") <= NEAR)
                    & (F.size(F.array_intersect("low_words", "high_words")) >= SHARED_WORDS)
                    & (F.col("low_names") == F.col("high_names")))
-            .select("file", "rule", "low", "high"))
+            .select(*key, "low", "high"))
 
 
 def near_groups(findings: DataFrame) -> DataFrame:
-    """(file, rule, line, first_line): which findings merge, and the line of the merged one."""
+    """(repo, file, rule, line, first_line): which findings merge, and the line of the merged one."""
     pairs = near_pairs(findings)
-
-    def node(line):
-        return F.concat("rule", F.lit("|"), "file", F.lit("|"), F.lpad(F.col(line).cast("string"), 10, "0"))
-
-    linked = components(pairs.select(node("low").alias("a"), node("high").alias("b")))
-    return linked.select(F.substring_index("node", "|", 1).alias("rule"),
-                         F.expr("substring(node, length(substring_index(node, '|', 1)) + 2, "
-                                "length(node) - length(substring_index(node, '|', 1)) - 12)").alias("file"),
-                         F.substring_index("node", "|", -1).cast("int").alias("line"),
-                         F.substring_index("component", "|", -1).cast("int").alias("first_line"))
+    key = [*repo_of(findings), "file", "rule"]
+    linked = components(pairs.select(F.struct(*key, F.col("low").alias("line")).alias("a"), F.struct(*key, F.col("high").alias("line")).alias("b")))
+    return linked.select(*[F.col(f"node.{c}").alias(c) for c in (*key, "line")], F.col("component.line").alias("first_line"))
 
 
 def merge_near(findings: DataFrame) -> DataFrame:
-    """Near-identical findings as one: lowest line, highest end, worst severity, longest texts.
+    """Near-identical findings as one: lowest line, highest end, worst severity, longest texts, and their
+    snippets one below the other.
 
-    ``merged`` is the number of findings that went in."""
+    ``merged`` is the number of findings that went in.  Snippets come in the order of their lines; one whose text is part of
+    another's is left out.  They are lines of one file close to each other, so their text is bounded by the file's."""
     groups = near_groups(findings)
-    joined = findings.join(groups, ["rule", "file", "line"], "left").withColumn(
+    key = [*repo_of(findings), "rule", "file"]
+    joined = findings.join(groups, [*key, "line"], "left").withColumn(
         "first_line", F.coalesce("first_line", "line"))
     end = F.coalesce("end_line", "line") if "end_line" in findings.columns else F.col("line")
     rank = severity.rank(F.col("severity"))
@@ -77,25 +80,34 @@ def merge_near(findings: DataFrame) -> DataFrame:
         size = F.length(F.coalesce(column, F.lit("")))
         return F.max_by(column, F.struct(size, -F.col("line"))).alias(column)
 
-    texts = [c for c in ("description", "explanation", "snippet", "current_code") if c in findings.columns]
-    skip = {"rule", "file", "line", "end_line", "severity", *texts}
+    def stacked(column):
+        listed = F.transform(F.array_sort(F.collect_list(F.when(F.col(column) != "", F.struct("line", column)))), lambda s: s[column])
+        # The first of equal texts stays; a text inside a longer one goes.
+        apart = F.filter(F.array_distinct(listed), lambda s: ~F.exists(listed, lambda t: (t != s) & t.contains(s)))
+        return F.when(F.size(listed) > 0, F.array_join(apart, "\n")).alias(column)
+
+    texts = [c for c in ("description", "explanation", "current_code") if c in findings.columns]
+    snippets = [stacked("snippet")] if "snippet" in findings.columns else []
+    skip = {*key, "line", "end_line", "severity", "snippet", *texts}
     others = [F.min_by(c, F.col("line")).alias(c) for c in findings.columns if c not in skip]
-    return joined.groupBy("rule", "file", F.col("first_line").alias("line")).agg(
+    made = joined.groupBy(*key, "first_line").agg(
         F.max(end).alias("end_line"), severity.of_rank(F.min(rank)).alias("severity"),
-        *[longest(c) for c in texts], *others, F.count(F.lit(1)).alias("merged"))
+        *[longest(c) for c in texts], *snippets, *others, F.count(F.lit(1)).alias("merged"))
+    return made.withColumnRenamed("first_line", "line")
 
 
 def with_layer(findings: DataFrame, files: DataFrame, default: str = "unclassified") -> DataFrame:
     """The layer of each finding's file."""
-    layers = files.select(F.col("path").alias("file"), F.col("layer").alias("_layer"))
-    return (findings.drop("layer").join(layers, "file", "left")
+    key = repo_of(findings, files)
+    layers = files.select(*key, F.col("path").alias("file"), F.col("layer").alias("_layer"))
+    return (findings.drop("layer").join(layers, [*key, "file"], "left")
             .withColumn("layer", F.coalesce("_layer", F.lit(default))).drop("_layer"))
 
 
 def assign_ids(findings: DataFrame, name: str = "id") -> DataFrame:
-    """Ids such as SEC-001, counted per category prefix in the order phase, file, line, rule, description."""
+    """Ids such as SEC-001, counted per category prefix in the order phase, repo, file, line, rule, description."""
     prefixed = findings.withColumn("_prefix", severity.prefix(F.col("category")))
-    order = [F.col(c) for c in ("phase", "file", "line", "rule", "description")]
+    order = [F.col(c) for c in ("phase", *repo_of(findings), "file", "line", "rule", "description")]
     counted = numbered(prefixed, [F.col("_prefix")], order, "_n")
     digits = F.col("_n").cast("string")
     return counted.withColumn(name, F.concat("_prefix", F.lit("-"), F.when(F.col("_n") < 1000, F.lpad(digits, 3, "0")).otherwise(digits))).drop("_prefix", "_n")

@@ -6,20 +6,23 @@ nothing; what the driver sees of a round is one count.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from lintlake.catalog import maps as M, rules as R
 from lintlake.functions import paths
 from lintlake.functions.lookup import first_match, literal_map
 from lintlake.functions.rows import beside
+from lintlake.operators import skew
 from lintlake.operators.ordering import numbered
-from lintlake.session import cut
+from lintlake.session import Tables, cut
 
 
 # --------------------------------------------------------------------- import extraction
 def imports(files: DataFrame) -> DataFrame:
-    """(path, specifier, names): every module a file imports, with the names it takes from it."""
+    """(path, specifier, names): every module a file imports, with the names it takes from it; with
+    ``repo`` first where the files have one."""
     content = F.col("content")
+    key = [c for c in ("repo", "path") if c in files.columns]
 
     def found(pattern, group):
         return F.regexp_extract_all(content, F.lit(pattern), group)
@@ -35,13 +38,13 @@ def imports(files: DataFrame) -> DataFrame:
         pairs(found(R.IMPORT_NAMED, 1), found(R.IMPORT_NAMED, 2), "named"),
         pairs(found(R.IMPORT_DEFAULT, 1), found(R.IMPORT_DEFAULT, 2), "default"),
         *[bare(found(p, 1)) for p in (R.IMPORT_FROM, R.IMPORT_BARE, R.IMPORT_REQUIRE, R.IMPORT_DYNAMIC, R.IMPORT_REEXPORT)])
-    rows = files.select("path", F.explode(everything).alias("i")).select("path", "i.*")
+    rows = files.select(*key, F.explode(everything).alias("i")).select(*key, "i.*")
     listed = F.filter(F.transform(F.split("names", ","), lambda n: F.trim(F.split(F.trim(n), " as ")[0])), lambda n: n != "")
     taken = (F.when(F.col("kind") == "named", listed)
              .when((F.col("kind") == "default") & (F.col("names") != "type"), F.array("names"))
              .otherwise(F.array().cast("array<string>")))
     # A specifier's names in one file: bounded by that file's text.
-    return (rows.withColumn("taken", taken).groupBy("path", "specifier")
+    return (rows.withColumn("taken", taken).groupBy(*key, "specifier")
             .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("taken")))).alias("names")))
 
 
@@ -55,33 +58,64 @@ def aliases(configs: DataFrame) -> DataFrame:
     return rows.select("repo", F.replace("pattern", F.lit("*"), F.lit("")).alias("prefix"), F.concat(target, F.lit("/")).alias("target"))
 
 
-def candidates(path: Column, specifier: Column, alias: dict[str, str]) -> Column:
-    """Paths a specifier may mean, best first; empty for an outside package."""
-    folder = F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
-    base = F.when(specifier.startswith("."), F.concat(folder, F.lit("/"), specifier))
-    for prefix, target in alias.items():
-        base = base.when(specifier.startswith(prefix), F.concat(F.lit(target), F.substring(specifier, len(prefix) + 1, 1 << 30)))
-    base = paths.normal_path(base)
-    stem = F.regexp_replace(base, r"(?<=[^/.])\.[^./]*$", "")
-    tried = [base]
-    for ext in R.IMPORT_EXTENSIONS:
-        tried += [F.concat(stem, F.lit(ext)), F.concat(base, F.lit(ext))]
-    tried += [F.concat(base, F.lit("/index" + ext)) for ext in R.IMPORT_EXTENSIONS]
-    return F.when(base.isNotNull(), F.array(*tried))
-
-
-def import_edges(files: DataFrame, alias: dict[str, str] | None = None) -> DataFrame:
-    """(src, dst, names): which file imports which, one edge per pair, none to itself.
-
-    A specifier's candidates are looked up in the file list by an equi-join on the path."""
-    wanted = imports(files).withColumn("tried", candidates(F.col("path"), F.col("specifier"), alias or {}))
-    tries = wanted.select("path", "specifier", "names", F.posexplode("tried").alias("rank", "target"))
-    known = files.select(F.col("path").alias("target")).distinct()
-    hit = (tries.join(known, "target", "left_semi")
-           .groupBy("path", "specifier").agg(F.min_by(F.struct("target", "names"), "rank").alias("best")))
-    return (hit.where(F.col("best.target") != F.col("path"))
-            .groupBy(F.col("path").alias("src"), F.col("best.target").alias("dst"))
+def _bases(wanted: DataFrame, alias: DataFrame) -> DataFrame:
+    """Imports with ``base``, the path a specifier means without its extension; null for an outside package.
+
+    A relative specifier starts from the importing file's folder.  Any other is compared with its repo's alias
+    prefixes, of which the longest that fits counts; a repo's aliases are one row, as long as its config."""
+    listed = alias.groupBy("repo").agg(F.sort_array(F.collect_list(F.struct(F.length("prefix").alias("n"), "prefix", "target")), asc=False).alias("_aliases"))
+    near = F.col("specifier").startswith(".")
+    folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
+    inside = wanted.where(near).withColumn("base", F.concat(folder, F.lit("/"), "specifier"))
+    outside = skew.join(wanted.where(~near), listed, ["repo"])
+    fits = F.filter("_aliases", lambda x: F.col("specifier").startswith(x["prefix"]))
+    outside = (outside.withColumn("_fit", F.get(fits, 0)).where(F.col("_fit").isNotNull())
+               .withColumn("base", F.concat("_fit.target", F.substring("specifier", F.col("_fit.n") + 1, F.length("specifier")))).drop("_aliases", "_fit"))
+    return inside.unionByName(outside).withColumn("base", paths.normal_path(F.col("base")))
+
+
+def _stems(files: DataFrame) -> DataFrame:
+    """(repo, stem, kind, turn, target): by which texts a file can be meant.  Kind 0 is its whole path, 1 the path
+    without a known extension, 2 the folder of an index file; ``turn`` is the place of the extension."""
+    def named(stem: Column, kind: int, turn: int) -> Column:
+        return F.struct(stem.alias("stem"), F.lit(kind).alias("kind"), F.lit(turn).alias("turn"))
+
+    path = F.col("path")
+    ways = [named(path, 0, 0)]
+    for turn, ext in enumerate(R.IMPORT_EXTENSIONS):
+        ways.append(F.when(path.endswith(ext), named(F.substring(path, F.lit(1), F.length(path) - len(ext)), 1, turn)))
+        ways.append(F.when(F.concat(F.lit("/"), path).endswith(f"/index{ext}"), named(F.regexp_extract(path, r"^(.*)/[^/]*$", 1), 2, turn)))
+    known = files.select("repo", "path").distinct()
+    return known.select("repo", path.alias("target"), F.explode(F.array_compact(F.array(*ways))).alias("w")).select("repo", "target", "w.*")
+
+
+def import_edges(files: DataFrame, alias: DataFrame | dict[str, str] | None = None) -> DataFrame:
+    """(src, dst, names), with ``repo`` first where the files have one: which file imports which, one edge per
+    pair, none to itself and none between repos.
+
+    ``alias`` is a table (repo, prefix, target) as made by :func:`aliases`, or prefixes that hold everywhere.
+    A specifier can mean its base as a whole path, with any extension in place of its own or added, or as a
+    folder with an index file, in this order.  So it looks for two stems at most, its base and its base
+    without extension, among the stems of the files of its repo, in one join; what it finds is ranked after."""
+    scoped = "repo" in files.columns
+    files = files if scoped else files.withColumn("repo", F.lit(""))
+    if not isinstance(alias, DataFrame):
+        rows = F.array(*[F.struct(F.lit(p).alias("prefix"), F.lit(t).alias("target")) for p, t in (alias or {}).items()])
+        here = files.select("repo").distinct()
+        alias = here.select("repo", F.explode(rows).alias("a")).select("repo", "a.*") if alias else here.select("repo", F.lit("").alias("prefix"), F.lit("").alias("target")).limit(0)
+    based = _bases(cut(imports(files)), alias).withColumn("_cut", F.regexp_replace("base", r"(?<=[^/.])\.[^./]*$", ""))
+    tried = F.array_compact(F.array(F.struct(F.col("base").alias("stem"), F.lit(True).alias("whole")),
+                                    F.when(F.col("_cut") != F.col("base"), F.struct(F.col("_cut").alias("stem"), F.lit(False).alias("whole")))))
+    tries = cut(based.select("repo", "path", "specifier", "names", F.explode(tried).alias("t")).select("repo", "path", "specifier", "names", "t.*"))
+    many = len(R.IMPORT_EXTENSIONS)
+    # In place of the extension comes before added to it, for each extension in turn.
+    order = F.when(F.col("kind") == 0, 0).when(F.col("kind") == 1, 2 * F.col("turn") + F.when(F.col("whole"), 2).otherwise(1)).otherwise(2 * many + 1 + F.col("turn"))
+    hit = (skew.join(tries, _stems(files), ["repo", "stem"]).where(F.col("whole") | (F.col("kind") == 1))
+           .groupBy("repo", "path", "specifier").agg(F.min_by(F.struct("target", "names"), order).alias("best")))
+    made = (hit.where(F.col("best.target") != F.col("path"))
+            .groupBy("repo", F.col("path").alias("src"), F.col("best.target").alias("dst"))
             .agg(F.min_by("best.names", "specifier").alias("names")))
+    return made if scoped else made.drop("repo")
 
 
 # ------------------------------------------------------------------------- plain measures
@@ -102,9 +136,10 @@ def fan_in(edges: DataFrame) -> DataFrame:
 
 
 def unused_files(nodes: DataFrame, edges: DataFrame, entry_points: list[str]) -> DataFrame:
-    """Files nobody imports and that are no entry point."""
+    """Files nobody imports and that are no entry point; within repos where both tables have ``repo``."""
+    key = [c for c in ("repo",) if c in nodes.columns and c in edges.columns]
     return (nodes.where(~paths.basename(F.col("path")).isin(entry_points))
-            .join(edges.select(F.col("dst").alias("path")), "path", "left_anti"))
+            .join(edges.select(*key, F.col("dst").alias("path")), [*key, "path"], "left_anti"))
 
 
 # ----------------------------------------------------------------------------- components
@@ -205,40 +240,55 @@ def with_multiplier(findings: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------- levels and cycles
+_ENDLESS = 1 << 40  # the level of what reaches a circle
+
+
 def levels(edges: DataFrame) -> DataFrame:
     """(file, level): the longest import chain below a file, 0 for one that imports nothing; null for
     files on a cycle or above one.
 
-    Each round settles the files whose imports are all settled and drops their edges, so later
-    rounds touch less and less."""
-    left = cut(edges.where(F.col("src") != F.col("dst")).select("src", "dst").distinct())
-    nodes = left.select(F.col("src").alias("file")).unionByName(left.select(F.col("dst").alias("file"))).distinct()
-    settled = None
-    level = 0
-    waiting = cut(nodes)
+    An edge carries the length of the path it stands for, a file the longest path found below it so far.  A round does
+    two things at once: files without open edges are settled and hand their level up, and an edge to a file with one open
+    edge goes on to where that one leads (lengths add up, what the file knows of below it is handed up).
+    So a chain halves in every round, and of edges between the same files only the longest stays.  A path as long as there
+    are files has been round a circle; when no edge leads to a file that is settled or passed over, all that is left
+    lies on circles or above them.  Lists of importers are never gathered; a round writes one table of files and
+    one of edges, and counts while it writes."""
+    tables = Tables(edges.sparkSession)
+    # Edges (src, dst, w): ``open`` ones still count, ``up`` is what src has learnt of the path below it.
+    step = tables.put("step", edges.where(F.col("src") != F.col("dst")).select("src", "dst", F.lit(1).cast("long").alias("w"), F.lit(True).alias("open"), F.lit(0).cast("long").alias("up")).distinct())
+    files = step.select(F.col("src").alias("file")).unionByName(step.select(F.col("dst").alias("file"))).distinct()
+    waiting = tables.put("files", files.withColumn("low", F.lit(0).cast("long")))
+    n = waiting.count()
+    settled = waiting.limit(0)
+    rounds = 0
     while True:
-        ready = cut(waiting.join(left.select(F.col("src").alias("file")), "file", "left_anti"))
-        if ready.isEmpty():
+        out = step.groupBy("src").agg(F.count_if("open").alias("n"), F.max(F.when(F.col("open"), F.struct("dst", "w"))).alias("one"), F.max("up").alias("up"))
+        low = F.greatest("low", "up")
+        state = tables.put("state", waiting.join(out, waiting["file"] == out["src"], "left")
+                           .select("file", low.alias("low"), ((F.coalesce("n", F.lit(0)) == 0) | (low >= _ENDLESS)).alias("done"),
+                                   F.when(F.col("n") == 1, F.col("one.dst")).alias("next"), F.col("one.w").alias("further")))
+        rounds += 1
+        settled = settled.unionByName(tables.put(f"done{rounds}", state.where("done").select("file", "low")))
+        if rounds % 8 == 0:  # keep the plan short on deep graphs
+            settled = tables.put("settled", settled)
+        waiting = state.where("NOT done").select("file", "low")
+        # An edge can have been passed on to a file that was settled in that very round.
+        known = state.where("NOT done").unionByName(settled.withColumn("done", F.lit(True)), allowMissingColumns=True)
+        below = known.select(F.col("file").alias("dst"), "low", "done", "next", "further")
+        over = ~F.col("done") & F.col("next").isNotNull()
+        to, far = F.when(over, F.col("next")).otherwise(F.col("dst")), F.col("w") + F.when(over, F.col("further")).otherwise(0)
+        up = (F.when(over & ((to == F.col("src")) | (far >= n)), _ENDLESS).when(F.col("done") | over, F.least(F.col("w") + F.col("low"), F.lit(_ENDLESS))).otherwise(0))
+        # Files that are settled as endless have edges left that no longer matter.
+        moved = (step.where("open").join(waiting.select(F.col("file").alias("src")), "src", "left_semi").join(below, "dst")
+                 .select("src", to.alias("dst"), far.alias("w"), (~F.col("done") & (to != F.col("src"))).alias("open"), up.alias("up"), (F.col("done") | over).alias("moved")))
+        seen = Observation()
+        merged = moved.groupBy("src", "dst", "open").agg(F.max("w").alias("w"), F.max("up").alias("up"), F.max("moved").alias("moved"))
+        step = tables.put("step", merged.observe(seen, F.count_if("moved").alias("moved")).select("src", "dst", "w", "open", "up"))
+        if not seen.get["moved"]:
             break
-        done = ready.withColumn("level", F.lit(level))
-        settled = done if settled is None else settled.unionByName(done)
-        if level % 20 == 19:  # keep the plan short on deep graphs
-            settled = cut(settled)
-        waiting = cut(waiting.join(ready, "file", "left_anti"))
-        left = cut(left.join(ready.select(F.col("file").alias("dst")), "dst", "left_anti").select("src", "dst"))
-        level += 1
-    stuck = waiting.withColumn("level", F.lit(None).cast("int"))
-    return stuck if settled is None else settled.unionByName(stuck)
-
-
-def _trimmed(edges: DataFrame) -> DataFrame:
-    """Edges without those that lead out of the cyclic part: nodes with no way in or no way out go."""
-    while True:
-        kept = cut(edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-                   .join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-        if kept.count() == edges.count():
-            return kept
-        edges = kept
+    settled = settled.unionByName(waiting.select("file", F.lit(_ENDLESS).alias("low")))
+    return settled.select("file", F.when(F.col("low") < _ENDLESS, F.col("low").cast("int")).alias("level"))
 
 
 def _spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
@@ -253,14 +303,38 @@ def _spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def cycles(edges: DataFrame) -> DataFrame:
-    """(file, cycle): files that import each other in a circle, named by the smallest of them.
+def _degrees(edges: DataFrame) -> DataFrame:
+    """(node, n_in, n_out, before, behind): the last two are the one neighbour where there is one."""
+    ends = edges.select(F.col("dst").alias("node"), F.col("src").alias("before"), F.lit(None).cast("string").alias("behind")).unionByName(
+        edges.select(F.col("src").alias("node"), F.lit(None).cast("string").alias("before"), F.col("dst").alias("behind")))
+    return ends.groupBy("node").agg(F.count("before").alias("n_in"), F.count("behind").alias("n_out"), F.max("before").alias("before"), F.max("behind").alias("behind"))
+
+
+def _chains(between: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Files with one way in and one way out, between(node, before, behind), as (node, left, right), the files at which their
+    chain begins and ends, and those of closed rings as (node, cycle).
+
+    Pointers to both sides double their reach in every round; in a ring they never end."""
+    now = between.select("node", F.col("before").alias("left"), F.col("behind").alias("right"), F.least("node", "behind").alias("low"))
+    tables = Tables(between.sparkSession)
+    now = tables.put("now", now.withColumn("l_open", F.lit(True)).withColumn("r_open", F.lit(True)))
+    rounds = max(now.count(), 1).bit_length() + 1
+    for _ in range(rounds):
+        ahead = now.select(F.col("node").alias("right"), F.col("right").alias("right2"), F.col("low").alias("low2"))
+        behind = now.select(F.col("node").alias("left"), F.col("left").alias("left2"))
+        now = tables.put("now", now.join(ahead, "right", "left").join(behind, "left", "left")
+                  .select("node", F.coalesce("left2", "left").alias("left"), F.coalesce("right2", "right").alias("right"),
+                          F.least("low", F.coalesce("low2", "low")).alias("low"), F.col("left2").isNotNull().alias("l_open"), F.col("right2").isNotNull().alias("r_open")))
+        if now.where("l_open OR r_open").isEmpty():
+            break
+    closed = F.col("l_open") & F.col("r_open")
+    return now.where(~closed).select("node", "left", "right"), now.where(closed).select("node", F.col("low").alias("cycle"))
+
 
-    What cannot lie on a cycle is trimmed first.  Then each node takes the smallest node that
-    reaches it; those that reach that node back, within the same colour, form one cycle group and
-    leave; the rest goes another round."""
-    left = _trimmed(cut(edges.where(F.col("src") != F.col("dst")).select("src", "dst").distinct()))
-    found = None
+def _coloured(edges: DataFrame) -> DataFrame:
+    """(node, cycle) of a graph by colours: each node takes the smallest node that reaches it; those that reach that node
+    back, within the same colour, form one group and leave; the rest goes another round."""
+    left, found = edges, None
     while not left.isEmpty():
         nodes = left.select(F.col("src").alias("node")).unionByName(left.select(F.col("dst").alias("node"))).distinct()
         colour = _spread(cut(nodes.withColumn("label", F.col("node"))), left)
@@ -270,19 +344,60 @@ def cycles(edges: DataFrame) -> DataFrame:
                      .where(F.col("c1") == F.col("c2")).select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         reached = cut(colour.where(F.col("node") == F.col("label")))
         while True:
-            more = (inside.join(reached.select(F.col("node").alias("src"), "label"), "src")
-                    .select(F.col("dst").alias("node"), "label").distinct().join(reached, "node", "left_anti"))
-            more = cut(more)
+            more = cut(inside.join(reached.select(F.col("node").alias("src"), "label"), "src")
+                       .select(F.col("dst").alias("node"), "label").distinct().join(reached, "node", "left_anti"))
             if more.isEmpty():
                 break
             reached = cut(reached.unionByName(more))
         sizes = reached.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-        group = reached.join(sizes, "label", "left_semi").select(F.col("node").alias("file"), F.col("label").alias("cycle"))
+        group = reached.join(sizes, "label", "left_semi").select("node", F.col("label").alias("cycle"))
         found = group if found is None else found.unionByName(group)
         gone = reached.select("node")
-        left = _trimmed(cut(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti")
-                            .join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")))
-    return found if found is not None else edges.sparkSession.createDataFrame([], "file string, cycle string")
+        left = cut(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti")
+                   .join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
+    return found
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """(file, cycle): files that import each other in a circle, named by the smallest of them.
+
+    The graph is shrunk first.  Files without a way in or out go; chains of files with one way in and one way out become one
+    edge, found by pointers that double their reach, so a chain or ring of any length takes a logarithmic number of
+    rounds.  What is left is coloured from many starts at once.  Then chains come back, last ones first: their files
+    are on a circle if both ends of the chain are on the same one, or if it leads back to where it began."""
+    tables = Tables(edges.sparkSession)
+    left = tables.put("left", edges.where(F.col("src") != F.col("dst")).select("src", "dst").distinct())
+    found = edges.select(F.col("src").alias("node"), F.col("src").alias("cycle")).limit(0)
+    taken = []
+    while True:
+        degrees = tables.put("degrees", _degrees(left))
+        dead = degrees.where("n_in = 0 OR n_out = 0").select("node")
+        between = degrees.where("n_in = 1 AND n_out = 1").select("node", "before", "behind")
+        sizes = degrees.agg(F.count_if(F.expr("n_in = 0 OR n_out = 0")).alias("dead"), F.count_if(F.expr("n_in = 1 AND n_out = 1")).alias("between")).first()
+        if sizes["between"]:
+            chains, rings = _chains(between)
+            chains = tables.put(f"chains{len(taken)}", chains)
+            rings = tables.put(f"rings{len(taken)}", rings)
+            # A chain that comes back to its own start: that file is on a circle, whatever else it is part of.
+            loops = chains.where(F.col("left") == F.col("right")).select(F.col("left").alias("node"), F.col("left").alias("cycle")).distinct()
+            taken.append((chains, loops))
+            found = found.unionByName(rings)
+            gone = between.select("node")
+            kept = left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")
+            left = tables.put("left", kept.unionByName(chains.where(F.col("left") != F.col("right")).select(F.col("left").alias("src"), F.col("right").alias("dst"))).distinct())
+        elif sizes["dead"]:
+            left = tables.put("left", left.join(dead.withColumnRenamed("node", "src"), "src", "left_anti").join(dead.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
+        else:
+            break
+    core = _coloured(left)
+    found = tables.put("found", found if core is None else found.unionByName(core))
+    for chains, loops in reversed(taken):
+        found = found.unionByName(loops.join(found.select("node"), "node", "left_anti"))
+        ends = [found.select(F.col("node").alias(side), F.col("cycle").alias(f"{side}_cycle")) for side in ("left", "right")]
+        back = chains.join(ends[0], "left").join(ends[1], "right").where(F.col("left_cycle") == F.col("right_cycle")).select("node", F.col("left_cycle").alias("cycle"))
+        found = tables.put("found", found.unionByName(back))
+    named = found.groupBy("cycle").agg(F.min("node").alias("name"))
+    return found.join(named, "cycle").select(F.col("node").alias("file"), F.col("name").alias("cycle"))
 
 
 # -------------------------------------------------------------------------------- phases

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lintlake.catalog import maps as M
 from lintlake.functions import severity, text
 from lintlake.functions.lookup import lookup
+from lintlake.operators import skew
 from lintlake.operators.graph import components
 from lintlake.operators.ordering import numbered
 from lintlake.session import cut
@@ -19,7 +20,7 @@ def _padded(number: Column) -> Column:
 
 # ------------------------------------------------------------------- cross-cutting groups
 def _pattern() -> Column:
-    return F.coalesce(F.nullif("search_pattern", F.lit("")), F.substring(F.coalesce("description", F.lit("")), 1, 60))
+    return F.coalesce(F.nullif("search_pattern", F.lit("")), F.coalesce("description", F.lit("")))
 
 
 def cross_cutting_groups(findings: DataFrame, min_files: int = 3) -> DataFrame:
@@ -27,18 +28,27 @@ def cross_cutting_groups(findings: DataFrame, min_files: int = 3) -> DataFrame:
     files, description).
 
     Different patterns of a rule may share the display name; ``group_key`` tells them apart."""
+    return _patterns(findings).where(F.col("files") >= min_files)
+
+
+def _n_files(findings: DataFrame) -> Column:
+    """Different files, counted per repo where there are several."""
+    return F.countDistinct(*[F.coalesce("repo", F.lit(""))] if "repo" in findings.columns else [], "file")
+
+
+def _patterns(findings: DataFrame) -> DataFrame:
     return (findings.groupBy("rule", _pattern().alias("pattern"))
-            .agg(F.count(F.lit(1)).alias("count"), F.countDistinct("file").alias("files"),
+            .agg(F.count(F.lit(1)).alias("count"), _n_files(findings).alias("files"),
                  F.min(F.substring("description", 1, 60)).alias("description"))
-            .where(F.col("files") >= min_files)
             .withColumn("group", F.concat("rule", F.lit(" across "), F.col("files").cast("string"), F.lit(" files")))
             .withColumn("group_key", F.concat("rule", F.lit("|"), "pattern")))
 
 
 def cross_cutting(findings: DataFrame, min_files: int = 3) -> DataFrame:
     """Findings with cross_cutting, cross_cutting_group and group_key (null outside a group)."""
-    groups = cross_cutting_groups(findings, min_files).select("rule", "pattern", "group", "group_key")
-    return (findings.withColumn("pattern", _pattern()).join(groups, ["rule", "pattern"], "left").drop("pattern")
+    every = cut(_patterns(findings).select("rule", "pattern", "group", "group_key", "files", F.col("count").alias("_n")))
+    groups = every.where(F.col("files") >= min_files).select("rule", "pattern", "group", "group_key")
+    return (skew.join(findings.withColumn("pattern", _pattern()), groups, ["rule", "pattern"], "left", counts=every).drop("pattern")
             .withColumn("cross_cutting", F.col("group").isNotNull())
             .withColumnRenamed("group", "cross_cutting_group"))
 
@@ -116,17 +126,37 @@ def wordings(findings: DataFrame) -> DataFrame:
             .withColumn("key", F.concat("rule", F.lit("|"), F.array_join("words", " "))))
 
 
+def _grouped(findings: DataFrame, threshold: float) -> DataFrame:
+    """Findings with ``similar_group``, the smallest wording that theirs is linked to; their own where there is none."""
+    keyed = wordings(findings).drop("words")
+    linked = components(similar_pairs(findings, threshold)).withColumnsRenamed({"node": "key", "component": "_group"})
+    return skew.join(keyed, linked, ["key"], "left").withColumn("similar_group", F.coalesce("_group", "key")).drop("key", "_group")
+
+
 def similar_groups(findings: DataFrame, threshold: float = 0.6, min_files: int = 3) -> DataFrame:
     """Findings of one rule with similar wording, where a group spans several files:
     (similar_group, rule, findings, files)."""
-    keyed = wordings(findings).select("key", "rule", "file")
-    linked = components(similar_pairs(findings, threshold))
-    groups = (keyed.join(linked, keyed["key"] == linked["node"], "left")
-              .withColumn("similar_group", F.coalesce("component", "key")))
-    return (groups.groupBy("similar_group", "rule").agg(F.count(F.lit(1)).alias("findings"), F.countDistinct("file").alias("files"))
+    grouped = _grouped(findings, threshold)
+    return (grouped.groupBy("similar_group", "rule").agg(F.count(F.lit(1)).alias("findings"), _n_files(findings).alias("files"))
             .where(F.col("files") >= min_files))
 
 
+def tag_similar(findings: DataFrame, threshold: float = 0.6, min_files: int = 3) -> DataFrame:
+    """Findings with cross_cutting and cross_cutting_group by similar wording: a finding whose wording is linked with
+    others of its rule in several files carries the label '<phase>.<n> <description>'.
+
+    The groups of a phase are numbered by size; the label shows the start of the shortest description."""
+    grouped = cut(_grouped(findings.drop("cross_cutting", "cross_cutting_group"), threshold))
+    text_ = F.coalesce("description", F.lit(""))
+    wide = (grouped.groupBy("similar_group").agg(F.count(F.lit(1)).alias("_n"), _n_files(findings).alias("_files"), F.min("phase").alias("_phase"),
+                                                F.min_by(F.substring(text_, 1, 60), F.struct(F.length(text_), text_)).alias("_text"))
+            .where(F.col("_files") >= min_files))
+    counted = numbered(wide, [F.col("_phase")], [-F.col("_n"), F.col("similar_group")], "_at")
+    label = F.concat(F.coalesce(F.col("_phase").cast("string"), F.lit("?")), F.lit("."), F.col("_at").cast("string"), F.lit(" "), "_text")
+    named = counted.select("similar_group", label.alias("cross_cutting_group"))
+    return (skew.join(grouped, named, ["similar_group"], "left").withColumn("cross_cutting", F.col("cross_cutting_group").isNotNull()).drop("similar_group"))
+
+
 # --------------------------------------------------------------------- root-cause families
 def _restored(findings: DataFrame) -> DataFrame:
     """Findings as before an earlier collapse."""
@@ -172,8 +202,8 @@ def collapse(findings: DataFrame, made: DataFrame, rules=("R01",)) -> DataFrame:
     # they would all meet in the partition of the null key.
     key = (F.when((F.coalesce("severity", F.lit("")) != "REVIEW") & F.col("rule").isin(list(rules)), _family_key(found))
            .otherwise(F.concat(F.lit("#"), F.coalesce("id", F.lit("")))))
-    joined = found.withColumn("pattern_key", key).join(
-        made.select("rule", "pattern_key", "family_id", "root_finding_id"), ["rule", "pattern_key"], "left")
+    keyed = found.withColumn("pattern_key", key)
+    joined = skew.join(keyed, made.select("rule", "pattern_key", "family_id", "root_finding_id"), ["rule", "pattern_key"], "left")
     member = F.col("family_id").isNotNull()
     root = member & (F.col("id") == F.col("root_finding_id"))
     below = member & ~root

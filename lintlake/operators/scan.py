@@ -89,12 +89,13 @@ def rule_scan(files: DataFrame, by_stack: dict[str, list[R.Rule]] = R.BY_STACK)
     """Findings of the line rules over files(path, stack, layer, tag, content, is_meta_file)."""
     # A long file is scanned like any other: its lines are rows.
     source = files.where(F.col("tag").isin("SOURCE", "OVERSIZED")) if "tag" in files.columns else files
-    hits = rule_hits(source, by_stack, "path", "layer")
+    repo = [c for c in ("repo",) if c in source.columns]
+    hits = rule_hits(source, by_stack, *repo, "path", "layer")
     return hits.select(
-        F.col("hit.rule").alias("rule"), F.col("hit.severity").alias("severity"),
+        *repo, F.col("hit.rule").alias("rule"), F.col("hit.severity").alias("severity"),
         F.col("hit.category").alias("category"), F.col("path").alias("file"), "line",
         F.col("line").alias("end_line"), F.substring("code", 1, 200).alias("snippet"),
-        F.col("code").alias("current_code"),F.col("hit.description").alias("description"),
+        F.col("code").alias("current_code"), F.col("hit.description").alias("description"),
         F.concat(F.col("hit.description"), F.lit(": "), F.col("hit.confidence_reason")).alias("explanation"),
         F.coalesce(F.regexp_substr("code", F.col("hit.pattern")), F.col("hit.pattern")).alias("search_pattern"),
         F.col("hit.target_code").alias("target_code"), F.col("hit.phase").alias("phase"),

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lintlake.catalog import maps as M
-from lintlake.functions import severity
+from lintlake.functions import severity, text
 from lintlake.functions.lookup import first_match, literal_map
+from lintlake.operators import skew
+from lintlake.operators.marks import only_marked
 from lintlake.operators.ordering import numbered, with_previous
-from lintlake.operators.scan import lines
+from lintlake.session import cut
 
 RADIUS = 20
 
@@ -100,8 +102,7 @@ def route(tasks: DataFrame, decided: DataFrame, bulk: DataFrame, default_confide
     decided(task_id, action) names single tasks, bulk(rule, action) whole rules; both only matter for
     low confidence, and a single decision comes first."""
     pending = tasks.where("status = 'pending'").withColumn("confidence", F.coalesce("confidence", F.lit(default_confidence)))
-    joined = (pending.join(decided.withColumnRenamed("action", "one"), "task_id", "left")
-              .join(bulk.withColumnRenamed("action", "all"), "rule", "left"))
+    joined = skew.join(pending.join(decided.withColumnRenamed("action", "one"), "task_id", "left"), bulk.withColumnRenamed("action", "all"), ["rule"], "left")
     low = F.col("confidence") == "low"
     return joined.withColumn("route", first_match([
         (~low, "auto"), (F.col("one") == "skip", "skip"), (F.col("one").isNotNull(), "fix"),
@@ -144,7 +145,7 @@ def batch_size(total_loc: Column, files: Column) -> Column:
 
 def scan_batches(listed: DataFrame) -> DataFrame:
     """Files worth a close scan, in path order, cut into batches: (path, layer, batch)."""
-    usable = (F.col("tag") != "GENERATED") &~F.col("nominal") & ~F.col("is_meta_file")
+    usable = (F.col("tag") != "GENERATED") & ~F.col("nominal") & ~F.col("is_meta_file")
     size = listed.agg(batch_size(F.sum("loc"), F.count_if(usable)).alias("size")).scalar()
     placed = numbered(listed.where(usable).select("path", "layer"), [], [F.col("path")], "at")
     return placed.select("path", "layer", F.ceil(F.col("at") / size).cast("int").alias("batch"))
@@ -164,33 +165,49 @@ def _first_line(code: str) -> Column:
     return F.btrim(F.substring_index(F.btrim(F.coalesce(code, F.lit("")), blank), "\n", 1), blank)
 
 
+TOGETHER = 256  # places of one file that are looked up in one row
+
+
+def _by_file(wanted: DataFrame, files: DataFrame) -> DataFrame:
+    """wanted(file, ...) gathered to rows (file, wanted, content) of about ``TOGETHER`` each, with the text of the file;
+    null where there is none.  A file with very many is several rows, dealt out by a hash."""
+    fields = [c for c in wanted.columns if c != "file"]
+    counts = wanted.groupBy("file").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).alias("_parts"))
+    dealt = skew.join(wanted, counts, ["file"], "left").withColumn("_part", F.pmod(F.xxhash64(*fields), F.coalesce("_parts", F.lit(1))))
+    rows = cut(dealt.groupBy("file", "_part").agg(F.collect_list(F.struct(*fields)).alias("wanted")).drop("_part"))
+    named = only_marked(files.select(F.col("path").alias("file"), F.coalesce("content", F.lit("")).alias("content")), "file", rows, "file")
+    return skew.join(rows, named, ["file"], "left")
+
+
+def _lines_around(at: Column, around: int, holds) -> Column:
+    """Numbers of the lines of ``_lines`` within some lines of one, that pass the test."""
+    first, last = F.greatest(at - around, F.lit(1)), F.least(at + around, F.size("_lines"))
+    return F.filter(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>")), lambda i: holds(F.element_at("_lines", i)))
+
+
 def relocate(tasks: DataFrame, files: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Where each task's code is now: (task_id, match, found_line, shift, outcome).
 
     tasks(task_id, file, line, code); files(path, content).  The cited line wins, then the nearest
-    within the radius (forward first), then the first in the file.  The lines around a task are
-    reached over (file, block of lines); only tasks not found there meet the whole text of their
-    file, one row each, and search it as text."""
+    within the radius (forward first), then the first in the file.  Only files that tasks name travel, each with
+    rows of its tasks, which look into the file's lines by number; no line becomes a row."""
     wanted = tasks.select("task_id", "file", "line", _first_line("code").alias("needle"))
     short = wanted.where(F.length("needle") < 5)
-    long = wanted.where(F.length("needle") >= 5)
-    width = 2 * radius + 1
-    reach = F.array_distinct(F.array(F.floor((F.col("line") - radius) / width), F.floor((F.col("line") + radius) / width)))
-    text = lines(files, "path").select(F.col("path").alias("file"), F.col("line").alias("at"), "text", F.floor(F.col("line") / width).alias("block"))
-    offset = F.col("at") - F.col("line")
-    best = F.struct(F.abs(offset).alias("far"), (offset < 0).alias("back"), F.col("at"))
-    near = (long.withColumn("block", F.explode(reach)).join(text, ["file", "block"])
-            .where((F.abs(offset) <= radius) & F.col("text").contains(F.col("needle")))
-            .groupBy("task_id").agg(F.min(best).alias("best"))
-            .select("task_id", F.col("best.at").alias("near_line")))
-    far = (long.join(near, "task_id", "left_anti").join(files.select(F.col("path").alias("file"), "content"), "file")
-           .withColumn("before", F.expr("left(content, instr(content, needle))"))
-           .select("task_id", F.when(F.col("before") != "", F.length("before") - F.length(F.replace("before", F.lit("\n"), F.lit(""))) + 1).alias("far_line"),
-                   F.lit(True).alias("there")))
-    found = long.join(near, "task_id", "left").join(far, "task_id", "left")
+    rows = _by_file(wanted.where(F.length("needle") >= 5), files).withColumn("_lines", text.real_lines(F.coalesce("content", F.lit(""))))
+
+    def found(task: Column) -> Column:
+        near = _lines_around(task["line"], radius, lambda text_: text_.contains(task["needle"]))
+        best = F.array_min(F.transform(near, lambda i: F.struct(F.abs(i - task["line"]).alias("far"), (i < task["line"]).alias("back"), i.alias("at"))))
+        return F.struct(task["task_id"].alias("task_id"), task["line"].alias("line"), task["needle"].alias("needle"), best["at"].alias("near_line"))
+
+    looked = rows.select("content", F.explode(F.transform("wanted", found)).alias("t")).select("content", "t.*")
+    # The first line that holds it has as many line breaks before it as the text up to there.
+    before = F.expr("left(content, instr(content, needle))")
+    far = F.when(F.col("near_line").isNull() & F.expr("instr(content, needle) > 0"), F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1)
+    looked = looked.withColumn("far_line", far)
     match = first_match([(F.col("near_line") == F.col("line"), "exact"), (F.col("near_line").isNotNull(), "nearby"),
-                         (F.col("far_line").isNotNull(), "file_wide"), (F.col("there"), "not_found")], "file_missing")
-    every = (found.select("task_id", "line", match.alias("match"), F.coalesce("near_line", "far_line").alias("found_line"))
+                         (F.col("far_line").isNotNull(), "file_wide"), (F.col("content").isNotNull(), "not_found")], "file_missing")
+    every = (looked.select("task_id", "line", match.alias("match"), F.coalesce("near_line", "far_line").alias("found_line"))
              .unionByName(short.select("task_id", "line", F.lit("exact").alias("match"), F.col("line").alias("found_line"))))
     shift = F.abs(F.col("found_line") - F.col("line"))
     outcome = first_match([(F.col("match").isin("file_missing", "not_found"), "already_resolved"), (F.col("match") == "exact", "valid"),
@@ -198,20 +215,17 @@ def relocate(tasks: DataFrame, files: DataFrame, radius: int = RADIUS) -> DataFr
     return every.select("task_id", "match", "found_line", shift.alias("shift"), outcome.alias("outcome"))
 
 
-def snippet_check(findings: DataFrame, rows: DataFrame, around: int = 5) -> DataFrame:
+def snippet_check(findings: DataFrame, files: DataFrame, around: int = 5) -> DataFrame:
     """Whether the first line of a finding's snippet stands within a few lines of where it was cited:
-    (id, valid).
-
-    A finding meets only the lines around it: both sides carry the line's block number and are joined
-    on (file, block), so one long file is spread over its blocks."""
-    width = 2 * around + 1
+    (id, valid).  findings(id, file, line, snippet); files(path, content)."""
     wanted = findings.select("id", "file", "line", F.substring_index("snippet", "\n", 1).alias("needle"))
-    reach = F.array_distinct(F.array(F.floor((F.col("line") - around) / width), F.floor((F.col("line") + around) / width)))
-    near = wanted.withColumn("block", F.explode(reach))
-    text = rows.select("file", F.col("line").alias("at"), "text", F.floor(F.col("line") / width).alias("block"))
-    hit = near.join(text, ["file", "block"]).where(
-        F.col("at").between(F.col("line") - around, F.col("line") + around) & F.col("text").contains(F.col("needle"))).select("id").distinct()
-    return wanted.join(hit.withColumn("valid", F.lit(True)), "id", "left").select("id", F.coalesce("valid", F.lit(False)).alias("valid"))
+    rows = _by_file(wanted, files).withColumn("_lines", text.real_lines(F.coalesce("content", F.lit(""))))
+
+    def checked(row: Column) -> Column:
+        near = _lines_around(row["line"], around, lambda text_: text_.contains(row["needle"]))
+        return F.struct(row["id"].alias("id"), (F.size(near) > 0).alias("valid"))
+
+    return rows.select(F.explode(F.transform("wanted", checked)).alias("r")).select("r.*")
 
 
 def changed_only(tasks: DataFrame, changed: DataFrame) -> DataFrame:

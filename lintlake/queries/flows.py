@@ -56,7 +56,7 @@ def stream_usage_windows(spark, folder):
     home = scratch(spark, "windows")
     ledger = event_stream(spark, folder).select(F.col("user_id").alias("repo"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % 9000).alias("tokens"))
     S.usage_windows(ledger, f"{home}/out", f"{home}/done")
-    return S.latest_windows(spark, f"{home}/out")
+    return S.latest_windows(spark, f"{home}/out").drop("late_runs")
 
 
 # ------------------------------------------------------------------------------------ sinks
@@ -138,7 +138,7 @@ def code_audit_summary(spark, folder):
 def code_analysis_summary(spark, folder):
     """The second stage: clusters of the audited findings with their blast radius."""
     files = V.code_files(spark, folder)
-    return analysis.run(audit.run(files)["findings"], files, {"@/": "src/"})["clusters"].select("cluster_id", "type", "max_severity", "finding_count", "rules")
+    return analysis.run(audit.run(files)["findings"], files.drop("repo"), {"@/": "src/"})["clusters"].select("cluster_id", "type", "max_severity", "finding_count", "rules")
 
 
 @query("raw_text_findings", V.sql("", "SELECT source, count(*) AS lines FROM raw WHERE kind <> 2 GROUP BY 1", raw=RAW))

@@ -385,6 +385,7 @@ def artifact_manifest(spark, folder):
 @query("artifact_completeness", V.sql("files", "SELECT path, cast(lines AS int) AS lines, cast(CASE WHEN doc_id % 7 <> 0 THEN n END AS int) AS line_count, doc_id % 7 <> 0 AND lines = n AS complete FROM (SELECT doc_id, path, length(content) - length(replace(content, chr(10), '')) AS n, length(content) - length(replace(content, chr(10), '')) + CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS lines FROM files)"))
 def artifact_completeness(spark, folder):
     files = V.files(spark, folder)
-    made = sinks.manifest(files.where("doc_id % 7 <> 0").select("path", F.encode("content", "UTF-8").alias("content")))
+    # Every seventh file is listed under another name.
+    made = sinks.manifest(files.select(F.when(F.col("doc_id") % 7 == 0, F.concat("path", F.lit(".old"))).otherwise(F.col("path")).alias("path"), F.encode("content", "UTF-8").alias("content")))
     declared = files.select("path", (F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit(""))) + F.when(F.col("doc_id") % 5 == 0, 1).otherwise(0)).alias("lines"))
     return sinks.complete(made, declared)

@@ -16,7 +16,6 @@ from lintlake.session import cut
 
 
 # -------------------------------------------------------------------------- import extraction
-ALIAS = {"@/": "src/"}
 IMPORTS = " UNION ALL ".join(
     f"SELECT path, unnest(regexp_extract_all(content, {_q(p)}, {g})) AS specifier FROM code_files"
     for p, g in ((R.IMPORT_FROM, 1), (R.IMPORT_BARE, 1), (R.IMPORT_REQUIRE, 1), (R.IMPORT_DYNAMIC, 1), (R.IMPORT_REEXPORT, 1)))
@@ -28,33 +27,45 @@ def imports(spark, folder):
 
 
 # What the template lines mean: './f<n>' in the same folder (in whatever form the file exists),
-# '@/services/f<n>' in src/services.
-RESOLVED = """SELECT DISTINCT src, dst FROM (
-  SELECT i.path AS src, t.path AS dst, row_number() OVER (PARTITION BY i.path, i.specifier ORDER BY t.rank) AS n FROM (SELECT DISTINCT path, specifier FROM imported) i
-  JOIN (SELECT path, path AS tried, 0 AS rank FROM code_files UNION ALL SELECT path, regexp_replace(path, '[.]ts$', ''), 1 FROM code_files WHERE ends_with(path, '.ts')) t
-    ON t.tried = CASE WHEN starts_with(i.specifier, './') THEN concat(regexp_replace(i.path, '[^/]*$', ''), substr(i.specifier, 3)) WHEN starts_with(i.specifier, '@/') THEN concat('src/', substr(i.specifier, 3)) END)
+# '@/services/f<n>' in src/services: in one repo by the only alias, in the other by the longer of two.
+REPO_IMPORTS = " UNION ALL ".join(
+    f"SELECT repo, path, unnest(regexp_extract_all(content, {_q(p)}, {g})) AS specifier FROM repo_files"
+    for p, g in ((R.IMPORT_FROM, 1), (R.IMPORT_BARE, 1), (R.IMPORT_REQUIRE, 1), (R.IMPORT_DYNAMIC, 1), (R.IMPORT_REEXPORT, 1)))
+RESOLVED = """SELECT DISTINCT repo, src, dst FROM (
+  SELECT i.repo, i.path AS src, t.path AS dst, row_number() OVER (PARTITION BY i.repo, i.path, i.specifier ORDER BY t.rank) AS n FROM (SELECT DISTINCT repo, path, specifier FROM imported) i
+  JOIN (SELECT repo, path, path AS tried, 0 AS rank FROM repo_files UNION ALL SELECT repo, path, regexp_replace(path, '[.]ts$', ''), 1 FROM repo_files WHERE ends_with(path, '.ts')) t
+    ON t.repo = i.repo AND t.tried = CASE WHEN starts_with(i.specifier, './') THEN concat(regexp_replace(i.path, '[^/]*$', ''), substr(i.specifier, 3))
+      WHEN i.repo = 'east' AND starts_with(i.specifier, '@/') THEN concat('src/', substr(i.specifier, 3))
+      WHEN i.repo = 'west' AND starts_with(i.specifier, '@/services/') THEN concat('src/services/', substr(i.specifier, 12)) WHEN i.repo = 'west' AND starts_with(i.specifier, '@/') THEN concat('none/', substr(i.specifier, 3)) END)
 WHERE n = 1 AND src <> dst"""
-RESOLVE = dict(imported=IMPORTS, code_edges=RESOLVED)
+RESOLVE = dict(imported=REPO_IMPORTS, code_edges=RESOLVED)
+CONFIGS = {"east": '{"compilerOptions": {"paths": {"@/*": ["src/*"]}}}',
+           "west": '{"compilerOptions": {"baseUrl": ".", // from here\n "paths": {"@/*": ["./none/*"], "@/services/*": ["./src/services/*"]}}}'}
+
+
+def repo_aliases(spark):
+    rows = F.array(*[F.struct(F.lit(r).alias("repo"), F.lit(c).alias("content")) for r, c in CONFIGS.items()])
+    return graph.aliases(spark.range(1).select(F.explode(rows).alias("r")).select("r.*"))
 
 
 def code_edges(spark, folder):
-    return graph.import_edges(V.code_files(spark, folder), ALIAS)
+    return graph.import_edges(V.repo_files(spark, folder), repo_aliases(spark))
 
 
-@query("import_edges", V.sql("code_files", "SELECT src, dst FROM code_edges", **RESOLVE))
+@query("import_edges", V.sql("repo_files", "SELECT repo, src, dst FROM code_edges", **RESOLVE))
 def import_edges(spark, folder):
-    return code_edges(spark, folder).select("src", "dst")
+    return code_edges(spark, folder).select("repo", "src", "dst")
 
 
-@query("graph_stats", V.sql("code_files", "SELECT f AS total_files, e AS total_edges, CASE WHEN f > 0 THEN round(e / f, 1) ELSE 0.0 END AS avg_imports_per_file FROM (SELECT (SELECT count(*) FROM code_files) AS f, (SELECT count(*) FROM code_edges) AS e)", **RESOLVE))
+@query("graph_stats", V.sql("repo_files", "SELECT f AS total_files, e AS total_edges, CASE WHEN f > 0 THEN round(e / f, 1) ELSE 0.0 END AS avg_imports_per_file FROM (SELECT (SELECT count(*) FROM repo_files) AS f, (SELECT count(*) FROM code_edges) AS e)", **RESOLVE))
 def graph_stats(spark, folder):
-    return graph.graph_stats(V.code_files(spark, folder).select("path"), code_edges(spark, folder))
+    return graph.graph_stats(V.repo_files(spark, folder).select("path"), code_edges(spark, folder))
 
 
-@query("unused_files", V.sql("code_files", f"SELECT path FROM code_files WHERE stack = 'typescript' AND path NOT IN (SELECT dst FROM code_edges) AND regexp_extract(path, '[^/]*$', 0) NOT IN ({', '.join(_q(x) for x in L.ENTRY_POINTS)})", **RESOLVE))
+@query("unused_files", V.sql("repo_files", f"SELECT repo, path FROM repo_files WHERE stack = 'typescript' AND (repo, path) NOT IN (SELECT (repo, dst) FROM code_edges) AND regexp_extract(path, '[^/]*$', 0) NOT IN ({', '.join(_q(x) for x in L.ENTRY_POINTS)})", **RESOLVE))
 def unused_files(spark, folder):
-    files = V.code_files(spark, folder)
-    return graph.unused_files(files.where("stack = 'typescript'").select("path"), graph.import_edges(files, ALIAS), L.ENTRY_POINTS)
+    files = V.repo_files(spark, folder)
+    return graph.unused_files(files.where("stack = 'typescript'").select("repo", "path"), graph.import_edges(files, repo_aliases(spark)), L.ENTRY_POINTS)
 
 
 # tsconfig texts made of customers: two wildcard aliases, one of them commented out now and then.
@@ -132,6 +143,14 @@ def looped(spark, folder):
     return e.unionByName(back.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
+# Files on a circle, and files from which one is reached, have no level.
+ENDLESS = """WITH RECURSIVE reach(a, b) AS (SELECT src, dst FROM looped UNION SELECT r.a, e.dst FROM reach r JOIN looped e ON r.b = e.src),
+endless AS (SELECT a AS file FROM reach WHERE a = b UNION SELECT a FROM reach WHERE b IN (SELECT a FROM reach WHERE a = b)),
+down(file, level) AS (SELECT DISTINCT dst, 0 FROM looped WHERE dst NOT IN (SELECT src FROM looped) UNION SELECT e.src, d.level + 1 FROM down d JOIN looped e ON e.dst = d.file WHERE e.src NOT IN (SELECT file FROM endless)),
+lev AS (SELECT file, max(level) AS level FROM down GROUP BY file UNION ALL SELECT file, NULL FROM endless)
+"""
+
+
 @query("import_cycles", V.sql("edges", """
 WITH RECURSIVE reach(a, b) AS (SELECT src, dst FROM looped UNION SELECT r.a, e.dst FROM reach r JOIN looped e ON r.b = e.src)
 SELECT r.a AS file, min(r.b) AS cycle FROM reach r JOIN reach s ON r.a = s.b AND r.b = s.a GROUP BY r.a HAVING count(*) > 1""", looped=LOOPED))
@@ -139,12 +158,14 @@ def import_cycles(spark, folder):
     return graph.cycles(looped(spark, folder))
 
 
-@query("fix_order", V.sql("findings edges", f"""
-WITH RECURSIVE down(file, level) AS (SELECT dst, 0 FROM edges WHERE dst NOT IN (SELECT src FROM edges) UNION SELECT e.src, d.level + 1 FROM down d JOIN edges e ON e.dst = d.file),
-lev AS (SELECT file, max(level) AS level FROM down GROUP BY file)
-SELECT id, coalesce(level, 0) AS level, false AS circular, row_number() OVER (ORDER BY phase, coalesce(level, 0), {V.rank_sql('severity')}, f.file, line, id) AS position FROM findings f LEFT JOIN lev ON f.file = lev.file"""))
+@query("import_levels_with_circles", V.sql("edges", f"{ENDLESS}SELECT file, level FROM lev", looped=LOOPED))
+def import_levels_with_circles(spark, folder):
+    return graph.levels(looped(spark, folder))
+
+
+@query("fix_order", V.sql("findings edges", f"""{ENDLESS}SELECT id, coalesce(level, 0) AS level, lev.file IS NOT NULL AND level IS NULL AS circular, row_number() OVER (ORDER BY phase, coalesce(level, 0), {V.rank_sql('severity')}, f.file, line, id) AS position FROM findings f LEFT JOIN lev ON f.file = lev.file""", looped=LOOPED))
 def fix_order(spark, folder):
-    return graph.fix_order(V.findings(spark, folder), V.edges(spark, folder), S.rank(F.col("severity"))).select("id", "level", "circular", "position")
+    return graph.fix_order(V.findings(spark, folder), looped(spark, folder), S.rank(F.col("severity"))).select("id", "level", "circular", "position")
 
 
 @query("phase_dag_nodes", V.sql("findings", f"SELECT p.phase, {V.map_sql(M.PHASE_NAME, 'p.phase')} AS name, coalesce(n, 0) AS finding_count FROM (SELECT cast(unnest(range(0, 11)) AS int) AS phase) p LEFT JOIN (SELECT phase, count(*) AS n FROM findings GROUP BY 1) f ON p.phase = f.phase"))
@@ -160,29 +181,25 @@ def phase_prerequisites(spark, folder):
 
 
 # -------------------------------------------------------------------------------- clusters
-# Findings of the files that import or are imported, so that every kind of cluster occurs.
-LOCAL = "SELECT * FROM marked WHERE file IN (SELECT src FROM edges UNION SELECT dst FROM edges) AND severity IN ('CRITICAL', 'HIGH')"
 COMPONENTS = """SELECT a AS node, min(b) AS component FROM reach GROUP BY a"""
-MEMBERS = """SELECT concat('file|', file) AS cluster, 'file' AS type, id FROM local_
-UNION ALL SELECT concat('imports|', component), 'import_connected', id FROM local_ JOIN linked ON file = node
-UNION ALL SELECT concat('group|', cross_cutting_group), 'cross_cutting', id FROM local_ WHERE cross_cutting_group IN (SELECT cross_cutting_group FROM big)
-UNION ALL SELECT concat('wording|', rule, '|', substr(description, 1, 50)), 'cross_cutting', id FROM local_ l WHERE (rule, substr(description, 1, 50)) IN (
-  SELECT (rule, substr(description, 1, 50)) FROM local_ GROUP BY rule, substr(description, 1, 50) HAVING count(*) >= 2 AND count(*) FILTER (WHERE cross_cutting_group IS NULL OR cross_cutting_group NOT IN (SELECT cross_cutting_group FROM big)) > 0)"""
-BIG = "SELECT cross_cutting_group FROM local_ WHERE cross_cutting_group IS NOT NULL GROUP BY 1 HAVING count(*) >= 2"
+MEMBERS = """SELECT concat('file|', file) AS cluster, 'file' AS type, id FROM marked
+UNION ALL SELECT concat('imports|', component), 'import_connected', id FROM marked JOIN linked ON file = node
+UNION ALL SELECT concat('group|', cross_cutting_group), 'cross_cutting', id FROM marked WHERE cross_cutting_group IN (SELECT cross_cutting_group FROM big)
+UNION ALL SELECT concat('wording|', rule, '|', description), 'cross_cutting', id FROM marked l WHERE (rule, description) IN (
+  SELECT (rule, description) FROM marked GROUP BY rule, description HAVING count(*) >= 2 AND count(*) FILTER (WHERE cross_cutting_group IS NULL OR cross_cutting_group NOT IN (SELECT cross_cutting_group FROM big)) > 0)"""
+BIG = "SELECT cross_cutting_group FROM marked WHERE cross_cutting_group IS NOT NULL GROUP BY 1 HAVING count(*) >= 2"
 BOTH = "SELECT src AS a, dst AS b FROM inside UNION SELECT dst, src FROM inside"
-INSIDE = "SELECT src, dst FROM edges WHERE src IN (SELECT file FROM local_) AND dst IN (SELECT file FROM local_)"
+INSIDE = "SELECT src, dst FROM edges WHERE src IN (SELECT file FROM marked) AND dst IN (SELECT file FROM marked)"
 REACH_CTE = "reach(a, b) AS (SELECT a, a FROM both_ UNION SELECT r.a, e.b FROM reach r JOIN both_ e ON r.b = e.a)"
 
 
 def _cluster_sql(query_text: str) -> str:
-    parts = {**GROUPED, "marked": CROSSED, "local_": LOCAL, "big": BIG, "inside": INSIDE, "both_": BOTH}
+    parts = {**GROUPED, "marked": CROSSED, "big": BIG, "inside": INSIDE, "both_": BOTH}
     return V.sql("findings edges", f"WITH RECURSIVE {REACH_CTE},\nlinked AS ({COMPONENTS}),\nmembers AS ({MEMBERS})\n{query_text}", **parts)
 
 
 def local(spark, folder):
-    e = V.edges(spark, folder)
-    touched = e.select(F.col("src").alias("file")).unionByName(e.select(F.col("dst").alias("file"))).distinct()
-    return cut(crossed(spark, folder).where("severity IN ('CRITICAL', 'HIGH')").join(touched, "file", "left_semi"))
+    return cut(crossed(spark, folder))
 
 
 def members(found, spark, folder):
@@ -213,7 +230,7 @@ def cluster_merge(spark, folder):
 
 # By file alone the parts can be written in SQL: chunks of twelve per rule and wording.
 CHUNKS = f"""SELECT f.id, concat('file|', file) AS cluster, CASE WHEN n > 12 THEN concat(rule, '|', key, '|', cast(cast(ceil(row_number() OVER (PARTITION BY file, rule, key ORDER BY line, f.id) / 12) AS int) AS varchar)) ELSE '' END AS part FROM (
-  SELECT *, count(*) OVER (PARTITION BY file) AS n, substr(trim(regexp_replace(lower(coalesce(cross_cutting_group, search_pattern, current_code, description)), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), 1, 120) AS key FROM marked) f"""
+  SELECT *, count(*) OVER (PARTITION BY file) AS n, trim(regexp_replace(lower(coalesce(cross_cutting_group, search_pattern, current_code, description)), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS key FROM marked) f"""
 
 
 @query("cluster_chunks", V.sql("findings", CHUNKS, **GROUPED, marked=CROSSED))
@@ -224,7 +241,7 @@ def cluster_chunks(spark, folder):
 
 CLUSTERS = f"""SELECT concat('CLU-', CASE WHEN position < 1000 THEN lpad(cast(position AS varchar), 3, '0') ELSE cast(position AS varchar) END) AS cluster_id, * FROM (
   SELECT cluster, part, 'file' AS type, arg_min(substr(description, 1, 80), (r, id)) AS name, string_agg(DISTINCT file, ',' ORDER BY file) AS files, string_agg(DISTINCT id, ',' ORDER BY id) AS finding_ids, count(DISTINCT id) AS finding_count,
-    {NAMES.format('min(r)')} AS max_severity, string_agg(DISTINCT rule, ',' ORDER BY rule) AS rules, min(substr(description, 1, 50)) AS root_pattern, row_number() OVER (ORDER BY min(r), -count(DISTINCT id), cluster, part) AS position
+    {NAMES.format('min(r)')} AS max_severity, string_agg(DISTINCT rule, ',' ORDER BY rule) AS rules, substr(min(description), 1, 50) AS root_pattern, row_number() OVER (ORDER BY min(r), -count(DISTINCT id), cluster, part) AS position
   FROM (SELECT c.cluster, c.part, m.*, {V.rank_sql('severity')} AS r FROM chunks c JOIN marked m ON c.id = m.id) GROUP BY cluster, part)"""
 CLUSTERED = dict(**GROUPED, marked=CROSSED, chunks=CHUNKS, clusters=CLUSTERS)
 

@@ -13,6 +13,7 @@ from lintlake.queries.registry import query
 from lintlake.queries.reports import GATE, gated, health
 from lintlake.queries.scan import LISTED, listed
 from lintlake.operators import gate
+from lintlake.session import cut
 
 EVERY_PHASE = "(SELECT cast(unnest(range(0, 11)) AS int) AS phase)"
 
@@ -29,26 +30,38 @@ def phase_tasks(spark, folder):
     return T.phase_tasks(found).select("id", "phase", "position", "confidence", F.array_join("imports_needed", ",").alias("imports"))
 
 
-@query("phase_files", V.sql("tasks", f"SELECT p.phase, {V.map_sql(M.PHASE_NAME, 'p.phase')} AS name, coalesce(n, 0) AS total_tasks, CASE WHEN n IS NULL THEN 'clear' ELSE 'not_started' END AS status FROM {EVERY_PHASE} p LEFT JOIN (SELECT phase, count(*) AS n FROM tasks WHERE phase <> 4 GROUP BY 1) t ON p.phase = t.phase"))
+@query("phase_files", V.sql("tasks", f"SELECT p.phase, {V.map_sql(M.PHASE_NAME, 'p.phase')} AS name, coalesce(n, 0) AS total_tasks, CASE WHEN n IS NULL THEN 'clear' ELSE 'not_started' END AS status FROM {EVERY_PHASE} p LEFT JOIN (SELECT CASE phase WHEN 4 THEN 5 ELSE phase END AS phase, count(*) AS n FROM tasks GROUP BY 1) t ON p.phase = t.phase"))
 def phase_files(spark, folder):
-    return T.phase_files(V.tasks(spark, folder).where("phase <> 4"))
+    return T.phase_files(V.tasks(spark, folder).withColumn("phase", F.expr("CASE phase WHEN 4 THEN 5 ELSE phase END")))
 
 
 COUNTED = """count(*) AS total, count(*) FILTER (WHERE status = 'completed' AND resolution IN ('applied', 'already_resolved', 'line-shifted')) AS resolved, count(*) FILTER (WHERE resolution = 'skipped') AS skipped,
   count(*) FILTER (WHERE resolution = 'failed') AS failed, count(*) FILTER (WHERE status = 'pending') AS pending"""
 
 
+# Phase 4 has no task, all of phase 2 are open and all of phase 0 are done.
+STAGED = """SELECT * REPLACE (CASE phase WHEN 4 THEN 5 ELSE phase END AS phase, CASE WHEN phase = 2 THEN 'pending' WHEN phase = 0 THEN 'completed' ELSE status END AS status,
+  CASE WHEN phase = 2 THEN NULL WHEN phase = 0 THEN coalesce(resolution, 'applied') ELSE resolution END AS resolution) FROM tasks"""
+
+
+def staged(spark, folder):
+    phase = F.col("phase")
+    return (V.tasks(spark, folder).withColumn("resolution", F.when(phase == 2, F.lit(None)).when(phase == 0, F.coalesce("resolution", F.lit("applied"))).otherwise(F.col("resolution")))
+            .withColumn("status", F.when(phase == 2, "pending").when(phase == 0, "completed").otherwise(F.col("status")))
+            .withColumn("phase", F.when(phase == 4, 5).otherwise(phase)))
+
+
 @query("phase_progress", V.sql("tasks", f"""SELECT p.phase, coalesce(total, 0) AS total, coalesce(resolved, 0) AS resolved, coalesce(skipped, 0) AS skipped, coalesce(failed, 0) AS failed, coalesce(pending, 0) AS pending,
   CASE WHEN total IS NULL THEN 'EMPTY' WHEN pending = total THEN 'NOT STARTED' WHEN pending = 0 THEN 'COMPLETE' ELSE 'IN PROGRESS' END AS status
-  FROM {EVERY_PHASE} p LEFT JOIN (SELECT phase, {COUNTED} FROM tasks WHERE phase <> 4 AND (phase <> 2 OR status = 'pending') AND (phase <> 0 OR status <> 'pending') GROUP BY 1) t ON p.phase = t.phase"""))
+  FROM {EVERY_PHASE} p LEFT JOIN (SELECT phase, {COUNTED} FROM staged GROUP BY 1) t ON p.phase = t.phase""", staged=STAGED))
 def phase_progress(spark, folder):
-    return T.progress(V.tasks(spark, folder).where("phase <> 4 AND (phase <> 2 OR status = 'pending') AND (phase <> 0 OR status <> 'pending')"))
+    return T.progress(staged(spark, folder))
 
 
 @query("task_tallies", V.sql("tasks", f"""SELECT total, resolved, skipped, failed, (SELECT 11 - count(DISTINCT phase) FROM t WHERE status = 'pending') AS phases_completed, (SELECT min(phase) FROM t WHERE status = 'pending') AS current_phase
-  FROM (SELECT {COUNTED} FROM t)""", t="SELECT * FROM tasks WHERE phase <> 0 OR status <> 'pending'"))
+  FROM (SELECT {COUNTED} FROM t)""", t=STAGED))
 def task_tallies(spark, folder):
-    return T.tallies(V.tasks(spark, folder).where("phase <> 0 OR status <> 'pending'"))
+    return T.tallies(staged(spark, folder))
 
 
 @query("status_table", V.sql("tasks", """SELECT phase, count(*) AS total, count(*) FILTER (WHERE status = 'pending') AS pending, count(*) FILTER (WHERE status = 'in_progress') AS in_progress, count(*) FILTER (WHERE status = 'completed') AS completed,
@@ -61,9 +74,9 @@ SHOWN = {"applied": "applied", "line-shifted": "line-shifted", "already_resolved
 
 
 @query("phase_message", V.sql("tasks", "SELECT phase, concat('fix(phase-', phase, '): ', " + V.map_sql(M.PHASE_NAME, "phase") + ", ' - ', CASE WHEN parts = '' THEN 'no changes' ELSE parts END) AS message FROM (SELECT phase, concat_ws(', ', "
-       + ", ".join(f"CASE WHEN count(*) FILTER (WHERE resolution = '{r}') > 0 THEN concat(count(*) FILTER (WHERE resolution = '{r}'), ' {w}') END" for r, w in SHOWN.items()) + ") AS parts FROM tasks WHERE phase <> 3 OR status = 'pending' GROUP BY phase)"))
+       + ", ".join(f"CASE WHEN count(*) FILTER (WHERE resolution = '{r}') > 0 THEN concat(count(*) FILTER (WHERE resolution = '{r}'), ' {w}') END" for r, w in SHOWN.items()) + ") AS parts FROM staged GROUP BY phase)", staged=STAGED))
 def phase_message(spark, folder):
-    return T.phase_message(V.tasks(spark, folder).where("phase <> 3 OR status = 'pending'"))
+    return T.phase_message(staged(spark, folder))
 
 
 @query("remediation_summary", V.sql("tasks", """SELECT count(*) AS total, count(*) FILTER (WHERE resolution = 'applied') AS applied, count(*) FILTER (WHERE resolution = 'line-shifted') AS line_shifted, count(*) FILTER (WHERE resolution = 'already_resolved') AS already_resolved,
@@ -133,40 +146,39 @@ def batch_progress(spark, folder):
 
 
 # ---------------------------------------------------------------- relocation and snippets
-# Each labelled document cites a piece of one of its lines, at a line that is off by some lines.
-CITED = """SELECT l.doc_id * 1000 + l.line AS task_id, path AS file, cast(greatest(l.line + CASE WHEN l.line % 4 = 0 THEN 0 WHEN l.line % 4 = 1 THEN l.doc_id % 5 WHEN l.line % 4 = 2 THEN -(l.doc_id % 9) ELSE 60 END, 1) AS int) AS cited,
-  CASE WHEN l.doc_id % 13 = 0 THEN 'nowhere to be found' ELSE substr(text, 3, 40) END AS code FROM lines l WHERE l.doc_id % 2 = 0"""
+# Each line of each document is cited, at a line that is off by some lines; some citations name a file that is
+# gone or a text that is nowhere.
+CITED = """SELECT l.doc_id * 100000 + l.line AS task_id, CASE WHEN l.doc_id % 14 = 0 THEN concat(path, '.gone') ELSE path END AS file, cast(greatest(l.line + CASE WHEN l.line % 4 = 0 THEN 0 WHEN l.line % 4 = 1 THEN l.doc_id % 5 WHEN l.line % 4 = 2 THEN -(l.doc_id % 9) ELSE 60 END, 1) AS int) AS cited,
+  CASE WHEN l.doc_id % 13 = 0 THEN 'nowhere to be found' ELSE text END AS code FROM lines l"""
 
 
 def cited(spark, folder):
-    rows = scan.lines(V.files(spark, folder), "doc_id", "path").where("doc_id % 2 = 0")
+    rows = scan.lines(V.files(spark, folder), "doc_id", "path")
     line, doc = F.col("line"), F.col("doc_id")
     off = F.when(line % 4 == 0, 0).when(line % 4 == 1, doc % 5).when(line % 4 == 2, -(doc % 9)).otherwise(60)
-    return rows.select((doc * 1000 + line).alias("task_id"), F.col("path").alias("file"), F.greatest(line + off, F.lit(1)).cast("int").alias("line"),
-                       F.when(doc % 13 == 0, "nowhere to be found").otherwise(F.substring("text", 3, 40)).alias("code"))
+    return cut(rows.select((doc * 100000 + line).alias("task_id"), F.when(doc % 14 == 0, F.concat("path", F.lit(".gone"))).otherwise(F.col("path")).alias("file"),
+                           F.greatest(line + off, F.lit(1)).cast("int").alias("line"), F.when(doc % 13 == 0, "nowhere to be found").otherwise(F.col("text")).alias("code")))
 
 
-MISSING_FILES = "doc_id % 14 <> 0"
 NEEDLES = "SELECT task_id, file, cited, trim(string_split(trim(code, concat(' ', chr(9), chr(10), chr(13))), chr(10))[1], concat(' ', chr(9), chr(10), chr(13))) AS needle FROM cited"
 
 
-@query("line_relocation", V.sql("lines", f"""
-WITH hits AS (SELECT n.task_id, l.line AS at_, l.line - n.cited AS off FROM needles n JOIN lines l ON n.file = l.path AND contains(l.text, n.needle) AND l.{MISSING_FILES} WHERE length(needle) >= 5),
+@query("line_relocation", V.sql("files lines", f"""
+WITH hits AS (SELECT n.task_id, l.line AS at_, l.line - n.cited AS off FROM needles n JOIN lines l ON n.file = l.path AND contains(l.text, n.needle) WHERE length(needle) >= 5),
 best AS (SELECT task_id, arg_min(at_, (CASE WHEN off = 0 THEN 0 WHEN abs(off) <= 20 THEN 1 ELSE 2 END, CASE WHEN abs(off) <= 20 THEN abs(off) ELSE at_ END, CASE WHEN off >= 0 THEN 0 ELSE 1 END)) AS found FROM hits GROUP BY 1),
 m AS (SELECT n.task_id, n.cited, CASE WHEN length(needle) < 5 THEN n.cited ELSE found END AS found_line,
-  CASE WHEN length(needle) < 5 THEN 'exact' WHEN found = cited THEN 'exact' WHEN abs(found - cited) <= 20 THEN 'nearby' WHEN found IS NOT NULL THEN 'file_wide' WHEN file IN (SELECT path FROM lines WHERE {MISSING_FILES}) THEN 'not_found' ELSE 'file_missing' END AS match
+  CASE WHEN length(needle) < 5 THEN 'exact' WHEN found = cited THEN 'exact' WHEN abs(found - cited) <= 20 THEN 'nearby' WHEN found IS NOT NULL THEN 'file_wide' WHEN file IN (SELECT path FROM files) THEN 'not_found' ELSE 'file_missing' END AS match
   FROM needles n LEFT JOIN best b ON n.task_id = b.task_id)
 SELECT task_id, match, cast(found_line AS int) AS found_line, cast(abs(found_line - cited) AS int) AS shift, CASE WHEN match IN ('file_missing', 'not_found') THEN 'already_resolved' WHEN match = 'exact' THEN 'valid' WHEN abs(found_line - cited) > 50 THEN 'needs_rescan' ELSE 'line_updated' END AS outcome FROM m""",
                               cited=CITED, needles=NEEDLES))
 def line_relocation(spark, folder):
-    return T.relocate(cited(spark, folder), V.files(spark, folder).where(MISSING_FILES))
+    return T.relocate(cited(spark, folder), V.files(spark, folder))
 
 
 @query("snippet_check", V.sql("lines", """SELECT c.task_id AS id, count(l.line) > 0 AS valid FROM cited c LEFT JOIN lines l ON c.file = l.path AND l.line BETWEEN c.cited - 5 AND c.cited + 5 AND contains(l.text, c.code) GROUP BY 1""", cited=CITED))
 def snippet_check(spark, folder):
     wanted = cited(spark, folder).select(F.col("task_id").alias("id"), "file", "line", F.col("code").alias("snippet"))
-    rows = scan.lines(V.files(spark, folder), "path").withColumnRenamed("path", "file")
-    return T.snippet_check(wanted, rows)
+    return T.snippet_check(wanted, V.files(spark, folder))
 
 
 @query("changed_tasks", V.sql("tasks parts", "SELECT task_id FROM tasks WHERE file IN (SELECT path FROM parts WHERE loc > 500)"))

@@ -19,14 +19,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-SMALL = 1 << 30
-
-
 def spread(frame: DataFrame) -> DataFrame:
-    """A small table in one row group is read by one task, whatever its rows cost later: share
-    it out.  A large one comes in many splits and is left alone."""
-    size = int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return frame.repartition(frame.sparkSession.sparkContext.defaultParallelism) if size < SMALL else frame
+    """A table in one row group is read by one task, whatever its rows cost later: share it out."""
+    return frame.repartition(frame.sparkSession.sparkContext.defaultParallelism) if len(frame.inputFiles()) == 1 else frame
 
 
 # ----------------------------------------------------------------- documents as files
@@ -237,6 +232,17 @@ CODE_LINES = """SELECT p_partkey, repo, path, stack, cast(line AS int) AS line,
 WHERE NOT (line = n AND text = '')"""
 
 
+# Two repos with many equal paths: each file is in one of them or in both, so a path that one repo lacks
+# often exists in the other.
+REPO_FILES = "SELECT p_partkey, repo_ AS repo, path, stack, content FROM (SELECT *, unnest(['east', 'west']) AS repo_ FROM code_files) WHERE (p_partkey // 5 + CASE repo_ WHEN 'west' THEN 1 ELSE 0 END) % 3 < 2"
+
+
+def repo_files(spark: SparkSession, folder: str) -> DataFrame:
+    repo = F.explode(F.array(F.lit("east"), F.lit("west")))
+    there = (F.floor(F.col("p_partkey") / 5) + F.when(F.col("repo") == "west", 1).otherwise(0)) % 3 < 2
+    return code_files(spark, folder).drop("repo").withColumn("repo", repo).where(there).select("p_partkey", "repo", "path", "stack", "content")
+
+
 # ------------------------------------------------------------- line items as findings
 RULE_BY_PART = ["R01", "R02", "R03", "R04", "R05", "R07", "R08", "R09", "R10", "R11", "R12", "R13", "R14", "R16"]
 
@@ -326,17 +332,17 @@ def findings(spark: SparkSession, folder: str) -> DataFrame:
         lookup(M.RULE_PHASE, F.col("rule")).alias("phase"))
 
 
-# Files the findings point into; every 17th is missing, so some findings have no file.
-PARTS = """SELECT concat('src/p', cast(p_partkey AS varchar), '.ts') AS path, lower(p_type) AS layer,
+# Files the findings point into; every 17th has moved, so some findings have no file.
+PARTS = """SELECT concat(CASE WHEN p_partkey % 17 = 0 THEN 'moved/p' ELSE 'src/p' END, cast(p_partkey AS varchar), '.ts') AS path, lower(p_type) AS layer,
        cast(p_size * 20 + 15 AS int) AS loc,
        CASE WHEN p_partkey % 23 = 0 THEN 'GENERATED' WHEN p_partkey % 29 = 0 THEN 'TEST' ELSE 'SOURCE' END AS tag,
-       p_partkey FROM part WHERE p_partkey % 17 <> 0"""
+       p_partkey FROM part"""
 
 
 def parts(spark: SparkSession, folder: str) -> DataFrame:
     key = F.col("p_partkey")
-    return table(spark, folder, "part").where(key % 17 != 0).select(
-        F.concat(F.lit("src/p"), key.cast("string"), F.lit(".ts")).alias("path"), F.lower("p_type").alias("layer"),
+    return table(spark, folder, "part").select(
+        F.concat(F.when(key % 17 == 0, "moved/p").otherwise("src/p"), key.cast("string"), F.lit(".ts")).alias("path"), F.lower("p_type").alias("layer"),
         (F.col("p_size") * 20 + 15).cast("int").alias("loc"),
         F.when(key % 23 == 0, "GENERATED").when(key % 29 == 0, "TEST").otherwise("SOURCE").alias("tag"), "p_partkey")
 
@@ -355,24 +361,21 @@ def layers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 # --------------------------------------------------------------------- import edges
-EDGES = """SELECT DISTINCT concat('src/p', cast(a.l_partkey AS varchar), '.ts') AS src,
-       concat('src/p', cast(b.l_partkey AS varchar), '.ts') AS dst
-FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber + 1 = b.l_linenumber
-WHERE a.l_partkey < b.l_partkey AND a.l_partkey % 5 = 0 AND a.l_returnflag <> 'R'"""
+# One per order: from its part with the smallest key to one of the same forty, picked by its largest.  The smaller
+# key imports the larger, so that the graph has no circles.
+EDGES = """SELECT DISTINCT concat('src/p', cast(least(lo, near) AS varchar), '.ts') AS src, concat('src/p', cast(greatest(lo, near) AS varchar), '.ts') AS dst
+FROM (SELECT lo, lo - lo % 40 + hi % 40 AS near FROM (SELECT min(l_partkey) AS lo, max(l_partkey) AS hi FROM lineitem GROUP BY l_orderkey)) WHERE lo <> near"""
 
 
 def edges(spark: SparkSession, folder: str) -> DataFrame:
-    """src imports dst: neighbouring line items of an order, from a part with a key divisible by five to one
-    with a larger key, so that the graph has no circles."""
-    li = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
-    a, b = li.alias("a"), li.alias("b")
+    """src imports dst."""
+    ends = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.min("l_partkey").alias("lo"), F.max("l_partkey").alias("hi"))
+    ends = ends.withColumn("near", F.expr("lo - lo % 40 + hi % 40")).where("lo <> near")
 
-    def path(side):
-        return F.concat(F.lit("src/p"), F.col(f"{side}.l_partkey").cast("string"), F.lit(".ts"))
+    def path(key):
+        return F.concat(F.lit("src/p"), key.cast("string"), F.lit(".ts"))
 
-    return (a.join(b, F.expr("a.l_orderkey = b.l_orderkey AND a.l_linenumber + 1 = b.l_linenumber"))
-            .where("a.l_partkey < b.l_partkey AND a.l_partkey % 5 = 0 AND a.l_returnflag <> 'R'")
-            .select(path("a").alias("src"), path("b").alias("dst")).distinct())
+    return ends.select(path(F.least("lo", "near")).alias("src"), path(F.greatest("lo", "near")).alias("dst")).distinct()
 
 
 # ---------------------------------------------------------------------------- tasks
@@ -400,19 +403,19 @@ def tasks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ verification tables
-CLAIMS = """SELECT doc_id AS req_id, CASE quality WHEN 1 THEN 'VERIFIED' ELSE 'STUB' END AS status FROM labels WHERE doc_id % 10 <> 3"""
-RATINGS = """SELECT doc_id AS req_id, CASE WHEN toxic = 1 THEN 'SHELL' WHEN doc_id % 11 = 0 THEN 'PARTIAL' WHEN doc_id % 13 = 0 THEN 'MISSING' ELSE 'IMPLEMENTED' END AS rating FROM labels WHERE doc_id % 10 <> 7"""
+CLAIMS = """SELECT CASE WHEN doc_id % 10 = 3 THEN -doc_id ELSE doc_id END AS req_id, CASE quality WHEN 1 THEN 'VERIFIED' ELSE 'STUB' END AS status FROM labels"""
+RATINGS = """SELECT CASE WHEN doc_id % 10 = 7 THEN -doc_id ELSE doc_id END AS req_id, CASE WHEN toxic = 1 THEN 'SHELL' WHEN doc_id % 11 = 0 THEN 'PARTIAL' WHEN doc_id % 13 = 0 THEN 'MISSING' ELSE 'IMPLEMENTED' END AS rating FROM labels"""
 HISTORY = """SELECT user_id AS repo, ts, event_id, value AS score, event_type FROM events"""
 
 
 def claims(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "labels").where("doc_id % 10 <> 3").select(
-        F.col("doc_id").alias("req_id"), F.when(F.col("quality") == 1, "VERIFIED").otherwise("STUB").alias("status"))
+    return table(spark, folder, "labels").select(
+        F.expr("CASE WHEN doc_id % 10 = 3 THEN -doc_id ELSE doc_id END").alias("req_id"), F.when(F.col("quality") == 1, "VERIFIED").otherwise("STUB").alias("status"))
 
 
 def ratings(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "labels").where("doc_id % 10 <> 7").select(
-        F.col("doc_id").alias("req_id"),
+    return table(spark, folder, "labels").select(
+        F.expr("CASE WHEN doc_id % 10 = 7 THEN -doc_id ELSE doc_id END").alias("req_id"),
         F.when(F.col("toxic") == 1, "SHELL").when(F.col("doc_id") % 11 == 0, "PARTIAL")
         .when(F.col("doc_id") % 13 == 0, "MISSING").otherwise("IMPLEMENTED").alias("rating"))
 
@@ -423,8 +426,8 @@ def history(spark: SparkSession, folder: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------------ composition
-_NEEDS = {"lines": ["files"], "code_lines": ["code_files"], "findings": ["items"]}
-_TEXTS = {"files": lambda: FILES, "lines": lambda: LINES, "code_files": code_files_sql, "code_lines": lambda: CODE_LINES,
+_NEEDS = {"lines": ["files"], "code_lines": ["code_files"], "repo_files": ["code_files"], "findings": ["items"]}
+_TEXTS = {"files": lambda: FILES, "lines": lambda: LINES, "code_files": code_files_sql, "code_lines": lambda: CODE_LINES, "repo_files": lambda: REPO_FILES,
           "items": lambda: ITEMS, "findings": lambda: FINDINGS, "parts": lambda: PARTS, "layers": lambda: LAYERS,
           "edges": lambda: EDGES, "tasks": lambda: TASKS, "claims": lambda: CLAIMS, "ratings": lambda: RATINGS,
           "history": lambda: HISTORY}

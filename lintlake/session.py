@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,3 +50,31 @@ def cut(frame: DataFrame) -> DataFrame:
     """Materialise a frame in the checkpoint folder and forget how it was computed."""
     checkpoint_folder(frame.sparkSession)
     return frame.checkpoint()
+
+
+class Tables:
+    """The tables of a loop in the shared folder, by name.
+
+    A table that is put again replaces the one before, whose files go: no round reads what the round before it has
+    rewritten.  Unlike a checkpoint, a table that is read again has its true size for the planner, however many joins it
+    went through.  The last tables stay, as results are read from them."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.folder = f"{checkpoint_folder(spark)}/tables-{uuid.uuid4().hex}"
+        self.at: dict[str, int] = {}
+
+    def put(self, name: str, frame: DataFrame) -> DataFrame:
+        number = self.at.get(name, 0)
+        frame.write.parquet(f"{self.folder}/{name}-{number + 1}")
+        if number:
+            remove(self.spark, f"{self.folder}/{name}-{number}")
+        self.at[name] = number + 1
+        return self.spark.read.schema(frame.schema).parquet(f"{self.folder}/{name}-{number + 1}")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, wherever Spark keeps it."""
+    context = spark.sparkContext
+    gone = context._jvm.org.apache.hadoop.fs.Path(path)
+    gone.getFileSystem(context._jsc.hadoopConfiguration()).delete(gone, True)

@@ -46,18 +46,36 @@ def severity_totals(findings: DataFrame, out: str, checkpoint: str) -> Streaming
 def usage_windows(ledger: DataFrame, out: str, checkpoint: str, width: str = "1 day", late: str = "1 hour") -> StreamingQuery:
     """Units per repo and time window over a stream(repo, ts, tokens).
 
-    Rows later than the watermark are dropped and closed windows leave the state, so the ledger can run
-    on.  Each batch writes the windows it changed; :func:`latest_windows` reads them."""
-    totals = (ledger.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "repo")
-              .agg(F.sum("tokens").alias("used"), F.count(F.lit(1)).alias("runs"))
-              .select(F.col("w.start").alias("window_start"), "repo", "used", "runs"))
-    return _drain(totals, lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/batch={number}"), checkpoint, "update")
+    Each batch writes what it adds to every window it touches, and :func:`latest_windows` sums that up, so a row counts
+    however late it comes and however the rows are dealt into batches.  A batch that has to run again replaces its own
+    folder.  Rows whose window had been closed for ``late`` when their batch began (by the newest time of the batches
+    before) are counted on their own as well.  No state is kept but that table; :func:`compact_windows` keeps it short."""
+    spark = ledger.sparkSession
+
+    def write(batch: DataFrame, number: int) -> None:
+        newest = None
+        if number:
+            newest = spark.read.schema("newest timestamp, batch int").parquet(out).where(F.col("batch") < number).agg(F.max("newest")).first()[0]
+        closed = F.col("w.end") + F.expr(f"INTERVAL {late}") <= F.lit(newest) if newest is not None else F.lit(False)
+        added = (batch.withColumn("w", F.window("ts", width)).withColumn("closed", F.coalesce(closed, F.lit(False)))
+                 .groupBy(F.col("w.start").alias("window_start"), "repo")
+                 .agg(F.sum("tokens").cast("long").alias("used"), F.count(F.lit(1)).alias("runs"), F.count_if("closed").alias("late_runs"), F.max("ts").alias("newest")))
+        added.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return _drain(ledger, write, checkpoint, "append")
 
 
 def latest_windows(spark: SparkSession, out: str) -> DataFrame:
-    """The newest total of every window and repo."""
-    newest = F.max_by(F.struct("used", "runs"), "batch").alias("n")
-    return spark.read.parquet(out).groupBy("window_start", "repo").agg(newest).select("window_start", "repo", "n.used", "n.runs")
+    """The total of every window and repo: (window_start, repo, used, runs, late_runs)."""
+    return spark.read.parquet(out).groupBy("window_start", "repo").agg(*[F.sum(c).alias(c) for c in ("used", "runs", "late_runs")])
+
+
+def compact_windows(spark: SparkSession, out: str, into: str) -> None:
+    """The same totals as one batch in a new folder, to go on from when the stream stands still."""
+    whole = spark.read.parquet(out)
+    last = whole.agg(F.max("batch")).first()[0]
+    (whole.groupBy("window_start", "repo").agg(*[F.sum(c).alias(c) for c in ("used", "runs", "late_runs")], F.max("newest").alias("newest"))
+     .write.mode("overwrite").parquet(f"{into}/batch={last}"))
 
 
 def table_stream(spark: SparkSession, folder: str, name: str, schema: StructType) -> DataFrame:

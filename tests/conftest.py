@@ -10,7 +10,7 @@ from lintlake.session import session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    made = session("tests", "local[4]", **{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "4"})
+    made = session("tests", "local[4]", **{"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.shuffle.partitions": "4"})
     made.sparkContext.setLogLevel("ERROR")
     yield made
     made.stop()

@@ -1,8 +1,10 @@
 import os
+import random
 
 from pyspark.sql import functions as F
 
 from lintlake.operators import duplicates, tasks, verify
+from lintlake.operators.marks import only_marked
 from lintlake.sources import readers, reports, sinks
 from lintlake.streaming import intake
 
@@ -19,6 +21,44 @@ def test_relocation(spark):
                    9: ("nearby", 1, "line_updated"), 10: ("nearby", 4, "line_updated")}
 
 
+def test_relocation_against_brute_force(spark, monkeypatch):
+    """Many tasks of one file, few together, every line of short files; only files that tasks name are joined."""
+    monkeypatch.setattr(tasks, "TOGETHER", 7)
+    rng = random.Random(8)
+    texts = {f"f{k}": "\n".join(rng.choice(["alpha beta", "gamma alpha beta", "delta one", "epsilon", "", "x"]) for _ in range(rng.randrange(0, 90))) + rng.choice(["", "\n"]) for k in range(12)}
+    texts |= {"null": None, "crlf": "first line\r\nsecond line\r\n"}
+    cited = [(n, rng.choice(["f0", "f0", "f0", *texts, "gone", None]), rng.randrange(0, 95), rng.choice(["alpha beta", " gamma\nx", "delta o", "epsilon", "nothing", "x", None, "second line"])) for n in range(400)]
+
+    def plain(file, line, code):
+        needle = (code or "").strip(" \t\r\n").split("\n")[0].strip(" \t\r\n")
+        if len(needle) < 5:
+            return "exact", line
+        if file not in texts:
+            return "file_missing", None
+        lines = (texts[file] or "").split("\n")
+        hits = [k + 1 for k, text in enumerate(lines) if needle in text]
+        near = sorted((abs(h - line), h < line, h) for h in hits if abs(h - line) <= 20)
+        return ("exact" if near[0][0] == 0 else "nearby", near[0][2]) if near else ("file_wide", hits[0]) if hits else ("not_found", None)
+
+    files = spark.createDataFrame(list(texts.items()), "path string, content string")
+    made = tasks.relocate(spark.createDataFrame(cited, "task_id int, file string, line int, code string"), files)
+    assert {r.task_id: (r.match, r.found_line) for r in made.collect()} == {n: plain(*rest) for n, *rest in cited}
+    checked = tasks.snippet_check(spark.createDataFrame([(n, f, k, c or "") for n, f, k, c in cited], "id int, file string, line int, snippet string"), files)
+
+    def real(file):
+        text = texts.get(file) or ""
+        return (text[:-1] if text.endswith("\n") else text).split("\n") if text else []
+
+    want = {n: any((c or "").split("\n")[0] in text for text in real(f)[max(k - 6, 0):max(k + 5, 0)]) for n, f, k, c in cited}
+    assert {r.id: r.valid for r in checked.collect()} == want
+
+
+def test_only_named_files_travel(spark):
+    files = spark.createDataFrame([(f"f{k}", "text") for k in range(500)], "path string, content string")
+    kept = {r.path for r in only_marked(files, "path", spark.createDataFrame([("f7",), ("f8",), ("gone",)], "file string"), "file").collect()}
+    assert {"f7", "f8"} <= kept and len(kept) < 10
+
+
 def test_progress_states(spark):
     rows = spark.createDataFrame([(0, "pending", None), (1, "completed", "applied"), (2, "completed", "failed"), (2, "pending", None), (3, "skipped", None)], "phase int, status string, resolution string")
     got = {r.phase: (r.status, r.resolved, r.skipped, r.failed) for r in tasks.progress(rows).collect()}

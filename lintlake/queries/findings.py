@@ -278,7 +278,7 @@ SNIPPET = "CASE WHEN line % 3 = 0 THEN concat('line ', cast(line AS {text})) ELS
       CASE WHEN min(CASE WHEN line % 3 <> 0 THEN line END) > min(line) THEN min(current_code) END, string_agg(CASE WHEN line % 3 = 0 AND line > first_code THEN concat('line ', line) END, chr(10) ORDER BY line)) AS snippet FROM (
   SELECT *, min(CASE WHEN line % 3 <> 0 THEN line END) OVER (PARTITION BY file, rule, g) AS first_code FROM (
     SELECT file, rule, line, current_code, r, sum(CASE WHEN line - before <= 5 AND long THEN 0 ELSE 1 END) OVER (PARTITION BY file, rule ORDER BY line) AS g FROM (
-      SELECT w.*, len(words) >= 4 AS long, lag(w.line) OVER (PARTITION BY w.file, w.rule ORDER BY w.line) AS before, {V.rank_sql('severity')} AS r
+      SELECT w.*, f.current_code, len(words) >= 4 AS long, lag(w.line) OVER (PARTITION BY w.file, w.rule ORDER BY w.line) AS before, {V.rank_sql('severity')} AS r
       FROM w JOIN findings f ON w.file = f.file AND w.line = f.line AND w.rule = f.rule))) GROUP BY file, rule, g""", w=NEAR_WORDS))
 def merge_near_duplicates(spark, folder):
     found = V.findings(spark, folder).withColumn("snippet", F.expr(SNIPPET.format(text="string")))

@@ -121,7 +121,7 @@ CELL_COUNTS = ", ".join(f"count(*) FILTER (WHERE rule = '{r}') AS n_{r}" for r i
 
 
 # Two hundred areas per layer, so that a cell holds none, a few or many findings.
-AREA = "concat(layer, '/', cast(line % 200 AS varchar))"
+AREA = "concat(layer, '/', line % 200)"
 
 
 @query("rule_layer_matrix", V.sql("items", f"SELECT layer, {CELLS} FROM (SELECT {AREA} AS layer, {CELL_COUNTS} FROM items GROUP BY 1)"))

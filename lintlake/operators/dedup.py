@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lintlake.functions import severity, text
 from lintlake.operators.graph import components
@@ -113,10 +113,9 @@ def assign_ids(findings: DataFrame, name: str = "id") -> DataFrame:
     return counted.withColumn(name, F.concat("_prefix", F.lit("-"), F.when(F.col("_n") < 1000, F.lpad(digits, 3, "0")).otherwise(digits))).drop("_prefix", "_n")
 
 
-def processing_summary(raw: DataFrame, valid: DataFrame, final: DataFrame) -> DataFrame:
-    """How many findings came in, were rejected, were duplicates, and remain."""
-    counts = (raw.select(F.lit("raw").alias("step")).unionByName(valid.select(F.lit("valid").alias("step")))
-              .unionByName(final.select(F.lit("final").alias("step"))))
-    n = counts.agg(*[F.count_if(F.col("step") == s).alias(s) for s in ("raw", "valid", "final")])
+def processing_summary(spark: SparkSession, counts: dict[str, int]) -> DataFrame:
+    """How many findings came in, were rejected, were duplicates, and remain, by the counts of the pass that wrote
+    them (raw, valid, final)."""
+    n = spark.range(1).select(*[F.lit(counts[s]).cast("long").alias(s) for s in ("raw", "valid", "final")])
     return n.select(F.col("raw").alias("raw_input"), (F.col("raw") - F.col("valid")).alias("discarded_invalid"),
                     (F.col("valid") - F.col("final")).alias("duplicates_removed"), F.col("final").alias("final_count"))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lintlake.session import cut
 
 HOT = 64
-SALTS = 32
+SALTS = 128
 
 
 def hot_keys(large: DataFrame, keys: list[str], hot: int = HOT, counts: DataFrame | None = None) -> DataFrame:

@@ -9,6 +9,8 @@ from lintlake.catalog import maps as M
 from lintlake.functions import severity, text
 from lintlake.functions.lookup import first_match
 from lintlake.functions.rows import beside
+from lintlake.operators import skew
+from lintlake.session import cut
 
 
 def parsed(raw: DataFrame) -> DataFrame:
@@ -116,10 +118,10 @@ def enrichment_completeness(findings: DataFrame, enriched: DataFrame, threshold:
 def integrity(raw: DataFrame) -> DataFrame:
     """raw(source, line_no, value): per source the non-blank lines, the first bad one, and how many
     good lines come before it."""
-    rows = raw.where(F.trim("value") != "").withColumn("bad", F.try_parse_json("value").isNull())
-    first = rows.groupBy("source").agg(F.count(F.lit(1)).alias("lines"), F.min(F.when(F.col("bad"), F.col("line_no"))).alias("first_bad"))
-    before = (rows.join(first.select("source", "first_bad"), "source")
-              .groupBy("source").agg(F.count_if(F.col("first_bad").isNull() | (F.col("line_no") < F.col("first_bad"))).alias("valid_before")))
+    rows = raw.where(F.trim("value") != "").select("source", "line_no", F.try_parse_json("value").isNull().alias("bad"))
+    first = cut(rows.groupBy("source").agg(F.count(F.lit(1)).alias("lines"), F.min(F.when(F.col("bad"), F.col("line_no"))).alias("first_bad")))
+    placed = skew.join(rows.select("source", "line_no"), first.select("source", "first_bad"), ["source"], counts=first.select("source", F.col("lines").alias("_n")))
+    before = placed.groupBy("source").agg(F.count_if(F.col("first_bad").isNull() | (F.col("line_no") < F.col("first_bad"))).alias("valid_before"))
     return first.join(before, "source").withColumn("ok", F.col("first_bad").isNull())
 
 
@@ -142,10 +144,3 @@ def merged(scanners: list[DataFrame]) -> DataFrame:
     for frame in rest:
         first = first.unionByName(frame, allowMissingColumns=True)
     return first
-
-
-def loss_guard(original: DataFrame, enriched: DataFrame) -> DataFrame:
-    """The enriched findings, or the original ones when enrichment lost some.
-
-    Two counts decide; each is one aggregate over its table."""
-    return original if enriched.count() < original.count() else enriched

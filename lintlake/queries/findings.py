@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lintlake.catalog import maps as M
@@ -10,7 +12,8 @@ from lintlake.operators import dedup, groups, validate, verify
 from lintlake.queries import views as V
 from lintlake.queries.registry import query
 from lintlake.queries.scan import _q
-from lintlake.session import cut
+from lintlake.session import checkpoint_folder, cut
+from lintlake.sources import sinks
 
 
 # ---------------------------------------------------------------- raw JSON lines from orders
@@ -303,10 +306,9 @@ def assign_ids(spark, folder):
 @query("processing_summary", V.sql("items findings parts", """SELECT r AS raw_input, r - v AS discarded_invalid, v - f AS duplicates_removed, f AS final_count FROM (
   SELECT (SELECT count(*) FROM items) AS r, (SELECT count(*) FROM items WHERE file IN (SELECT path FROM parts)) AS v, (SELECT count(*) FROM findings WHERE file IN (SELECT path FROM parts)) AS f)"""))
 def processing_summary(spark, folder):
-    raw = V.items(spark, folder)
     known = V.parts(spark, folder).select(F.col("path").alias("file"))
-    valid = raw.join(known, "file", "left_semi")
-    return dedup.processing_summary(raw, valid, dedup.same_line(valid))
+    steps = {"valid": lambda raw: raw.join(known, "file", "left_semi"), "final": dedup.same_line}
+    return dedup.processing_summary(spark, sinks.processed(V.items(spark, folder), steps, f"{checkpoint_folder(spark)}/processed-{uuid.uuid4().hex}"))
 
 
 @query("merged_scanner_outputs", V.sql("items", """SELECT scanner, count(*) AS findings, count(target_code) AS with_code, count(service) AS with_service FROM (
@@ -320,8 +322,13 @@ def merged_scanner_outputs(spark, folder):
 
 @query("loss_guard", V.sql("findings", "SELECT severity, count(*) AS findings FROM findings GROUP BY severity"))
 def loss_guard(spark, folder):
-    found = V.findings(spark, folder)
-    return validate.loss_guard(found, found.where("severity <> 'LOW'")).groupBy("severity").agg(F.count(F.lit(1)).alias("findings"))
+    # The second version has lost rows, so the first one stays; the third has all of them.
+    home = f"{checkpoint_folder(spark)}/guarded-{uuid.uuid4().hex}"
+    sinks.publish(V.findings(spark, folder), home)
+    found = sinks.table(spark, home)
+    sinks.publish(found.where("severity <> 'LOW'"), home, no_loss=True)
+    sinks.publish(found.withColumn("enriched", F.lit(True)), home, no_loss=True)
+    return sinks.table(spark, home).where("enriched").groupBy("severity").agg(F.count(F.lit(1)).alias("findings"))
 
 
 # ------------------------------------------------------------------------------------ groups

@@ -84,8 +84,28 @@ def sink_numbered_lines(spark, folder):
 def sink_phase_tables(spark, folder):
     """Tasks in one folder per phase; a reader of one phase touches that folder alone."""
     home = scratch(spark, "phases")
-    sinks.replace(tasks.phase_tasks(V.findings(spark, folder)), home, "phase")
-    return spark.read.parquet(home).groupBy("phase").agg(F.count(F.lit(1)).alias("tasks"), F.max("position").alias("last_position"))
+    sinks.publish(tasks.phase_tasks(V.findings(spark, folder)), home, "phase")
+    return sinks.table(spark, home).groupBy("phase").agg(F.count(F.lit(1)).alias("tasks"), F.max("position").alias("last_position"))
+
+
+@query("published_files", "SELECT concat('part=', s_suppkey, '/') AS folder, sha256(concat(s_name, chr(10), s_phone, chr(10))) AS sha256, cast(length(s_name) + length(s_phone) + 2 AS int) AS size_bytes, 2::INTEGER AS line_count FROM supplier")
+def published_files(spark, folder):
+    """The manifest of written text files, one per supplier, read back as bytes."""
+    home = scratch(spark, "files")
+    text = F.concat("s_name", F.lit("\n"), "s_phone").alias("value")
+    V.table(spark, folder, "supplier").select(text, F.col("s_suppkey").alias("part")).repartition("part").write.partitionBy("part").text(home)
+    made = sinks.published(spark, home)
+    return made.select(F.regexp_extract("path", "part=[0-9]+/", 0).alias("folder"), "sha256", "size_bytes", "line_count")
+
+
+@query("json_documents", "SELECT s_suppkey AS supplier, s_name AS name, CAST(s_acctbal AS DOUBLE) AS balance FROM supplier WHERE s_suppkey % 7 <> 0")
+def json_documents(spark, folder):
+    """One JSON document per file over several lines; every seventh is broken and left out."""
+    home = scratch(spark, "documents")
+    key = F.col("s_suppkey")
+    row = F.concat(F.lit('{\n "supplier": '), key.cast("string"), F.lit(',\n "name": "'), "s_name", F.lit('",\n "balance": '), F.col("s_acctbal").cast("string"), F.when(key % 7 == 0, "").otherwise("\n}"))
+    V.table(spark, folder, "supplier").select(row.alias("value"), key.alias("part")).repartition("part").write.partitionBy("part").text(home)
+    return readers.json_object(spark, f"{home}/*", "supplier long, name string, balance double").select("supplier", "name", "balance")
 
 
 @query("sink_rejects", V.sql("", f"SELECT split_part({REASON}, ':', 1) AS reason, count(*) AS findings FROM raw WHERE kind <> 2 GROUP BY 1", raw=RAW))

@@ -50,6 +50,12 @@ FROM (SELECT *, {LOC} AS loc, {_layer_sql()} AS layer,
       FROM code_files))"""
 
 
+@query("nominal_files", V.sql("code_files", "SELECT path, nominal AND NOT starts_with(path, 'src/lib/') AND NOT starts_with(path, 'app/') AS nominal FROM listed", listed=LISTED))
+def nominal_files(spark, folder):
+    """Small files count as nominal unless they lie below a folder that has the say."""
+    return inv.inventory(V.code_files(spark, folder), ["src/lib/", "app/"]).select("path", "nominal")
+
+
 @query("file_inventory", V.sql("code_files", "SELECT path, stack, loc, layer, tag, nominal, is_meta_file, skip_reason FROM listed", listed=LISTED))
 def file_inventory(spark, folder):
     return listed(spark, folder).select("path", "stack", "loc", "layer", "tag", "nominal", "is_meta_file", "skip_reason")
@@ -411,6 +417,12 @@ def runtime_routes(spark, folder):
         "url", paths.route(F.col("path"), F.col("framework")))
 
 
+@query("parsed_counts", "SELECT o_orderkey, cast(o_orderkey * 1037 AS bigint) AS n, cast(NULL AS bigint) AS none FROM orders")
+def parsed_counts(spark, folder):
+    shown = F.format_number(F.col("o_orderkey") * 1037, 0)
+    return V.table(spark, folder, "orders").select("o_orderkey", text.parsed_count(shown).alias("n"), text.parsed_count(F.concat(shown, F.lit(" rows"))).alias("none"))
+
+
 @query("text_slugs", """SELECT page_id, regexp_replace(regexp_replace(lower(url), '[^\\p{L}\\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM pages""")
 def text_slugs(spark, folder):
     return V.table(spark, folder, "pages").select("page_id", text.slug(F.col("url")).alias("slug"))

@@ -1,14 +1,87 @@
-"""Sinks.  A write replaces or extends a table as one job; readers never see half of it."""
+"""Sinks.
+
+A published table is a folder of versions and a log of pointers.  A write fills a new version folder; only when all of it is
+there a pointer row is added, as one file.  Readers follow the last pointer, so they see a whole version, old or new, and
+a write that fails leaves the old one.  The other writers here replace or extend a folder in place: a reader that comes
+while they write can find it empty or in part."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from lintlake.operators import validate
+from lintlake.session import remove
+
+POINTER = "version long, folder string, rows long, at timestamp"
+
+
+def pointers(spark: SparkSession, path: str) -> DataFrame:
+    """The versions of a published table: (version, folder, rows, at); empty before the first."""
+    log = f"{path}/pointers"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(log)
+    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        return spark.range(0).select(*[F.lit(None).cast(t).alias(n) for n, t in (f.split() for f in POINTER.split(", "))])
+    return spark.read.schema(POINTER).json(log)
+
+
+def _current(spark: SparkSession, path: str):
+    return pointers(spark, path).agg(F.max(F.struct("version", "folder", "rows")).alias("p")).first()["p"]
+
+
+def publish(frame: DataFrame, path: str, partition: str | None = None, no_loss: bool = False) -> int | None:
+    """Writes a table as the next version and returns its number; one writer at a time.
+
+    The rows are counted by the write itself.  With ``no_loss`` a version with fewer rows than the current one is not
+    pointed at but removed, and None is returned."""
+    spark = frame.sparkSession
+    before = _current(spark, path)
+    version = before["version"] + 1 if before else 1
+    folder = f"v{version}-{uuid.uuid4().hex}"
+    seen = Observation()
+    writer = frame.observe(seen, F.count(F.lit(1)).alias("rows")).write
+    (writer.partitionBy(partition) if partition else writer).parquet(f"{path}/versions/{folder}")
+    rows = seen.get["rows"]
+    if no_loss and before and rows < before["rows"]:
+        remove(spark, f"{path}/versions/{folder}")
+        return None
+    pointer = spark.range(1).select(F.lit(version).cast("long").alias("version"), F.lit(folder).alias("folder"), F.lit(rows).cast("long").alias("rows"), F.current_timestamp().alias("at"))
+    pointer.coalesce(1).write.mode("append").json(f"{path}/pointers")
+    return version
+
+
+def table(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The current version of a published table, or an earlier one."""
+    found = pointers(spark, path).where(F.col("version") == version).first() if version else _current(spark, path)
+    if not found:
+        raise LookupError(f"nothing published at {path}")
+    return spark.read.parquet(f"{path}/versions/{found['folder']}")
+
+
+def forget(spark: SparkSession, path: str, keep: int = 2) -> int:
+    """Removes all but the last versions' files and returns how many went; their pointers stay as a log."""
+    old = pointers(spark, path).orderBy(F.desc("version")).offset(keep).collect()  # a row per version
+    for row in old:
+        remove(spark, f"{path}/versions/{row['folder']}")
+    return len(old)
+
+
+def processed(raw: DataFrame, steps: dict[str, Callable[[DataFrame], DataFrame]], path: str) -> dict[str, int]:
+    """Publishes what is left of ``raw`` after the steps, and tells the rows after each, by name, and of ``raw``: all
+    counted in the one pass that writes."""
+    seen = {"raw": Observation()}
+    frame = raw.observe(seen["raw"], F.count(F.lit(1)).alias("rows"))
+    for name, step in steps.items():
+        seen[name] = Observation()
+        frame = step(frame).observe(seen[name], F.count(F.lit(1)).alias("rows"))
+    publish(frame, path)
+    return {name: found.get["rows"] for name, found in seen.items()}
 
 
 def replace(frame: DataFrame, path: str, partition: str | None = None) -> None:
-    """Overwrite a table, one folder per value of ``partition`` when given."""
+    """Overwrite a folder in place, one folder per value of ``partition`` when given."""
     writer = frame.write.mode("overwrite")
     (writer.partitionBy(partition) if partition else writer).parquet(path)
 

@@ -119,9 +119,10 @@ def trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that labels call good and none calls toxic."""
     good = (labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id")
             .agg(F.min(F.coalesce("quality", F.lit(0))).alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).where("q = 1 AND t = 0").select("doc_id"))
-    # Few texts but those with a label travel, and without a sort: the side of the ids is hashed.
+    # Few texts but those with a label travel, and without a sort: the side of the ids is hashed.  An id is there once,
+    # so the join is inner; a semi join would be moved below the filter.
     labelled = only_marked(docs.select("doc_id", "text"), "doc_id", good, "doc_id", IDS)
-    return labelled.join(good.hint("shuffle_hash"), "doc_id", "left_semi")
+    return labelled.join(good.hint("shuffle_hash"), "doc_id")
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:

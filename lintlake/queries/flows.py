@@ -88,11 +88,11 @@ def sink_phase_tables(spark, folder):
     return sinks.table(spark, home).groupBy("phase").agg(F.count(F.lit(1)).alias("tasks"), F.max("position").alias("last_position"))
 
 
-@query("published_files", "SELECT concat('part=', s_suppkey, '/') AS folder, sha256(concat(s_name, chr(10), s_phone, chr(10))) AS sha256, cast(length(s_name) + length(s_phone) + 2 AS int) AS size_bytes, 2::INTEGER AS line_count FROM supplier")
+@query("published_files", "SELECT concat('part=', s_suppkey, '/') AS folder, sha256(concat(s_name, chr(10), s_acctbal::DOUBLE, chr(10))) AS sha256, cast(length(s_name) + length(concat(s_acctbal::DOUBLE)) + 2 AS int) AS size_bytes, 2::INTEGER AS line_count FROM supplier")
 def published_files(spark, folder):
     """The manifest of written text files, one per supplier, read back as bytes."""
     home = scratch(spark, "files")
-    text = F.concat("s_name", F.lit("\n"), "s_phone").alias("value")
+    text = F.concat("s_name", F.lit("\n"), F.col("s_acctbal").cast("double").cast("string")).alias("value")
     V.table(spark, folder, "supplier").select(text, F.col("s_suppkey").alias("part")).repartition("part").write.partitionBy("part").text(home)
     made = sinks.published(spark, home)
     return made.select(F.regexp_extract("path", "part=[0-9]+/", 0).alias("folder"), "sha256", "size_bytes", "line_count")

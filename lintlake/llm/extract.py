@@ -6,8 +6,8 @@ smoothed over neighbouring lines with a Gaussian, lines above a threshold are cl
 regions, and the innermost sectioning element that holds all regions gives the main text, with its
 heading.  Elements that are never
 main text (menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles,
-reader comments) are known from their tag, role or class and have the ratio 0.  A class or id, a form or a menu
-is only a hint: alone it leaves out no article, nothing that holds an article, main or h1, and nothing that
+reader comments) are known from their tag, role or class and have the ratio 0.  A class or id, a form, or a menu that is never
+ended is only a hint: alone it leaves out no article, nothing that holds an article, main or h1, and nothing that
 holds most of the text of a page without an article or main elsewhere.
 
 Defined cases: a null or empty page gives an empty text; a page without any text line gives an
@@ -35,8 +35,7 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 HIDDEN = frozenset(
     "head title script style template noscript iframe object svg math canvas audio video button select textarea "
-    "option menu footer aside dialog input".split())
-DOUBTED = frozenset("form nav".split())  # left out like elements with a hint: whole pages can stand in one
+    "option nav menu footer aside dialog input".split())
 UNENDED = frozenset("form nav aside header footer menu".split())  # where one is never ended, the text below ends it
 MARKS = frozenset("article main h1".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
@@ -94,7 +93,7 @@ class Events(HTMLParser):
         self.here: Line | None = None
 
     def _left_out(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        if tag in HIDDEN:
+        if tag in HIDDEN and tag not in self.unended:
             return True
         if tag == "label":  # of a control; elsewhere it is text
             return any(kind == "form" for kind, _, _ in self.open)
@@ -152,8 +151,8 @@ class Events(HTMLParser):
             return
         left_out = self._left_out(tag, attrs)
         hint = 0 if left_out or tag in ("html", "body", "main") else max((_hint(v) for n, v in attrs if n in ("class", "id") and v), default=0)
-        if tag in DOUBTED and not left_out:
-            hint = max(hint, 1)
+        if not left_out and (tag == "form" or tag in self.unended):
+            hint = max(hint, 1)  # whole pages can stand in one
         if block or left_out or hint:
             self._push(tag, left_out, hint)
 

@@ -29,13 +29,14 @@ class without any id by null; rows without id are kept; repeated rows fall into
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from lintlake.llm.common import Hashes, text_of
 from lintlake.operators.graph import components
@@ -45,6 +46,7 @@ SHINGLE = 5
 SIMILAR = 0.8
 ROWS, BANDS = 4, 24
 SLOTS = ROWS * BANDS
+COUNTERS = 1 << 18  # what tells common elements from rare ones: 2 MB
 SPARE = 5.0  # e^-SPARE is the share of texts that need a second go
 _WORD = re.compile(r"\w+")
 _U = np.uint64
@@ -223,21 +225,40 @@ def classes(docs: DataFrame) -> DataFrame:
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True))))
 
 
+def _commonness(bags: DataFrame) -> np.ndarray:
+    """How many elements of the bags fall into each of ``COUNTERS`` places, a number that grows with how common an element is."""
+    counts = bags.select(F.explode("bag").alias("el")).groupBy(F.pmod("el", F.lit(COUNTERS)).alias("place")).agg(F.count(F.lit(1)).alias("n")).toArrow()
+    made = np.zeros(COUNTERS, np.int64)
+    made[counts.column("place").to_numpy()] = counts.column("n").to_numpy()
+    return made
+
+
 def _filed(crowd: DataFrame, bags: DataFrame, joined: DataFrame) -> DataFrame:
     """el, node, n, at: the first elements of the nodes of buckets that are not of one component.
 
     Two bags of the wanted similarity share an element among the first ``n - SIMILAR * n + 1`` of each in any
-    common order; with the rarest elements first, bags that share only a frequent passage never meet."""
+    common order; with the rarest elements first, bags that share only a frequent passage never meet.  The order is that of
+    the counters that elements fall into, a table of fixed size which every task has, so a bag's first elements are
+    found in its own row and only they travel."""
     own = crowd.join(joined, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
     at = own.join(joined.select(F.col("node").alias("p"), F.col("component").alias("pc")), "p", "left").withColumn("pc", F.coalesce("pc", "p"))
     open_keys = at.where(F.col("c") != F.col("pc")).select("key").distinct()
-    inside = cut(at.join(open_keys, "key").select("node", "n").distinct())
-    flat = inside.join(bags, "node").select("node", "n", F.explode("bag").alias("el"))
-    seen = flat.groupBy("el").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1")
-    order = Window.partitionBy("node").orderBy(F.coalesce("seen", F.lit(1)), "el")
-    first = (flat.join(seen, "el", "left").withColumn("at", F.row_number().over(order))
-             .where((F.col("at") <= F.col("n") - F.ceil(SIMILAR * F.col("n") - 1e-9) + 1) & (F.col("seen") > 1)))
-    return cut(first.select("el", "node", "n", "at"))
+    inside = at.join(open_keys, "key").select("node").distinct()
+    held = cut(bags.join(inside, "node", "left_semi"))
+    common = _commonness(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, sizes = [], []
+            for bag in batch.column("bag"):
+                els = bag.values.to_numpy()
+                n = len(els)
+                sizes.append(n)
+                found.append(els[np.lexsort((els, common[els % COUNTERS]))[:n - math.ceil(SIMILAR * n - 1e-9) + 1]])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["node", "n", "first"])
+
+    first = held.mapInArrow(run, "node binary, n long, first array<long>")
+    return cut(first.select("node", "n", F.posexplode("first").alias("at", "el")).select("el", "node", "n", (F.col("at") + 1).alias("at")))
 
 
 def _placed(filed: DataFrame, joined: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from lintlake.llm.common import Hashes, text_of
+from lintlake.llm.common import Hashes, carrying, text_of
 from lintlake.operators.graph import components
 from lintlake.session import cut
 
@@ -297,6 +297,7 @@ def report(docs: DataFrame) -> DataFrame:
     return classes(docs).select("doc_id", "class_id", "n_class", "kept")
 
 
+@carrying
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One document of each class, the one with the smallest id; rows without id stay."""
     gone = classes(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"), "_text").distinct()

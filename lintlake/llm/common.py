@@ -2,10 +2,27 @@
 
 from __future__ import annotations
 
+import functools
+
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
+#: The columns of documents that operators read.
+READ = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def carrying(function):
+    """For a function of documents that returns documents with the same columns: columns that no operator reads
+    pass it under names of their own, so that none clashes with a helper's or has to be quoted."""
+    @functools.wraps(function)
+    def run(docs: DataFrame, *more, **options) -> DataFrame:
+        names = docs.columns
+        return function(docs.toDF(*[n if n in READ else f"carried_{k}" for k, n in enumerate(names)]), *more, **options).toDF(*names)
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table, read by Spark from wherever the folder lies."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

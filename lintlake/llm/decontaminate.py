@@ -27,7 +27,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lintlake.llm.common import text_of
+from lintlake.llm.common import carrying, text_of
 from lintlake.session import cut
 
 WINDOW = 10
@@ -154,6 +154,7 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.sha2(F.array_join(leak["items"], ",").cast("binary"), 256).alias("items_sha256"), (leak["n_hit"] > 0).alias("contaminated"))
 
 
+@carrying
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no window of the benchmark, with their columns."""
     return marked(docs, benchmark).where(F.col("__leak.n_hit") == 0).select(*docs.columns)

@@ -30,7 +30,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lintlake.llm.common import text_of
+from lintlake.llm.common import carrying, text_of
 
 SAMPLE = 6000  # labelled rows that the model is fitted on at most
 BUCKETS = 1 << 11
@@ -215,6 +215,7 @@ def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
             .withColumn("predicted", F.when(F.col("score") >= ACCEPT, 1).otherwise(0)))
 
 
+@carrying
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier does not reject, with their columns; all where none could be fitted."""
     model = train(docs, labels)

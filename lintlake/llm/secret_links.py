@@ -24,7 +24,7 @@ from itertools import accumulate
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lintlake.llm.common import text_of
+from lintlake.llm.common import carrying, text_of
 
 REACH = 400  # code points between two parts of one credential at most
 #: The kinds in the order in which spans of one start are listed.
@@ -180,6 +180,7 @@ def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*made, text[at:]])
 
 
+@carrying
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with every reported part of a credential replaced by its kind, and ``n_chars`` set anew
     where a text changed.  Texts that hold none of the words and characters that a reported part needs stay

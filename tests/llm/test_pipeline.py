@@ -40,6 +40,22 @@ def test_quality_keeps_all_without_a_classifier(spark):
         assert made.columns == docs.columns and sorted(map(str, made.collect())) == sorted(map(str, docs.collect()))
 
 
+def test_stages_carry_columns_of_any_name(spark, folder):
+    """Names with dots and quotes, and those of the operators' helpers: the same documents stay, with their columns."""
+    from pyspark.sql import functions as F
+    docs = table(spark, folder, "documents").limit(60)
+    docs = docs.unionByName(docs.limit(20)).withColumn("text", F.when(F.col("doc_id") % 9 == 0, F.concat(F.col("text"), F.lit("\npassword=abcdef1"))).otherwise(F.col("text")))
+    extra = ["a.b", "c`d", "__leak", "_doc", "_c", "_u", "bands", "node", "n_hit", "_spans", "label", "weight", "carried_6"]
+    wide = docs.select("*", *[F.concat(F.lit(f"{k}:"), F.col("doc_id").cast("string")).alias(name) for k, name in enumerate(extra)])
+    for _, stage in pipeline.STAGES:
+        made, plain = stage(spark, wide, folder), stage(spark, docs, folder)
+        assert made.columns == wide.columns
+        rows = [tuple(r) for r in made.collect()]
+        width = len(docs.columns)
+        assert sorted(map(repr, (r[:width] for r in rows))) == sorted(map(repr, map(tuple, plain.collect())))
+        assert all(r[width:] == tuple(f"{k}:{r[0]}" for k in range(len(extra))) for r in rows)
+
+
 def test_stages_on_odd_rows(spark, folder):
     schema = "doc_id long, text string, lang string, source string, n_chars long, hash string"
     rows = [(1, None, "en", "a", 5, "q"), (1, None, "en", "a", 5, "q"), (None, "some words", None, None, None, "z"), (4, "", None, "b", 0, "w"), (5, "password=abcdef1 and words", None, "b", 0, None)]
@@ -47,4 +63,6 @@ def test_stages_on_odd_rows(spark, folder):
         docs = spark.createDataFrame(given, schema)
         for _, stage in pipeline.STAGES:
             made = stage(spark, docs, folder)
-            assert made.columns == docs.columns and made.count() <= len(given)
+            assert made.columns == docs.columns
+            left = [tuple(r) for r in made.collect()]
+            assert len(left) <= len(given) and all(r[0] in {g[0] for g in given} and r[-1] in {g[-1] for g in given} for r in left)

@@ -83,56 +83,61 @@ def adjusted(severity: Column, raises: Column, lowers: Column) -> Column:
 
 
 # How a missing confidence is filled in.  Per rule, tried in order:
-# (words one of which must occur, words one of which must also occur, confidence, reason).
+# (words one of which must occur, words one of which must also occur, confidence).
 CONFIDENCE_CASES = {
     "R04": [
-        ([".map(", "loop", "n+1", "foreach"], [], "high", "HIGH: performance issue in loop/iterator (R04-H1/H3)"),
-        (["useeffect", "missing dep", "stale", "infinite"], [], "high", "HIGH: useEffect dependency issue (R04-H2)"),
-        (["inline", "handler"], ["prop"], "high", "HIGH: inline value breaks memoization (R04-H4)"),
-        (["inline", "handler"], [], "medium", "MEDIUM: inline handler (R04-M1)"),
-        (["type assertion", "as record", "as unknown"], [], "high", "HIGH: unsafe type assertion (R07 cross-rule)"),
-        (["duplicate", "regex", "large", "usememo", "usecallback"], [], "medium", "MEDIUM: memoization opportunity (R04-M2/M3)"),
-        (["react.memo", "memo"], [], "low", "LOW: general memoization suggestion (R04-L1)"),
-        ([], [], "medium", "MEDIUM: performance pattern (R04-M3)"),
+        ([".map(", "loop", "n+1", "foreach"], [], "high"),
+        (["useeffect", "missing dep", "stale", "infinite"], [], "high"),
+        (["inline", "handler"], ["prop"], "high"),
+        (["inline", "handler"], [], "medium"),
+        (["type assertion", "as record", "as unknown"], [], "high"),
+        (["duplicate", "regex", "large", "usememo", "usecallback"], [], "medium"),
+        (["react.memo", "memo"], [], "low"),
+        ([], [], "medium"),
     ],
     "R11": [
-        (["hook", "side effect", ">3 param", "complex"], [], "high", "HIGH: complex export without JSDoc (R11-H1/H2)"),
-        (["component", "prop", "forwardref"], [], "medium", "MEDIUM: component without JSDoc (R11-M1)"),
-        (["context", "provider"], [], "medium", "MEDIUM: provider without JSDoc (R11-M2)"),
-        ([], [], "low", "LOW: simple export without JSDoc (R11-L1)"),
+        (["hook", "side effect", ">3 param", "complex"], [], "high"),
+        (["component", "prop", "forwardref"], [], "medium"),
+        (["context", "provider"], [], "medium"),
+        ([], [], "low"),
     ],
     "R13": [
-        (["business", "timeout", "limit", "retry", "threshold"], [], "high", "HIGH: business logic constant (R13-H1)"),
-        (["duplicate", "appears in", "ssot"], [], "high", "HIGH: duplicated constant (R13-H2)"),
-        (["url", "port", "endpoint", "localhost"], [], "medium", "MEDIUM: hardcoded URL/port (R13-M2)"),
-        (["css", "style", "padding", "margin", "gap", "px", "selector"], [], "low", "LOW: CSS value (R13-L1)"),
-        ([], [], "medium", "MEDIUM: magic number (R13-M1)"),
+        (["business", "timeout", "limit", "retry", "threshold"], [], "high"),
+        (["duplicate", "appears in", "ssot"], [], "high"),
+        (["url", "port", "endpoint", "localhost"], [], "medium"),
+        (["css", "style", "padding", "margin", "gap", "px", "selector"], [], "low"),
+        ([], [], "medium"),
     ],
     "R09": [
-        (["secret", "token", "password", "key"], [], "high", "HIGH: potential secret leak (R09-H1)"),
-        (["commented"], ["block", "dead", ">5"], "high", "HIGH: commented-out code block (R09-H2)"),
-        (["console.error"], [], "low", "LOW: console.error in catch (R09-L1)"),
-        (["console"], [], "medium", "MEDIUM: console in production (R09-M1)"),
-        (["unicode", "ternary"], [], "low", "LOW: style preference (R09-L2)"),
-        ([], [], "medium", "MEDIUM: clean code issue (R09-M1)"),
+        (["secret", "token", "password", "key"], [], "high"),
+        (["commented"], ["block", "dead", ">5"], "high"),
+        (["console.error"], [], "low"),
+        (["console"], [], "medium"),
+        (["unicode", "ternary"], [], "low"),
+        ([], [], "medium"),
     ],
 }
 
 
+def confidence_reason(rule: str, at: int, words: list[str], level: str) -> str:
+    """Why a confidence was filled in: the case of the rule that the wording meets."""
+    return f"{level} by the wording: {rule}, case {at} ({words[0] if words else 'any other'})"
+
+
 def filled_confidence(confidence: Column, reason: Column, rule: Column, description: Column) -> tuple[Column, Column]:
     """(confidence, reason): kept where a confidence is given, else derived from the wording."""
     text = F.lower(F.coalesce(description, F.lit("")))
     levels, reasons = [], []
     for name, cases in CONFIDENCE_CASES.items():
-        for words, more, level, why in cases:
+        for at, (words, more, level) in enumerate(cases, 1):
             test = rule == name
             if words:
                 test = test & contains_any(text, words)
             if more:
                 test = test & contains_any(text, more)
             levels.append((test, level))
-            reasons.append((test, why))
-    other = F.concat(F.lit("HIGH: "), F.coalesce(rule, F.lit("")), F.lit(" violations are precise"))
+            reasons.append((test, confidence_reason(name, at, words, level)))
+    other = F.concat(F.lit("high for every finding of "), F.coalesce(rule, F.lit("")))
     given = F.nullif(confidence, F.lit(""))
     return (F.coalesce(given, first_match(levels, "high")),
             F.when(given.isNotNull(), reason).otherwise(first_match(reasons, other)))

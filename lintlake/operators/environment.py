@@ -70,14 +70,14 @@ def env_findings(files: DataFrame) -> DataFrame:
     path, key = F.col("path"), F.col("key")
     first, line = F.col("first_line").cast("string"), F.col("line").cast("string")
     return (made(tracked_files(files), "R05", "CRITICAL", "security", path, 1,
-                 say("Environment file '", path, "' is committed to git. This may expose secrets. Add it to .gitignore and remove from tracking."),
-                 say("Deterministic: git ls-files shows '", path, "' is tracked"))
+                 say("The settings file '", path, "' is under version control, with whatever secrets it holds: ignore it and take it out."),
+                 say("listed as tracked: '", path, "'"))
             .unionByName(made(missing_example(files), "R12", "MEDIUM", "data-integrity", ".gitignore", 1,
-                              ".env is gitignored but no .env.example file exists. Create .env.example with placeholder values so developers know which environment variables are required.",
-                              "Deterministic: .env in .gitignore but .env.example missing"))
+                              "The ignored .env has no .env.example beside it that tells which settings are needed.",
+                              "ignored file without an example beside it"))
             .unionByName(made(undeclared(files), "R12", "LOW", "data-integrity", ".env.example", 1,
-                              say("Environment variable '", key, "' is referenced in code but missing from .env.example."),
-                              say("Deterministic: '", key, "' found in source but not in .env.example"), "medium"))
+                              say("The code reads '", key, "', which .env.example does not name."),
+                              say("read in source: '", key, "', absent from the example file"), "medium"))
             .unionByName(made(duplicate_keys(files), "R09", "LOW", "clean-code", ".env.example", F.col("line"),
-                              say("Duplicate key '", key, "' in .env.example (first defined on line ", first, ")."),
-                              say("Deterministic: key '", key, "' appears on lines ", first, " and ", line))))
+                              say("Key '", key, "' of .env.example is set again (first on line ", first, ")."),
+                              say("key '", key, "' stands on lines ", first, " and ", line))))

@@ -113,13 +113,13 @@ def normalize_category(spark, folder):
 def _confidence_sql(what: int) -> str:
     cases = []
     for rule, table in S.CONFIDENCE_CASES.items():
-        for words, more, level, why in table:
+        for at, (words, more, level) in enumerate(table, 1):
             tests = [f"rule = '{rule}'"]
             for group in (words, more):
                 if group:
                     tests.append("(" + " OR ".join(f"contains(text, {_q(w)})" for w in group) + ")")
-            cases.append(f"WHEN {' AND '.join(tests)} THEN {_q((level, why)[what])}")
-    rest = "'high'" if what == 0 else "concat('HIGH: ', rule, ' violations are precise')"
+            cases.append(f"WHEN {' AND '.join(tests)} THEN {_q((level, S.confidence_reason(rule, at, words, level))[what])}")
+    rest = "'high'" if what == 0 else "concat('high for every finding of ', rule)"
     return "CASE " + " ".join(cases) + f" ELSE {rest} END"
 
 

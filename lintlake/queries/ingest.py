@@ -59,7 +59,7 @@ ESLINT_IDS = ["no-unused-vars", "react-hooks/exhaustive-deps", "no-console", "js
 
 @query("report_eslint", _findings_sql(f"SELECT *, unnest([0, 1]) AS n FROM part", rule=_mapped_sql(M.ESLINT_RULES, M.ESLINT_DEFAULT, "id", 0), category=_mapped_sql(M.ESLINT_RULES, M.ESLINT_DEFAULT, "id", 1),
        severity=_mapped_sql(M.ESLINT_RULES, M.ESLINT_DEFAULT, "id", 2), file=PATH_SQL, line="p_size + n", snippet="concat(p_name, ' is wrong')", description="concat(p_name, ' is wrong')", scanner="eslint",
-       reason="concat('Deterministic: ESLint ', id)", tool="id").replace("FROM (SELECT *, unnest([0, 1]) AS n FROM part)", f"FROM (SELECT *, CASE WHEN x = '' THEN 'parse-error' ELSE x END AS id FROM (SELECT *, {_pick_sql(ESLINT_IDS, '(p_partkey + n)')} AS x FROM (SELECT *, unnest([0, 1]) AS n FROM part)))"))
+       reason="concat('checked by ESLint, rule ', id)", tool="id").replace("FROM (SELECT *, unnest([0, 1]) AS n FROM part)", f"FROM (SELECT *, CASE WHEN x = '' THEN 'parse-error' ELSE x END AS id FROM (SELECT *, {_pick_sql(ESLINT_IDS, '(p_partkey + n)')} AS x FROM (SELECT *, unnest([0, 1]) AS n FROM part)))"))
 def report_eslint(spark, folder):
     def message(n):
         return F.struct(_pick(ESLINT_IDS, F.col("p_partkey") + n).alias("ruleId"), (F.col("p_size") + n).alias("line"), F.concat(F.col("p_name"), F.lit(" is wrong")).alias("message"))
@@ -69,7 +69,7 @@ def report_eslint(spark, folder):
 
 @query("report_tsc", _findings_sql("SELECT *, concat(CASE WHEN p_partkey % 3 = 0 THEN 'Type ' ELSE 'Cannot find ' END, p_name) AS m FROM part WHERE p_partkey % 7 <> 0", rule="CASE WHEN p_partkey % 3 = 0 THEN 'R07' ELSE 'R14' END",
        severity="CASE WHEN p_partkey % 2 = 0 THEN 'HIGH' ELSE 'MEDIUM' END", category="CASE WHEN p_partkey % 3 = 0 THEN 'typing' ELSE 'build' END", file=PATH_SQL, line="p_size", snippet="m", description="m", scanner="tsc",
-       reason="concat('Deterministic: TypeScript TS', cast(p_partkey AS varchar))", tool="concat('TS', cast(p_partkey AS varchar))"))
+       reason="concat('checked by the TypeScript compiler, code TS', cast(p_partkey AS varchar))", tool="concat('TS', cast(p_partkey AS varchar))"))
 def report_tsc(spark, folder):
     text = F.concat(_path(), F.lit("("), F.col("p_size").cast("string"), F.lit(",3): "), F.when(F.col("p_partkey") % 2 == 0, "error").otherwise("warning"), F.lit(" TS"), F.col("p_partkey").cast("string"), F.lit(": "),
                     F.when(F.col("p_partkey") % 3 == 0, "Type ").otherwise("Cannot find "), F.col("p_name"))
@@ -81,7 +81,7 @@ RUFF_IDS = ["F401", "E501", "S608", "B006", "XYZ1"]
 
 
 @query("report_ruff", _findings_sql(f"SELECT *, {_pick_sql(RUFF_IDS, 'p_partkey')} AS id FROM part", rule=_mapped_sql(M.RUFF_RULES, M.RUFF_DEFAULT, "id", 0), category=_mapped_sql(M.RUFF_RULES, M.RUFF_DEFAULT, "id", 1),
-       severity=_mapped_sql(M.RUFF_RULES, M.RUFF_DEFAULT, "id", 2), file=PATH_SQL, line="p_size", snippet="p_brand", description="p_brand", scanner="ruff", reason="concat('Deterministic: Ruff ', id)", tool="id"))
+       severity=_mapped_sql(M.RUFF_RULES, M.RUFF_DEFAULT, "id", 2), file=PATH_SQL, line="p_size", snippet="p_brand", description="p_brand", scanner="ruff", reason="concat('checked by Ruff, rule ', id)", tool="id"))
 def report_ruff(spark, folder):
     row = F.struct(_pick(RUFF_IDS, F.col("p_partkey")).alias("code"), _path().alias("filename"), F.col("p_brand").alias("message"), F.struct(F.col("p_size").alias("row")).alias("location"))
     return shown(reports.ruff(part(spark, folder).select(F.to_json(F.array(row)).alias("content"))))
@@ -91,7 +91,7 @@ MYPY_IDS = ["assignment", "name-defined", "override", "misc"]
 
 
 @query("report_mypy", _findings_sql(f"SELECT *, {_pick_sql(MYPY_IDS, 'p_partkey')} AS id FROM part WHERE p_partkey % 5 > 1", rule=_mapped_sql(M.MYPY_RULES, M.MYPY_DEFAULT, "id", 0), category=_mapped_sql(M.MYPY_RULES, M.MYPY_DEFAULT, "id", 1),
-       severity=_mapped_sql(M.MYPY_RULES, M.MYPY_DEFAULT, "id", 2), file=PATH_SQL, line="p_size", snippet="p_name", description="p_name", scanner="mypy", reason="concat('Deterministic: mypy ', id)", tool="id"))
+       severity=_mapped_sql(M.MYPY_RULES, M.MYPY_DEFAULT, "id", 2), file=PATH_SQL, line="p_size", snippet="p_name", description="p_name", scanner="mypy", reason="concat('checked by mypy, code ', id)", tool="id"))
 def report_mypy(spark, folder):
     row = F.to_json(F.struct(_path().alias("file"), F.col("p_size").alias("line"), F.col("p_name").alias("message"), _pick(MYPY_IDS, F.col("p_partkey")).alias("code"),
                              F.when(F.col("p_partkey") % 5 == 0, "note").otherwise("error").alias("severity")))
@@ -99,7 +99,7 @@ def report_mypy(spark, folder):
 
 
 @query("report_semgrep", _findings_sql("SELECT *, concat('rule.', p_brand) AS id FROM part", rule="CASE WHEN p_partkey % 2 = 0 THEN 'R05' ELSE 'R14' END", category="CASE WHEN p_partkey % 2 = 0 THEN 'security' ELSE 'build' END",
-       severity="CASE p_partkey % 4 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END", file=PATH_SQL, line="p_size", snippet="p_brand", description="p_name", scanner="semgrep", reason="concat('Deterministic: Semgrep ', id)", tool="id",
+       severity="CASE p_partkey % 4 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END", file=PATH_SQL, line="p_size", snippet="p_brand", description="p_name", scanner="semgrep", reason="concat('matched by Semgrep, rule ', id)", tool="id",
        more="CASE p_partkey % 3 WHEN 0 THEN 'CWE-1,CWE-2' WHEN 1 THEN 'CWE-79' ELSE '' END AS cwes"))
 def report_semgrep(spark, folder):
     meta = F.when(F.col("p_partkey") % 3 == 0, '"cwe":["CWE-1","CWE-2"],').when(F.col("p_partkey") % 3 == 1, '"cwe":"CWE-79",').otherwise("")
@@ -111,7 +111,7 @@ def report_semgrep(spark, folder):
 
 @query("report_checkstyle", _findings_sql("SELECT *, CASE WHEN p_partkey % 4 = 0 THEN 'JavadocMethod' ELSE 'Indentation' END AS id FROM part", rule="CASE WHEN p_partkey % 4 = 0 THEN 'R11' ELSE 'R14' END",
        category="CASE WHEN p_partkey % 4 = 0 THEN 'documentation' ELSE 'build' END", severity="CASE WHEN p_partkey % 3 = 0 THEN 'HIGH' ELSE 'LOW' END", file=PATH_SQL, line="p_size", snippet="p_name", description="p_name", scanner="checkstyle",
-       reason="concat('Deterministic: Checkstyle ', id)", tool="id"))
+       reason="concat('checked by Checkstyle, module ', id)", tool="id"))
 def report_checkstyle(spark, folder):
     report = F.concat(F.lit('<?xml version="1.0"?><checkstyle version="9"><file name="/p/'), _path(), F.lit('"><error line="'), F.col("p_size").cast("string"), F.lit('" severity="'),
                       F.when(F.col("p_partkey") % 3 == 0, "error").otherwise("warning"), F.lit('" message="'), F.col("p_name"), F.lit('" source="com.checks.'), F.when(F.col("p_partkey") % 4 == 0, "javadoc.JavadocMethod").otherwise("indent.Indentation"),
@@ -121,19 +121,19 @@ def report_checkstyle(spark, folder):
 
 # ------------------------------------------------------------------------ structure checkers
 @query("report_jscpd", _findings_sql("SELECT *, cast(p_size AS varchar) AS n, concat('lib/q', cast(p_partkey AS varchar)) AS other FROM part", rule="'R01'", category="'ssot-dry'", severity="CASE WHEN p_size > 20 THEN 'MEDIUM' ELSE 'LOW' END",
-       file=PATH_SQL, line="p_partkey % 90", snippet="concat(n, ' duplicated lines also in ', other, ':7')", description=f"concat('Code duplication: ', n, ' lines duplicated between ', {PATH_SQL}, ' and ', other)", scanner="jscpd",
-       reason="concat('Deterministic: jscpd token-based clone detection (', n, ' lines)')"))
+       file=PATH_SQL, line="p_partkey % 90", snippet="concat(n, ' lines, also in ', other, ':7')", description=f"concat('Copied code: ', n, ' lines are the same in ', {PATH_SQL}, ' and ', other)", scanner="jscpd",
+       reason="concat('same tokens found by jscpd (', n, ' lines)')"))
 def report_jscpd(spark, folder):
     dup = F.struct(F.col("p_size").alias("lines"), F.struct(_path().alias("name"), (F.col("p_partkey") % 90).alias("start")).alias("firstFile"),
                    F.struct(F.concat(F.lit("lib/q"), F.col("p_partkey").cast("string")).alias("name"), F.lit(7).alias("start")).alias("secondFile"))
     return shown(reports.jscpd(part(spark, folder).select(F.to_json(F.struct(F.array(dup).alias("duplicates"))).alias("content"))))
 
 
-@query("report_knip", _findings_sql("SELECT * FROM part", rule="'R09'", category="'clean-code'", severity="'MEDIUM'", file=PATH_SQL, line="1", snippet="'Entire file is unused (not imported anywhere)'",
-       description=f"concat('Unused file: ', {PATH_SQL}, ' is not imported by any other file in the project')", scanner="knip", reason="'Deterministic: knip project-wide import analysis'") + " UNION ALL " + _findings_sql(
-       "SELECT * FROM part", rule="'R09'", category="'clean-code'", severity="'LOW'", file=PATH_SQL, line="p_size", snippet="concat('Unused export: ', p_name)", description="concat('Exported symbol ''', p_name, ''' is not imported anywhere in the project')",
-       scanner="knip", reason="'Deterministic: knip export analysis'") + " UNION ALL " + _findings_sql("SELECT * FROM part", rule="'R14'", category="'build'", severity="'LOW'", file="'package.json'", line="1", snippet="concat('Unused dependency: ', p_brand)",
-       description="concat('Dependency ''', p_brand, ''' is listed in package.json but not imported')", scanner="knip", reason="'Deterministic: knip dependency analysis'"))
+@query("report_knip", _findings_sql("SELECT * FROM part", rule="'R09'", category="'clean-code'", severity="'MEDIUM'", file=PATH_SQL, line="1", snippet="'no import of this file'",
+       description=f"concat('Nothing imports ', {PATH_SQL}, ' from elsewhere')", scanner="knip", reason="'no import found by knip'") + " UNION ALL " + _findings_sql(
+       "SELECT * FROM part", rule="'R09'", category="'clean-code'", severity="'LOW'", file=PATH_SQL, line="p_size", snippet="concat('export without use: ', p_name)", description="concat('Nobody imports the exported name ''', p_name, '''')",
+       scanner="knip", reason="'no use of the export found by knip'") + " UNION ALL " + _findings_sql("SELECT * FROM part", rule="'R14'", category="'build'", severity="'LOW'", file="'package.json'", line="1", snippet="concat('package without use: ', p_brand)",
+       description="concat('package.json names ''', p_brand, ''', which no file imports')", scanner="knip", reason="'no use of the package found by knip'"))
 def report_knip(spark, folder):
     dependency = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit('{"name":"'), F.col("p_brand"), F.lit('"}'))).otherwise(F.concat(F.lit('"'), F.col("p_brand"), F.lit('"')))
     export = F.struct(_path().alias("file"), F.col("p_name").alias("name"), F.col("p_size").alias("line"))
@@ -144,8 +144,8 @@ def report_knip(spark, folder):
 CHAIN_SQL = f"concat({PATH_SQL}, ' -> ', p_name, ' -> ', p_brand)"
 
 
-@query("report_madge", _findings_sql("SELECT * FROM part", rule="'R10'", category="'refactoring'", severity="'MEDIUM'", file=PATH_SQL, line="1", snippet=f"concat('Circular: ', {CHAIN_SQL})", description=f"concat('Circular dependency chain: ', {CHAIN_SQL})",
-       scanner="madge", reason="'Deterministic: madge import graph analysis'"))
+@query("report_madge", _findings_sql("SELECT * FROM part", rule="'R10'", category="'refactoring'", severity="'MEDIUM'", file=PATH_SQL, line="1", snippet=f"concat('circle: ', {CHAIN_SQL})", description=f"concat('Imports run in a circle: ', {CHAIN_SQL})",
+       scanner="madge", reason="'circle found by madge'"))
 def report_madge(spark, folder):
     report = F.to_json(F.array(F.array(_path(), F.col("p_name"), F.col("p_brand")), F.array(F.col("p_name"))))
     return shown(reports.madge(part(spark, folder).select(report.alias("content"))))
@@ -153,28 +153,28 @@ def report_madge(spark, folder):
 
 @query("report_radon", _findings_sql("SELECT *, cast(p_size AS varchar) AS n, chr(cast(65 + p_size % 6 AS int)) AS k FROM part WHERE p_size >= 10", rule="'R02'", category="'architecture'", severity="CASE WHEN p_size >= 20 THEN 'HIGH' ELSE 'MEDIUM' END",
        file=PATH_SQL, line="p_partkey % 70", snippet="concat(p_name, ': complexity ', n, ' (rank ', k, ')')",
-       description="concat('Function ''', p_name, ''' has cyclomatic complexity ', n, ' (rank ', k, '). Consider splitting into smaller functions.')", scanner="radon",
-       reason="concat('Deterministic: radon cyclomatic complexity ', n, ' (threshold 10)')"))
+       description="concat('Function ''', p_name, ''' branches a lot: complexity ', n, ' (rank ', k, '); shorter functions would help')", scanner="radon",
+       reason="concat('measured by radon: ', n, ', ten or more')"))
 def report_radon(spark, folder):
     row = F.struct(F.col("p_size").alias("complexity"), F.col("p_name").alias("name"), (F.col("p_partkey") % 70).alias("lineno"), F.char(65 + F.col("p_size") % 6).alias("rank"))
     return shown(reports.radon(part(spark, folder).select(F.to_json(F.create_map(_path(), F.array(row))).alias("content"))))
 
 
 @query("report_vulture", _findings_sql("SELECT *, concat('(', cast(60 + p_size % 41 AS varchar), '% confidence)') AS sure FROM part WHERE p_partkey % 6 <> 0", rule="'R09'", category="'clean-code'", severity="'LOW'", file=PATH_SQL, line="p_size",
-       snippet="concat('unused function ''', p_name, ''' ', sure)", description="concat('Unused function: ''', p_name, ''' appears to be dead code ', sure)", scanner="vulture",
-       confidence="CASE WHEN 60 + p_size % 41 < 90 THEN 'medium' ELSE 'high' END", reason="concat('Deterministic: vulture dead code detection ', sure)"))
+       snippet="concat('unused function ''', p_name, ''' ', sure)", description="concat('Unused function: ''', p_name, ''' has no caller ', sure)", scanner="vulture",
+       confidence="CASE WHEN 60 + p_size % 41 < 90 THEN 'medium' ELSE 'high' END", reason="concat('no use found by vulture ', sure)"))
 def report_vulture(spark, folder):
     text = F.concat(_path(), F.lit(":"), F.col("p_size").cast("string"), F.lit(": unused function '"), F.col("p_name"), F.lit("' ("), (60 + F.col("p_size") % 41).cast("string"), F.lit("% confidence)"))
     return shown(reports.vulture(part(spark, folder).select(F.when(F.col("p_partkey") % 6 == 0, "done").otherwise(text).alias("value"))))
 
 
 # --------------------------------------------------------------------------------- security
-NPM_WHAT = "CASE p_partkey % 3 WHEN 0 THEN concat('Title of ', p_name, '; other; third') WHEN 1 THEN p_brand ELSE concat('Vulnerability in ', p_name) END"
+NPM_WHAT = "CASE p_partkey % 3 WHEN 0 THEN concat('Title of ', p_name, '; other; third') WHEN 1 THEN p_brand ELSE concat('weakness in ', p_name) END"
 NPM_LEVEL = "CASE p_partkey % 5 WHEN 0 THEN 'CRITICAL' WHEN 1 THEN 'MEDIUM' WHEN 2 THEN 'MEDIUM' WHEN 3 THEN 'LOW' ELSE 'HIGH' END"
 
 
 @query("report_npm_audit", _findings_sql(f"SELECT *, {NPM_WHAT} AS what FROM part", rule="'R05'", category="'security'", severity=NPM_LEVEL, file="'package.json'", line="1", snippet="concat(p_name, ': ', what)",
-       description="concat('Dependency vulnerability: ', p_name, ' — ', what)", scanner="npm-audit", reason=f"concat('Deterministic: npm audit CVE database (', {NPM_LEVEL}, ')')"))
+       description="concat('Known weakness in a package: ', p_name, ' — ', what)", scanner="npm-audit", reason=f"concat('listed by npm audit (', {NPM_LEVEL}, ')')"))
 def report_npm_audit(spark, folder):
     via = (F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit('[{"title":"Title of '), F.col("p_name"), F.lit('"},{"name":"other"},"third","fourth"]')))
            .when(F.col("p_partkey") % 3 == 1, F.concat(F.lit('["'), F.col("p_brand"), F.lit('"]'))).otherwise("[]"))
@@ -184,7 +184,7 @@ def report_npm_audit(spark, folder):
 
 
 @query("report_gitleaks", _findings_sql("SELECT * FROM part", rule="'R05'", category="'security'", severity="'CRITICAL'", file=PATH_SQL, line="p_size", snippet="concat('[REDACTED] ', p_name)",
-       description="concat('Hardcoded secret detected: ', p_name, ' (rule: ', p_brand, ')')", scanner="gitleaks", reason="concat('Deterministic: gitleaks ', p_brand)", tool="p_brand"))
+       description="concat('Secret in the text: ', p_name, ' (rule: ', p_brand, ')')", scanner="gitleaks", reason="concat('matched by gitleaks, rule ', p_brand)", tool="p_brand"))
 def report_gitleaks(spark, folder):
     row = F.struct(_path().alias("File"), F.col("p_size").alias("StartLine"), F.col("p_name").alias("Description"), F.col("p_brand").alias("RuleID"))
     return shown(reports.gitleaks(part(spark, folder).select(F.to_json(F.array(row)).alias("content"))))
@@ -192,7 +192,7 @@ def report_gitleaks(spark, folder):
 
 @query("report_pip_audit", _findings_sql("SELECT *, concat('PYSEC-', cast(p_partkey AS varchar)) AS vuln, concat(CASE WHEN p_partkey % 4 = 0 THEN 'A critical flaw in ' ELSE 'A flaw in ' END, p_brand) AS what, concat(p_name, '==1.', cast(p_size AS varchar)) AS pkg FROM part WHERE p_partkey % 5 <> 0",
        rule="'R05'", category="'security'", severity="CASE WHEN p_partkey % 3 = 0 THEN 'LOW' WHEN p_partkey % 4 = 0 THEN 'HIGH' ELSE 'MEDIUM' END", file="'requirements.txt'", line="1", snippet="concat(pkg, ': ', vuln)",
-       description="concat('Dependency vulnerability: ', pkg, ' — ', vuln, ': ', what)", scanner="pip-audit", reason="concat('Deterministic: pip-audit OSV database (', vuln, ')')"))
+       description="concat('Known weakness in a package: ', pkg, ' — ', vuln, ': ', what)", scanner="pip-audit", reason="concat('listed by pip-audit (', vuln, ')')"))
 def report_pip_audit(spark, folder):
     vuln = F.struct(F.concat(F.lit("PYSEC-"), F.col("p_partkey").cast("string")).alias("id"), F.concat(F.when(F.col("p_partkey") % 4 == 0, "A critical flaw in ").otherwise("A flaw in "), F.col("p_brand")).alias("description"),
                     F.when(F.col("p_partkey") % 3 == 0, "low").alias("severity"))
@@ -205,7 +205,7 @@ def report_pip_audit(spark, folder):
 # --------------------------------------------------------------------------------- coverage
 def _cover_sql(source, file, line, what):
     return _findings_sql(f"SELECT * FROM {source}", rule="'R08'", category="'build'", severity="'MEDIUM'", file=file, line=line, snippet=what, description=what, scanner="coverage-analyzer",
-                         reason="'Deterministic: coverage report analysis'", tool="'zero-coverage'", phase="9")
+                         reason="'taken from the coverage report'", tool="'zero-coverage'", phase="9")
 
 
 @query("coverage_istanbul", _cover_sql("(SELECT *, unnest([0, 1]) AS n FROM part)", PATH_SQL, "CASE WHEN n = 1 THEN 1 WHEN p_partkey % 2 = 0 THEN p_size ELSE 7 END",

@@ -348,13 +348,13 @@ SELECT *, CASE tier WHEN 'build' THEN CASE WHEN c + h = 0 THEN 'PASS' WHEN c + h
   WHEN 'coverage' THEN CASE WHEN cov >= 60 THEN 'PASS' WHEN cov >= 48 THEN 'WARN' ELSE 'FAIL' END
   WHEN 'duplication' THEN CASE WHEN dup <= 5 THEN 'PASS' WHEN dup <= 7.5 THEN 'WARN' ELSE 'FAIL' END
   ELSE CASE WHEN n = 0 THEN 'PASS' WHEN c + h = 0 THEN 'WARN' ELSE 'FAIL' END END AS status,
- CASE tier WHEN 'build' THEN CASE WHEN c + h = 0 THEN concat('0 type errors, 0 lint errors (', n, ' total build findings)') ELSE concat(c + h, ' build errors (', c, ' critical, ', h, ' high)') END
-  WHEN 'security' THEN CASE WHEN c > 0 THEN concat(c, ' CRITICAL vulnerabilities (max 0)') WHEN h > 0 THEN concat(h, ' HIGH vulnerabilities (max 0)') ELSE '0 security vulnerabilities' END
-  WHEN 'secrets' THEN CASE WHEN c + h > 0 THEN concat(c + h, ' secrets/env issues detected (max 0)') WHEN n > 0 THEN concat(n, ' env-related findings (no critical secrets)') ELSE 'No secrets or env issues detected' END
-  WHEN 'coverage' THEN concat(printf('%.1f', round(cov, 1)), CASE WHEN cov >= 60 THEN '% line coverage (threshold 60%)' WHEN cov >= 48 THEN '% line coverage (threshold 60%, close)' ELSE '% line coverage (below 60% threshold)' END)
-  WHEN 'duplication' THEN concat(printf('%.1f', round(dup, 1)), CASE WHEN dup <= 5 THEN '% duplication (max 5.0%)' WHEN dup <= 7.5 THEN '% duplication (max 5.0%, elevated)' ELSE '% duplication (exceeds 5.0% threshold)' END)
-  WHEN 'complexity' THEN CASE WHEN n = 0 THEN 'No complexity issues detected' WHEN c + h = 0 THEN concat(n, ' complexity findings (none critical/high)') ELSE concat(c + h, ' high-severity complexity issues out of ', n, ' total') END
-  ELSE CASE WHEN n = 0 THEN 'No architecture violations detected' WHEN c + h = 0 THEN concat(n, ' architecture findings (none critical/high)') ELSE concat(c + h, ' high-severity architecture violations out of ', n, ' total') END END AS details
+ CASE tier WHEN 'build' THEN CASE WHEN c + h = 0 THEN concat('no grave build finding (', n, ' in all)') ELSE concat(c + h, ' grave build findings (', c, ' critical, ', h, ' high)') END
+  WHEN 'security' THEN CASE WHEN c > 0 THEN concat(c, ' critical security findings (0 allowed)') WHEN h > 0 THEN concat(h, ' high security findings (0 allowed)') ELSE 'no grave security finding' END
+  WHEN 'secrets' THEN CASE WHEN c + h > 0 THEN concat(c + h, ' grave findings on secrets (0 allowed)') WHEN n > 0 THEN concat(n, ' findings on settings, none grave') ELSE 'no finding on secrets' END
+  WHEN 'coverage' THEN concat(printf('%.1f', round(cov, 1)), CASE WHEN cov >= 60 THEN '% of lines covered, 60% asked for' WHEN cov >= 48 THEN '% of lines covered, close to the 60% asked for' ELSE '% of lines covered, less than the 60% asked for' END)
+  WHEN 'duplication' THEN concat(printf('%.1f', round(dup, 1)), CASE WHEN dup <= 5 THEN '% copied, 5.0% allowed' WHEN dup <= 7.5 THEN '% copied, a little more than the 5.0% allowed' ELSE '% copied, more than the 5.0% allowed' END)
+  WHEN 'complexity' THEN CASE WHEN n = 0 THEN 'nothing too complex' WHEN c + h = 0 THEN concat(n, ' findings on complexity, none grave') ELSE concat(c + h, ' grave findings on complexity of ', n, ' in all') END
+  ELSE CASE WHEN n = 0 THEN 'nothing against the architecture' WHEN c + h = 0 THEN concat(n, ' findings on architecture, none grave') ELSE concat(c + h, ' grave findings on architecture of ', n, ' in all') END END AS details
 FROM ({_tier_sql()}), (SELECT coverage_line_pct AS cov, duplication_pct AS dup FROM health))"""
 # Graver findings of some rules count as low, so that tiers end in different states.
 GATED = "SELECT * REPLACE (CASE WHEN severity IN ('CRITICAL', 'HIGH') AND (rule IN ('R02', 'R03', 'R10') OR rule = 'R14' AND line > 2) THEN 'LOW' ELSE severity END AS severity) FROM findings"

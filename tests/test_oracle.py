@@ -8,7 +8,9 @@ from tools.check_oracle import TABLES, canonical
 
 NAMES = ["document_audit", "file_inventory", "code_scan_findings", "file_triage", "validate_rejects", "dedup_same_line", "assign_ids", "near_duplicate_groups",
          "jaccard_groups", "family_members", "gate_tiers", "gate_blockers", "compliance_cube", "line_relocation", "import_edges", "blast_radius", "import_cycles",
-         "cluster_chunks", "cluster_members", "integrity_violations", "report_semgrep", "env_findings", "duplicate_blocks", "stream_usage_windows"]
+         "cluster_chunks", "cluster_members", "integrity_violations", "report_semgrep", "env_findings", "duplicate_blocks", "stream_usage_windows",
+         "similar_findings", "import_levels_with_circles", "unused_files", "snippet_check", "merge_near_duplicates", "loss_guard", "published_files", "json_documents", "phase_progress",
+         "scanner_degraded", "layer_health", "reconcile", "artifact_completeness", "nominal_files"]
 
 
 @pytest.fixture(scope="module")

@@ -68,7 +68,7 @@ def test_search_pattern_and_target(project):
 
 def test_assertion_free(project):
     found = [(r.file, r.line, r.description) for r in assertions.assertion_free_tests(project).collect()]
-    assert found == [("src/a.test.ts", 1, "Test 'adds' has no assertions")]
+    assert found == [("src/a.test.ts", 1, "Test 'adds' asserts nothing")]
 
 
 def test_scan_does_not_shuffle(project):

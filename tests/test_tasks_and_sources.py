@@ -111,7 +111,7 @@ def test_reports_with_odd_rows(spark):
         return spark.createDataFrame([(v,) for v in values], "content string")
 
     assert reports.eslint(texts("", "not json", "[]", '[{"filePath":"/w/a.ts","messages":[]}]')).count() == 0
-    assert reports.madge(texts('[["a"],["a","b"]]')).first().description == "Circular dependency chain: a -> b"
+    assert reports.madge(texts('[["a"],["a","b"]]')).first().description == "Imports run in a circle: a -> b"
     assert reports.checkstyle(texts('<checkstyle><file name="a"><error line="1" severity="error" message="m" source=""/><error line="2" message="n"/></file></checkstyle>')).count() == 2
     assert reports.pip_audit(texts('{"dependencies":[{"name":"x","version":"1","vulns":[]}]}')).count() == 0
     one = reports.istanbul(texts('{"a.ts":{"fnMap":{},"f":{"3":0}}}')).first()

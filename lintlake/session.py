@@ -52,6 +52,14 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def released(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of frames that are gone.
+
+    It learns of them when the driver collects its garbage, which a driver with memory to spare does
+    too seldom for a job of many steps on small disks."""
+    spark.sparkContext._jvm.System.gc()
+
+
 class Tables:
     """The tables of a loop in the shared folder, by name.
 

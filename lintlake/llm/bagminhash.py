@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lintlake.llm.common import Hashes, carrying, text_of
 from lintlake.operators.graph import components
-from lintlake.session import cut
+from lintlake.session import cut, released
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -207,15 +207,18 @@ def classes(docs: DataFrame) -> DataFrame:
     stars = cut(crowd.where((F.col("node") != F.col("p")) & _fits("n", "pn")).select(F.col("node").alias("a"), F.col("p").alias("b")).distinct())
     wanted = crowd.select("node").distinct().join(nodes.select("node", "_id", "_text"), "node")
     bags = cut(_bags(docs, wanted).dropDuplicates(["node"]))
-    compared = cut(_compared(stars, bags))
-    links = compared.where(F.col("s") >= SIMILAR).select("a", "b")
-    joined = components(links)
+    links = cut(_compared(stars, bags).where(F.col("s") >= SIMILAR).select("a", "b"))
+    released(docs.sparkSession)
+    joined = cut(components(links))
     filed = _filed(crowd, bags, joined)
+    released(docs.sparkSession)
     for pairs in (_nearest, _apart):
         more = cut(_compared(pairs(_placed(filed, joined)), bags).where(F.col("s") >= SIMILAR).select("a", "b"))
         if not more.isEmpty():
-            links = links.unionByName(more)
-            joined = components(links)
+            # The links so far are summed up by each node's component.
+            links = joined.where(F.col("node") != F.col("component")).select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
+            joined = cut(components(links))
+        released(docs.sparkSession)
     named = nodes.select("node", "_id").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     whole = named.groupBy("component").agg(F.min("_id").alias("class_id"), F.count(F.lit(1)).alias("n_class"))
     by_node = named.select("node", "component").join(whole, "component").drop("component")
@@ -234,7 +237,7 @@ def _commonness(bags: DataFrame) -> np.ndarray:
 
 
 def _filed(crowd: DataFrame, bags: DataFrame, joined: DataFrame) -> DataFrame:
-    """el, node, n, at: the first elements of the nodes of buckets that are not of one component.
+    """node, n and first: the first elements of the nodes of buckets that are not of one component.
 
     Two bags of the wanted similarity share an element among the first ``n - SIMILAR * n + 1`` of each in any
     common order; with the rarest elements first, bags that share only a frequent passage never meet.  The order is that of
@@ -257,15 +260,16 @@ def _filed(crowd: DataFrame, bags: DataFrame, joined: DataFrame) -> DataFrame:
                 found.append(els[np.lexsort((els, common[els % COUNTERS]))[:n - math.ceil(SIMILAR * n - 1e-9) + 1]])
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["node", "n", "first"])
 
-    first = held.mapInArrow(run, "node binary, n long, first array<long>")
-    return cut(first.select("node", "n", F.posexplode("first").alias("at", "el")).select("el", "node", "n", (F.col("at") + 1).alias("at")))
+    return cut(held.mapInArrow(run, "node binary, n long, first array<long>"))
 
 
 def _placed(filed: DataFrame, joined: DataFrame) -> DataFrame:
-    """The filed nodes with their component ``c`` and its size."""
+    """el, node, n, at, component ``c`` and its size, of every first element.  A node learns its component before its
+    elements become rows."""
     many = joined.groupBy("component").agg(F.count(F.lit(1)).alias("many"))
     known = joined.join(many, "component").select("node", F.col("component").alias("c"), "many")
-    return filed.join(known, "node", "left").withColumn("c", F.coalesce("c", "node")).withColumn("many", F.coalesce("many", F.lit(1)))
+    whole = filed.join(known, "node", "left").withColumn("c", F.coalesce("c", "node")).withColumn("many", F.coalesce("many", F.lit(1)))
+    return whole.select("node", "n", "c", "many", F.posexplode("first").alias("at", "el")).withColumn("at", F.col("at") + 1)
 
 
 #: What two bags may share from a common element on must reach the overlap that the similarity needs.

@@ -67,8 +67,8 @@ def merge_near(findings: DataFrame) -> DataFrame:
     """Near-identical findings as one: lowest line, highest end, worst severity, longest texts, and their
     snippets one below the other.
 
-    ``merged`` is the number of findings that went in.  Snippets come in the order of their lines; one whose text is part of
-    another's is left out.  They are lines of one file close to each other, so their text is bounded by the file's."""
+    ``merged`` is the number of findings that went in.  Snippets come in the order of their lines; one whose lines are all
+    part of another's is left out ("line 3" is no part of "line 30").  They are lines of one file close to each other, so their text is bounded by the file's."""
     groups = near_groups(findings)
     key = [*repo_of(findings), "rule", "file"]
     joined = findings.join(groups, [*key, "line"], "left").withColumn(
@@ -82,8 +82,11 @@ def merge_near(findings: DataFrame) -> DataFrame:
 
     def stacked(column):
         listed = F.transform(F.array_sort(F.collect_list(F.when(F.col(column) != "", F.struct("line", column)))), lambda s: s[column])
-        # The first of equal texts stays; a text inside a longer one goes.
-        apart = F.filter(F.array_distinct(listed), lambda s: ~F.exists(listed, lambda t: (t != s) & t.contains(s)))
+        def lined(s):
+            return F.concat(F.lit("\n"), s, F.lit("\n"))
+
+        # The first of equal texts stays; whole lines inside a longer text go.
+        apart = F.filter(F.array_distinct(listed), lambda s: ~F.exists(listed, lambda t: (t != s) & lined(t).contains(lined(s))))
         return F.when(F.size(listed) > 0, F.array_join(apart, "\n")).alias(column)
 
     texts = [c for c in ("description", "explanation", "current_code") if c in findings.columns]

@@ -69,3 +69,11 @@ def test_parts_with_detail_need_no_join(spark):
     same(cluster.summarised(rows), cluster.summary(parts, found))
     same(cluster.paired(rows), cluster.related(parts, found))
     assert not [line for line in exchanges(cluster.paired(rows)) if "related_id" in line]
+
+
+def test_snippets_of_different_lines_stay(spark):
+    text = "call it with four plain words here"
+    rows = [("R1", "LOW", "src/x.ts", line, text, snippet) for line, snippet in [(3, "line 3"), (8, "a\nb"), (13, "b"), (18, "c\nline 3x"), (23, "x"), (28, "y"), (30, "line 30")]]
+    found = spark.createDataFrame(rows, "rule string, severity string, file string, line int, description string, snippet string")
+    made = dedup.merge_near(found).collect()
+    assert [(r.line, r.end_line, r.merged, r.snippet) for r in made] == [(3, 30, 7, "line 3\na\nb\nc\nline 3x\nx\ny\nline 30")]

@@ -104,8 +104,8 @@ def json_documents(spark, folder):
     home = scratch(spark, "documents")
     key = F.col("s_suppkey")
     row = F.concat(F.lit('{\n "supplier": '), key.cast("string"), F.lit(',\n "name": "'), "s_name", F.lit('",\n "balance": '), F.col("s_acctbal").cast("string"), F.when(key % 7 == 0, "").otherwise("\n}"))
-    V.table(spark, folder, "supplier").select(row.alias("value"), key.alias("part")).repartition("part").write.partitionBy("part").text(home)
-    return readers.json_object(spark, f"{home}/*", "supplier long, name string, balance double").select("supplier", "name", "balance")
+    sinks.text_files(V.table(spark, folder, "supplier").select(row.alias("value")), home)
+    return readers.json_object(spark, home, "supplier long, name string, balance double").select("supplier", "name", "balance")
 
 
 @query("sink_rejects", V.sql("", f"SELECT split_part({REASON}, ':', 1) AS reason, count(*) AS findings FROM raw WHERE kind <> 2 GROUP BY 1", raw=RAW))

@@ -93,7 +93,8 @@ def published_files(spark, folder):
     """The manifest of written text files, one per supplier, read back as bytes."""
     home = scratch(spark, "files")
     text = F.concat("s_name", F.lit("\n"), F.col("s_acctbal").cast("double").cast("string")).alias("value")
-    V.table(spark, folder, "supplier").select(text, F.col("s_suppkey").alias("part")).repartition("part").write.partitionBy("part").text(home)
+    rows = V.table(spark, folder, "supplier").select(text, F.col("s_suppkey").alias("part"))
+    sinks.text_files(rows, home, "part")
     made = sinks.published(spark, home)
     return made.select(F.regexp_extract("path", "part=[0-9]+/", 0).alias("folder"), "sha256", "size_bytes", "line_count")
 

@@ -15,7 +15,7 @@ def writers(folder):
     return {re.match(r"part-(\d+)", f.name)[1] for f in folder.rglob("part-*") if f.is_file()}
 
 
-@pytest.mark.parametrize("name, home", [("json_documents", "documents")])
+@pytest.mark.parametrize("name, home", [("json_documents", "documents"), ("published_files", "files")])
 def test_small_tables_are_written_by_many_tasks(spark, folder, name, home):
     root = pathlib.Path(checkpoint_folder(spark).removeprefix("file:"))
     before = set(root.glob(f"{home}-*"))
@@ -32,3 +32,11 @@ def test_one_file_per_row(spark, tmp_path):
     # A first task without rows leaves an empty file, which is no document.
     sinks.text_files(rows.limit(1), str(tmp_path / "one"))
     assert [r.n for r in readers.json_object(spark, str(tmp_path / "one"), "n int").collect()] == [0]
+
+
+def test_one_folder_per_key(spark, tmp_path):
+    rows = spark.range(60).selectExpr("cast(id AS string) AS value", "id % 20 AS part").coalesce(1)
+    sinks.text_files(rows, str(tmp_path / "t"), "part")
+    made = sinks.published(spark, str(tmp_path / "t")).selectExpr("regexp_extract(path, 'part=([0-9]+)/', 1) AS part", "line_count").collect()
+    assert sorted((int(r.part), r.line_count) for r in made) == [(k, 3) for k in range(20)]
+    assert len(writers(tmp_path / "t")) > 1

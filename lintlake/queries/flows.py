@@ -74,7 +74,7 @@ def sink_numbered_lines(spark, folder):
     """One text file per user, written by many tasks and read back with line numbers."""
     home = scratch(spark, "lines")
     row = V.table(spark, folder, "events").select(F.to_json(F.struct("event_id", "user_id", "value")).alias("value"), F.col("user_id").alias("part"))
-    row.repartition("part").write.partitionBy("part").text(home)
+    sinks.text_files(row, home, "part")
     user = F.get_json_object("value", "$.user_id").cast("long").alias("user_id")
     return readers.numbered_json_lines(spark, home).groupBy(user).agg(
         F.count(F.lit(1)).alias("lines"), F.sum("line_no").cast("long").alias("numbers"), F.countDistinct("line_no").alias("distinct_numbers"))

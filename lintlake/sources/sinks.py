@@ -115,16 +115,16 @@ def text_files(frame: DataFrame, path: str, part: str | None = None) -> None:
     """The column ``value`` as many small text files: one per row, or one per value of ``part`` in a folder named by it.
 
     What costs here is the file, not its bytes.  So rows are dealt to as many tasks as a shuffle has partitions, where adaptive
-    execution would join them to a few by their size, and a task puts its files in place as it ends, where else the driver
-    would move them one after another.  A task that runs again writes files of the same names; a write that
-    fails can leave some of its files."""
+    execution would join them to a few by their size.  A folder is moved in place as one when the job ends.  Files without
+    folders are moved by the task that wrote them, as the driver would move one after another; a task that runs again writes
+    the same names, and a write that fails can leave some of its files."""
     spark = frame.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     if part:
-        writer = frame.select("value", part).repartition(tasks, part).write.partitionBy(part)
+        frame.select("value", part).repartition(tasks, part).write.partitionBy(part).text(path)
     else:
-        writer = frame.select("value").repartition(tasks).write.option("maxRecordsPerFile", 1)
-    writer.option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
+        once = {"maxRecordsPerFile": 1, "mapreduce.fileoutputcommitter.algorithm.version": 2}
+        frame.select("value").repartition(tasks).write.options(**once).text(path)
 
 
 def manifest(files: DataFrame) -> DataFrame:

@@ -10,10 +10,10 @@ from lintlake.operators import groups, scan, stats, tasks as T, verify
 from lintlake.queries import views as V
 from lintlake.queries.findings import FAMILIES, FAMILY, FAMILY_KEYS, ROOT_RULES
 from lintlake.queries.registry import query
-from lintlake.queries.reports import GATE, gated, health
+from lintlake.queries.reports import GATE, eased, health
 from lintlake.queries.scan import LISTED, listed
 from lintlake.operators import gate
-from lintlake.session import cut
+from lintlake.session import cut, stored
 
 EVERY_PHASE = "(SELECT cast(unnest(range(0, 11)) AS int) AS phase)"
 
@@ -269,18 +269,19 @@ UNION ALL SELECT 'missing_blocker', concat(id, '!'), tier FROM b WHERE id LIKE '
 UNION ALL SELECT 'fail_without_blocker', tier, '' FROM tiers t WHERE status = 'FAIL' AND tier NOT IN (SELECT tier FROM b)""", **FAMILY, **GATE, linked=LINKED,
     b="SELECT t.tier, g.id FROM tiers t JOIN gated g ON g.severity IN ('CRITICAL', 'HIGH') AND (t.tier = 'security' AND g.rule = 'R05' AND g.severity = 'CRITICAL' OR t.tier = 'complexity' AND g.rule IN ('R02', 'R09')) WHERE t.status = 'FAIL' AND t.blockers > 0"))
 def integrity_violations(spark, folder):
-    found = V.findings(spark, folder)
-    made = groups.families(found, ROOT_RULES)
+    # Families, members, tiers and references all read the findings, so these are made once.
+    found = stored(V.findings(spark, folder).select("id", "rule", "severity", "file", "line", "layer", "phase", "search_pattern", "current_code", "description"))
+    made = stored(groups.families(found, ROOT_RULES))
     member = groups.collapse(found, made, ROOT_RULES)
     line = F.col("line")
     root = F.coalesce("parent_finding_id", "id")
-    linked = member.select(
+    linked = stored(member.select(
         "id", F.when(F.col("parent_finding_id").isNotNull(), F.when(line % 50 == 0, F.concat(root, F.lit("?"))).otherwise(root)).alias("parent_finding_id"),
         (F.coalesce("is_root_cause", F.lit(False)) & (line % 3 != 0)).alias("is_root_cause"),
-        F.when(line % 40 == 1, F.lit(None)).when(line % 40 == 2, "CLU-X").otherwise(F.col("layer")).alias("cluster_id"))
+        F.when(line % 40 == 1, F.lit(None)).when(line % 40 == 2, "CLU-X").otherwise(F.col("layer")).alias("cluster_id")))
     broken = made.withColumn("root_finding_id", F.when(F.col("family_size") > 300, "gone").otherwise(F.col("root_finding_id")))
-    ready = gated(spark, folder)
-    judged = gate.tiers(ready, health(spark, folder))
+    ready = eased(found)
+    judged = stored(gate.tiers(ready, health(spark, folder)))
     blockers = gate.blockers(ready, judged).where("tier IN ('security', 'complexity')").withColumn(
         "id", F.when(F.col("id").endswith(":7"), F.concat("id", F.lit("!"))).otherwise(F.col("id")))
     clusters = found.select(F.col("layer").alias("cluster_id")).distinct()

@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lintlake.functions import text
-from lintlake.operators import verify
+from lintlake.operators import cluster, verify
 from lintlake.queries import catalogue
+from lintlake.session import Tables
 
 
 def plan_of(frame):
@@ -52,3 +53,47 @@ def test_family_keys_are_written_once(spark):
     made = frame.select(text.family_key(*[F.col(n) for n in names]).alias("key"))
     assert [r.key for r in made.collect()] == ["do this", "", "", "a1 b"]
     assert plan_of(made).count("lower(f0") == 1
+
+
+def rows_of(frame):
+    return sorted(map(repr, map(tuple, frame.collect())))
+
+
+def test_sets_of_clusters_with_one_number_are_told_apart(spark):
+    """Two sets may get the same number by the first hash; then all get others, and merging goes on as before."""
+    rows = [(c, "file", f"i{k}") for k in range(40) for c in ("a" if k < 20 else "b", f"c{k % 4}", f"c{k % 4}")] + [(None, "file", "i1"), ("a", "other", "i0"), ("a", "x", None)]
+    members = spark.createDataFrame(rows, "cluster string, type string, id string")
+
+    def alike(turn, places):
+        return F.when(turn == 0, F.lit(7)).otherwise(F.xxhash64(turn, places))
+
+    held, sets = cluster._sets(members, Tables(spark), alike)
+    assert sets.count() == sets.select("key").distinct().count() == 10
+    assert rows_of(held.join(sets, "key").select("id", F.explode("places").alias("p")).select("p.cluster", "p.type", "id")) == rows_of(members.where("cluster IS NOT NULL"))
+    made = cluster.merge(members, share=0.9).collect()
+    assert len(made) == 81 and {r.type for r in made} == {"file"} and sum(r.id is None for r in made) == 1
+
+
+@pytest.mark.parametrize("whole,hot", [(1000, 64), (1, 64), (1, 4), (30, 4), (100, 2)])
+def test_huge_clusters_with_small_groups(spark, whole, hot, monkeypatch):
+    """Clusters and groups of them above and below what a task may hold, rules and texts missing among them."""
+    monkeypatch.setattr(cluster, "WHOLE", whole)
+    monkeypatch.setattr(cluster, "HOT", hot)
+    rows = [(["big", "big", "mid", f"s{k % 7}"][k % 4], "file", f"i{k:03d}", [None, "R1", "R1", "R2", "R1"][k % 5], f"f{k % 3}", k * 7 % 50, [None, "v", "v", "v"][k // 5 % 4], f"m{k % 2}") for k in range(240)]
+    made = cluster.cut_up(spark.createDataFrame(rows, "cluster string, type string, id string, rule string, file string, line int, variant string, more string"), size=5, rules=2)
+    at, want = {}, []
+    size = {c: sum(r[0] == c for r in rows) for c in {r[0] for r in rows}}
+    for c, kind, i, rule, file, line, variant, more in sorted(rows, key=lambda r: (r[4], r[5], r[2])):
+        at[c, rule, variant] = n = at.get((c, rule, variant), 0) + 1
+        want.append((c, kind, i, rule, file, line, more, "|".join([x for x in (rule, variant) if x] + [str(-(-n // 5))]) if size[c] > 5 else ""))
+    assert rows_of(made.select("cluster", "type", "id", "rule", "file", "line", "more", "part")) == sorted(map(repr, want))
+
+
+def test_parts_that_say_enough_need_no_join(spark):
+    rows = [(f"i{k:02d}", f"R{k % 2}", ["LOW", None, "HIGH"][k % 3], f"f{k % 4}", k, ["say it", None, ""][k % 3]) for k in range(60)]
+    found = spark.createDataFrame(rows, "id string, rule string, severity string, file string, line int, description string")
+    members = cluster.by_file(found)
+    parts = cluster.split(members, found, more=cluster.SAID)
+    assert parts.columns == ["cluster", "part", "type", "id", *cluster.SAID]
+    assert rows_of(parts.select("cluster", "part", "type", "id")) == rows_of(cluster.split(members, found))
+    assert rows_of(cluster.summary(parts, found)) == rows_of(cluster.summary(parts.drop(*cluster.SAID), found))

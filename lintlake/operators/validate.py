@@ -25,8 +25,17 @@ def parsed(raw: DataFrame) -> DataFrame:
     return named.select(*raw.columns, kind.alias("_kind"), line_type.alias("_line_type"), "_row.*")
 
 
-def checked(found: DataFrame, files: DataFrame | None = None) -> DataFrame:
-    """Adds ``_reason``: null for a valid finding, else the first thing wrong with it."""
+def unlisted(found: DataFrame, files: DataFrame) -> DataFrame:
+    """The files that findings name and the inventory does not list: (file), each once."""
+    named = found.where(F.coalesce("file", F.lit("")) != "").select("file").distinct()
+    return named.join(files.select(F.col("path").alias("file")).distinct(), "file", "left_anti")
+
+
+def checked(found: DataFrame, files: DataFrame | None = None, phantoms: DataFrame | None = None) -> DataFrame:
+    """Adds ``_reason``: null for a valid finding, else the first thing wrong with it.
+
+    Files are told by the inventory, or by a table of those it does not list (see :func:`unlisted`): these are few, as a
+    rule, and findings need not be dealt by file to meet them."""
     empty = {name: F.coalesce(F.col(name), F.lit("")) == "" for name in M.REQUIRED_FIELDS}
     empty["line"] = empty["line"] | (F.col("line") == "0")
     missing = F.concat_ws(",", *[F.when(test, name) for name, test in empty.items()])
@@ -43,6 +52,9 @@ def checked(found: DataFrame, files: DataFrame | None = None) -> DataFrame:
         known = files.select(F.col("path").alias("_file")).distinct().withColumn("_known", F.lit(True))
         found = found.withColumn("_file", F.coalesce(F.nullif("file", F.lit("")), own)).join(known, "_file", "left").drop("_file")
         reasons.append((F.col("_known").isNull(), F.concat(F.lit("phantom_file:"), F.col("file"))))
+    elif phantoms is not None:
+        found = found.join(phantoms.select("file", F.lit(True).alias("_known")), "file", "left").select(*found.columns, "_known")
+        reasons.append((F.col("_known").isNotNull(), F.concat(F.lit("phantom_file:"), F.col("file"))))
     return found.withColumn("_reason", first_match(reasons, F.lit(None).cast("string"))).drop("_known", "_kind", "_line_type")
 
 

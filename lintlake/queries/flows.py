@@ -10,11 +10,11 @@ from lintlake.catalog import maps as M
 from lintlake.operators import gate, tasks, validate
 from lintlake.plans import analysis, audit
 from lintlake.queries import views as V
-from lintlake.queries.findings import RAW, REASON, raw_lines, tested
+from lintlake.queries.findings import RAW, REASON, as_lines, raw_lines, tested
 from lintlake.queries.registry import query
 from lintlake.queries.reports import LEVELS
 from lintlake.queries.scan import PROSE, PROSE_LINES, _scan_sql, prose_files
-from lintlake.session import checkpoint_folder
+from lintlake.session import checkpoint_folder, released
 from lintlake.sources import readers, sinks
 from lintlake.streaming import intake as S
 
@@ -28,8 +28,12 @@ def scratch(spark, name: str) -> str:
 @query("stream_intake", V.sql("", f"SELECT coalesce(split_part({REASON}, ':', 1), 'valid') AS state, count(*) AS findings FROM raw WHERE kind <> 2 GROUP BY 1", raw=RAW))
 def stream_intake(spark, folder):
     home = scratch(spark, "intake")
-    raw_lines(spark, folder).select("value").repartition(4).write.text(f"{home}/in")
-    S.intake(spark, f"{home}/in", f"{home}/valid", f"{home}/rejected", f"{home}/done", V.parts(spark, folder), files_per_batch=2)
+    # Line items are dealt to the files, and their texts made there.  A packed file is read by one task, so there are as many
+    # as a shuffle has partitions, four at least; they come in two batches.
+    files = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    as_lines(V.table(spark, folder, "lineitem").repartition(files)).select("value").write.option("compression", "gzip").text(f"{home}/in")
+    released(spark)
+    S.intake(spark, f"{home}/in", f"{home}/valid", f"{home}/rejected", f"{home}/done", V.parts(spark, folder), files_per_batch=-(-files // 2))
     # Running it again finds nothing new.
     S.intake(spark, f"{home}/in", f"{home}/valid", f"{home}/rejected", f"{home}/done", V.parts(spark, folder))
     good = spark.read.parquet(f"{home}/valid").select(F.lit("valid").alias("state"))

@@ -7,6 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from lintlake.operators import validate
+from lintlake.session import Tables, released, remove
 
 
 def _drain(stream: DataFrame, write, checkpoint: str, mode: str) -> StreamingQuery:
@@ -22,15 +23,22 @@ def intake(spark: SparkSession, source: str, valid: str, rejected: str, checkpoi
     """Validate each new JSONL file once: good findings to one table, rejects with their reason to another.
 
     The checkpoint remembers which files are done.  A batch writes its own folder and replaces it when
-    it has to run again, so nothing is counted twice."""
+    it has to run again, so nothing is counted twice.  Its texts are parsed once, into a table that goes when both folders
+    are written; so do the files of its shuffles."""
     lines = (spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(source)
              .select(F.col("_metadata.file_name").alias("source"), "value"))
 
     def write(batch: DataFrame, number: int) -> None:
-        tested = validate.checked(validate.parsed(batch), files)
-        kept, refused = validate.split(tested)
-        validate.normalised(kept).write.mode("overwrite").parquet(f"{valid}/batch={number}")
-        refused.write.mode("overwrite").parquet(f"{rejected}/batch={number}")
+        tables = Tables(spark)
+        try:
+            found = tables.put("found", validate.parsed(batch))
+            phantoms = None if files is None else tables.put("phantoms", validate.unlisted(found, files))
+            kept, refused = validate.split(validate.checked(found, phantoms=phantoms))
+            validate.normalised(kept).write.mode("overwrite").parquet(f"{valid}/batch={number}")
+            refused.write.mode("overwrite").parquet(f"{rejected}/batch={number}")
+        finally:
+            remove(spark, tables.folder)
+            released(spark)
 
     return _drain(lines, write, checkpoint, "append")
 
